@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licenses, mixing
 from .common import table
 from .exact_dedup import exact_groups
+from .html import extracted
 from .packing import packed
+from .pii import digests
 from .quality import quality_rules
 from .simhash import near_groups
+from .toxicity import scored
+from .urls import judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("ngram_cover")
 
@@ -25,6 +33,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).drop("source")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
@@ -33,18 +49,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_mixing, op6_exact_dedup, op7_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_html, op5_urls, op6_exact_dedup, op7_simhash, op8_licenses, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     norm = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
         "op3_mixing": mixing.oracle(),
+        "op8_licenses": licenses.oracle(),
         "op6_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256({norm}) AS text_sha256 FROM documents) WINDOW w AS (PARTITION BY text_sha256)""",

@@ -1,0 +1,287 @@
+"""Toxicity, HTML, URL filters, license scans and personal data against brute force and held-out rows."""
+
+import re
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestone.llm import html, licenses, pii, toxicity, urls
+
+from .conftest import SCHEMA
+
+PAGES = "page_id long, url string, html string"
+
+
+# toxicity
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in "lo mi ra su ten vor".split() for b in "na pe qui ro st".split()]
+    bad = {"en": ["grubby", "snarl"], "de": [f"zorn{x}" for x in "abcdefgh"]}
+    docs, labels = [], []
+    for i in range(900):
+        lang = rng.choice(["en", "de"])
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 80))]
+        toxic = i % 4 == 0
+        for _ in range(3 if toxic else rng.choice([0, 0, 0, 1])):
+            words[rng.randrange(len(words))] = rng.choice(bad[lang]) if toxic else rng.choice(plain)
+        if toxic:
+            words += [rng.choice(bad[lang]), rng.choice(bad[lang]) + "."]
+        docs.append((i, " ".join(words), lang, "src0", 1))
+        labels.append((i, 1, int(toxic)))
+    docs += [(1000, None, None, None, None), (1001, "", "en", None, 0), (None, "no id", None, None, None), (7, docs[7][1], docs[7][2], "x", 1)]
+    return docs, labels + [(None, 1, 1), (5, None, None)]
+
+
+def test_toxicity(spark, labelled, clashing):
+    docs, labels = labelled
+    d, la = clashing(spark.createDataFrame(docs, SCHEMA)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.scored(d, la).collect()
+    assert Counter(r.doc_id for r in out) == Counter(x[0] for x in docs)
+    truth = {i: t for i, _, t in labels if t is not None}
+    for r in out:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    held = [(truth[r.doc_id], r.predicted) for r in out if r.held_out and r.doc_id in truth]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+    assert all(not r.predicted for r in out if r.doc_id in (1000, 1001))
+
+
+def test_toxicity_never_reads_held_out_labels(spark, labelled):
+    docs, labels = labelled
+    d = spark.createDataFrame(docs, SCHEMA)
+    flipped = [(i, q, 1 - t if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    a, b = (toxicity.sample_of(d, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, flipped))
+    assert a.equals(b) and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in a.doc_id)
+    assert len(toxicity.sample_of(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows=10)) == 20
+
+
+def test_pooling_is_the_two_largest():
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(rng.standard_normal((toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.standard_normal((k, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for k in toxicity.WIDTHS], [np.zeros(toxicity.FILTERS, np.float32)] * 3, rng.standard_normal(48).astype(np.float32), 0.25)
+    model.embedding[0] = 0
+    for text in ("one two three four two", "", "alone", "same same same", "a b"):
+        words = toxicity.Words()
+        ids = words.text(text)
+        x = np.concatenate([model.embedding[words.matrix()].sum(axis=1)[ids], np.zeros((2, toxicity.DIM))])
+        h = []
+        for w in model.filters:
+            act = np.array([sum(x[i + j] @ w[j] for j in range(len(w))) for i in range(len(ids))]).reshape(-1, toxicity.FILTERS)
+            top = np.sort(np.maximum(np.concatenate([act, np.zeros((2, toxicity.FILTERS))]), 0), axis=0)[::-1]
+            h += [top[0], top[1]]
+        assert toxicity.logits_of(model, ["x y z", text, "q"])[1] == pytest.approx(np.concatenate(h) @ model.dense + 0.25, rel=1e-3)
+
+
+def test_toxicity_without_rows(spark):
+    none, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(none, labels).count() == 0
+    one = spark.createDataFrame([(1, "text", "en", "s", 4)], SCHEMA)
+    assert [r.predicted for r in toxicity.scored(one, labels).collect()] == [0]
+
+
+# HTML
+
+MAIN = "<article><h1>The  title</h1><p>One &amp; two<b> bold</b>er<br>line&nbsp;x &lt;i&gt;</article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li>Menu</ul></nav>{MAIN}<footer>&copy; x</footer></body></html>", "The title One & two bolder line x <i>"),
+        ("<article><header>Head</header><p>Body<aside>Side</aside><div class='ad'>Buy</div><p>End<form><input>Go</form></article>tail", "Body End"),
+        ("<main><p>a<p>b<ul><li>c<li>d</ul><div id=comments><p>nice</div><section class='x notice-bar'>n</section></main>", "a b c d"),
+        ("<article><!-- no > <p> --><p title='a>b'>yes</p><script>if (a<b) '<p>no</p>'", "yes"),
+        ("<article><p>cut &am<p>a < b, 3<4 <unclosed", "cut &am a < b, 3 <4".replace("3 <4", "3<4")),
+        ("<div role=main>x<span>y</span>z<div hidden>h</div></div><div class=sidebar>s</div>", "xyz"),
+        ("<article class='post'><p>Kept &#233;&#x41;</p><p></p></article><p>stray</p>", "Kept éA"),
+        (None, ""),
+        ("", ""),
+        ("<nav>only</nav>", ""),
+    ],
+)
+def test_markup(spark, page, text):
+    out = html.extracted(spark.createDataFrame([(1, "http://a.example/x", page)], PAGES)).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, text, len(text))]
+
+
+def brute_unique(texts_by_page, run):
+    """By page: blocks less than half covered by token runs that another page of the host has."""
+    seen = {}
+    for page, texts in texts_by_page.items():
+        for t in texts:
+            w = t.lower().split()
+            for g in [tuple(w[i : i + run]) for i in range(len(w) - run + 1)] if len(w) >= run else [(*w, None)]:
+                seen.setdefault(g, set()).add(page)
+    out = {}
+    for page, texts in texts_by_page.items():
+        keep = []
+        for t in texts:
+            w, hit = t.lower().split(), set()
+            for i in range(len(w)):
+                g = tuple(w[i : i + run]) if len(w) >= run else (*w, None)
+                if (len(w) >= run and i <= len(w) - run and len(seen[g]) > 1) or (len(w) < run and len(seen[g]) > 1):
+                    hit |= set(range(i, i + run))
+            if len([x for x in hit if x < len(w)]) / len(w) < 0.5:
+                keep.append(t)
+        out[page] = " ".join(keep)
+    return out
+
+
+def test_suffixes_of_a_host(spark, clashing):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(60)}"
+    shared = [" ".join(word() for _ in range(n)) for n in (3, 20, 50)]
+    pages = {}
+    for i in range(30):
+        own = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(3)]
+        mixed = " ".join(word() for _ in range(10)) + " " + shared[1] + " " + " ".join(word() for _ in range(i))
+        pages[i] = [shared[0], *own, mixed, shared[2]] if i % 3 else own
+    rows = [(i, f"https://Host.example/p{i}", "".join(f"<div>{t}</div>" for t in texts)) for i, texts in pages.items()]
+    rows += [(99, "https://other.example/", f"<div>{shared[2]}</div>")] + rows[:2]
+    out = html.extracted(clashing(spark.createDataFrame(rows, PAGES))).collect()
+    want = brute_unique(pages, html.RUN) | {99: shared[2]}
+    assert Counter((r.page_id, r.text) for r in out) == Counter((r[0], want[r[0]]) for r in rows)
+
+
+def test_very_long_and_broken_pages(spark):
+    rows = [(1, None, "<" * 50_000), (2, None, "<p" * 30_000), (3, "u", "<div>" * 20_000 + "x"), (4, "u", "<!--" * 20_000), (None, None, "<a '" * 20_000), (5, "u", "<article>" + "<p>word</p>" * 20_000), (6, "u", "<article>" + "<b>" * 20_000 + "y</p>")]
+    out = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out[5] == " ".join(["word"] * 20_000) and out[6] == "y" and out[4] == "" and len(out) == len(rows)
+    assert html.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+# URL filters
+
+
+def brute_rule(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_urls(spark, clashing):
+    rng = random.Random(4)
+    some = [f"http{rng.choice(['', 's'])}://{rng.choice(['www.', '', 'm.', 'WWW.'])}{rng.choice(['example.com', 'Example.NET', 'a.org', 'xcom', 'com', 'net'])}{rng.choice(['/en/1', '/es/2', '/fr/', '/en', '', '?q=/en/', '#x', '/de/://y'])}" for _ in range(200)]
+    some += [None, "", "no scheme", "://", "ftp://É.com/", "http://cheap-pills.shop.org/en/9", "http://blog.garden.org/en/9"]
+    rows = [(i, u, None) for i, u in enumerate(some)] + [(None, "http://x.net/fr/1", None), (0, some[0], None)]
+    out = urls.judged(clashing(spark.createDataFrame(rows, PAGES))).collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in out) == Counter((i, *brute_rule(u)[:3]) for i, u, _ in rows)
+    by = {i: u for i, u, _ in rows}
+    for r in out:
+        want = brute_rule(by[r.page_id])[3] if r.page_id is not None else "block"
+        assert r.verdict == (want or ("block" if r.score >= 0.5 else "allow"))
+    verdict = {by[r.page_id]: r.verdict for r in out if r.page_id is not None}
+    assert verdict["http://cheap-pills.shop.org/en/9"] == "block" and verdict["http://blog.garden.org/en/9"] == "allow" and verdict[None] == "allow"
+    assert urls.judged(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_url_model_on_unseen_hosts():
+    model = urls.Model(*urls.train())
+    assert all(model.score(h, "/en/1") >= 0.5 for h in ("m.spam-farm.org", "cheap-pills-now.net", "casino-spins.org"))
+    assert all(model.score(h, "/de/5") < 0.5 for h in ("www.river.org", "blog.ththon.net", "m.therst.org", "tionsh.net"))
+
+
+# license scans
+
+
+def brute_licenses(rows):
+    shingles = licenses.template_shingles(licenses.TEMPLATES)
+    out = Counter()
+    for doc, text in {(r[0], r[1]) for r in rows}:
+        w = licenses.words(text or "")
+        at = {}
+        for i in range(len(w) - 4):
+            at.setdefault(tuple(w[i : i + 5]), i)
+        for name in licenses.TEMPLATES:
+            own = [tuple(s) for n, _, s in shingles if n == name]
+            found = [at[s] for s in own if s in at]
+            if len(found) / len(own) >= 0.8:
+                out[(doc, name, len(found), min(found))] += 1
+    return out
+
+
+def test_licenses(spark, rows, clashing):
+    rng = random.Random(9)
+    texts = []
+    for i, t in enumerate(licenses.TEMPLATES.values()):
+        for k in range(6):
+            words = t.split()
+            if k > 2:
+                words[rng.randrange(len(words))] = "changed"
+            pad = lambda: " ".join(f"w{rng.randrange(99)}" for _ in range(k))
+            texts.append((1000 + 10 * i + k, f"{pad()} {'!! '.join(words).upper() if k == 1 else ' '.join(words)}\n{pad()}", "en", "s", 1))
+    every = [*rows, *texts, texts[0], (2000, " ".join(licenses.TEMPLATES.values()) * 3, "en", "s", 1)]
+    out = licenses.scan(clashing(spark.createDataFrame(every, SCHEMA))).collect()
+    assert Counter((r.doc_id, r.license, r.n_found, r.first_word) for r in out) == brute_licenses(every)
+    assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    ok = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15}
+    return [(k, *m.span()) for k, p in BASE.items() for m in p.finditer(text) if ok[k](m)]
+
+
+@pytest.mark.parametrize("alphabet", ["a.@-1+ ", "12.@3a", "0123456789 -+().", "4 -1", "é@a.b"])
+def test_base_spans(alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(8000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_long_runs_stay_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" + "(" * 300_000, "+1 " * 50_000):
+        pii.base_spans(text)
+
+
+def test_disclosing_terms(spark, clashing):
+    """A nickname that only stands beside one address is a span; common words and copies are not."""
+    rng = random.Random(1)
+    plain = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    texts = [f"{plain(30)} zebulon ann.{1}@mail.example.com {plain(5)}" for _ in range(6)] + [plain(60) for _ in range(60)]
+    texts += [f"{plain(3)} copied bob@mail.example.com"] * 6
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(900, None, None, None, None), (None, "call +1 (017) 555-7713 now", None, None, None)]
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    out = pii.digests(docs).collect()
+    assert len(out) == len(rows)
+    text_of = {r[0]: r[1] or "" for r in rows}
+    for r in out:
+        text = text_of[r.doc_id]
+        base = brute_spans(text)
+        assert r.base_sha256 == pii.sha(base) and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        terms = [s.split(":") for s in r.spans.split(",") if s.startswith("term:")]
+        assert {text[int(a) : int(b)] for _, a, b in terms} == ({"zebulon"} if r.doc_id is not None and r.doc_id < 6 else set())
+        assert r.spans.split(",")[: len(base)] == [f"{k}:{a}:{b}" for k, a, b in base] or not base
+    one = next(r for r in pii.sanitised(docs).collect() if r.doc_id == 0)
+    cleaned = pii.clean(text_of[0], [(s.kind, s.start, s.end, s.disclosure) for s in one.spans])
+    assert "zebulon" not in cleaned and "@" not in cleaned and "[EMAIL]" in cleaned
+    assert pii.digests(spark.createDataFrame([], SCHEMA)).count() == 0

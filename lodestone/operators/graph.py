@@ -149,7 +149,7 @@ def cycles_by_repository(edges: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["src", "dst"])
         cycles = find_cycles(list(zip(rows.src, rows.dst, strict=True)))
-        return pd.DataFrame({"repository_id": [rows.repository_id.iloc[0]] * len(cycles), "cycle": cycles})
+        return pd.DataFrame({"repository_id": pd.Series([rows.repository_id.iloc[0]] * len(cycles), dtype=object), "cycle": pd.Series(cycles, dtype=object)})
 
     return edges.select("repository_id", "src", "dst").distinct().groupBy("repository_id").applyInPandas(run, "repository_id string, cycle array<string>")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_count, query_tokens, token_count, token_text, tokens
@@ -41,10 +41,10 @@ def phrase_hits(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     return bm25(with_stats).drop("n_rows", "avg_dl", "n_hits")
 
 
-def search(rows: DataFrame, columns: list[str], query: str, limit: int | None = None, where: str | None = None, ties: list[str] | None = None) -> DataFrame:
+def search(rows: DataFrame, columns: list[str], query: str, limit: int | None = None, where: str | Column | None = None, ties: list[str] | None = None) -> DataFrame:
     """The best rows for a phrase; ``where`` filters what is shown, not what is counted."""
     found = phrase_hits(rows, columns, query)
-    return (found.where(where) if where else found).orderBy("score", *(ties or [])).limit(clamp_limit(limit))
+    return (found if where is None else found.where(where)).orderBy("score", *(ties or [])).limit(clamp_limit(limit))
 
 
 def postings(rows: DataFrame, key: str, columns: list[str], buckets: int = 64) -> DataFrame:
@@ -98,9 +98,9 @@ def search_symbols(symbols: DataFrame, files: DataFrame, query: str, kinds: list
     return found.join(of, "file_id").select("id", "name", "kind", "signature", "documentation", "path", "line_start", "line_end", "metadata").orderBy("name", "path", "line_start").limit(clamp_limit(limit))
 
 
-def recent(rows: DataFrame, time: str, limit: int, ties: list[str], where: str | None = None) -> DataFrame:
+def recent(rows: DataFrame, time: str, limit: int, ties: list[str], where: str | Column | None = None) -> DataFrame:
     """The newest rows, for recent files, patterns and metrics."""
-    return (rows.where(where) if where else rows).orderBy(F.col(time).desc(), *ties).limit(limit)
+    return (rows if where is None else rows.where(where)).orderBy(F.col(time).desc(), *ties).limit(limit)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import SYNCED, TABLES
@@ -20,9 +20,14 @@ class ManifestError(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of the lines that aren't blank; line is the number in its file for one file."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.split("value", "\n", -1)).alias("at", "value")).where(F.trim("value") != "").select((F.col("at") + 1).alias("line"), "value")
+    """(line, value) of the lines of a file that aren't blank, numbered from 1.
+
+    A row's position in its partition and the row counts of the partitions before it give its number.
+    """
+    rows = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).select("value", F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each partition
+    return rows.join(starts, "part").where(F.trim("value") != "").select((F.col("start") + F.col("at") + 1).alias("line"), "value")
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +128,8 @@ def clear_manifest(spark: SparkSession, folder: str) -> None:
 
 def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return at, fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 # Folders whose events are ignored, and extensions that are watched.
-IGNORED = ["node_modules", ".git", ".kotadb", "dist", "build", ".next", ".cache", "coverage", "__pycache__", ".pytest_cache"]
+IGNORED = ["node_modules", ".git", ".lodestone", "dist", "build", ".next", ".cache", "coverage", "__pycache__", ".pytest_cache"]
 WATCHED = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java", "kt", "swift", "c", "cpp", "h", "hpp", "cs", "rb", "php", "vue", "svelte"]
 EVENT = "type string, path string, timestamp bigint"
 # Requests an hour and a day by tier.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -87,3 +88,20 @@ def pending(files: dict[str, str], applied: dict[str, str | None]) -> tuple[list
     """Migrations to apply, in order of their numbers, and the names of applied ones whose text has changed since."""
     known = sorted(filter(None, (parse_migration(f, t) for f, t in files.items())), key=lambda m: m.version)
     return [m for m in known if m.name not in applied], [m.name for m in known if applied.get(m.name) not in (None, m.checksum)]
+
+
+def apply_migrations(store, files: dict[str, str], run: Callable[[Migration], None], now) -> tuple[list[str], list[str]]:
+    """Run pending migrations in order, each recorded when it is done; the names applied, and those that have drifted.
+
+    The first that fails ends the run, and what was applied before it stays.
+    """
+    rows = {r["name"]: r["checksum"] for r in store.table("schema_migrations").collect()}
+    todo, drifted = pending(files, rows)
+    done = []
+    for migration in todo:
+        run(migration)
+        old = store.table("schema_migrations")
+        row = old.sparkSession.range(1).select(F.lit(len(rows) + len(done) + 1).cast("long").alias("id"), F.lit(migration.name).alias("name"), F.lit(now).cast("timestamp").alias("applied_at"), F.lit(migration.checksum).alias("checksum"))
+        store.commit({"schema_migrations": old.unionByName(row)})
+        done.append(migration.name)
+    return done, drifted

@@ -407,6 +407,19 @@ class File:
         return {"target_name": name, "reference_type": kind, "line_number": token.line, "column_number": token.column, "metadata": metadata}
 
 
+    def problems(self) -> Iterator[dict]:
+        """What a strict parser would stop at: brackets without a partner and strings without an end."""
+        closed = {j for i, j in self.pairs.items() if _OPEN[self.text(i)] == self.text(j)}
+        for i, t in enumerate(self.tokens):
+            if t.kind == "mark" and t.text in _OPEN and self.pairs.get(i) not in closed:
+                yield {"line": t.line, "column": t.column, "message": f"'{t.text}' is not closed"}
+            elif t.kind == "mark" and t.text in _CLOSE and i not in closed:
+                yield {"line": t.line, "column": t.column, "message": f"'{t.text}' closes nothing"}
+            elif t.kind == "string" and (len(t.text) < 2 or t.text[-1] != t.text[0]):
+                yield {"line": t.line, "column": t.column, "message": "unterminated string"}
+
+
+PROBLEMS = "path string, line int, column int, message string"
 SYMBOLS = "path string, name string, kind string, line_start int, line_end int, column_start int, column_end int, signature string, documentation string, is_exported boolean, is_async boolean, access_modifier string"
 REFERENCES = "path string, target_name string, reference_type string, line_number int, column_number int, metadata map<string,string>"
 # The extensions that are parsed.
@@ -432,3 +445,8 @@ def symbols(files: DataFrame) -> DataFrame:
 def references(files: DataFrame) -> DataFrame:
     """Imports, exports from elsewhere, calls, property accesses and type references of (path, content)."""
     return _extract(files, "references", REFERENCES)
+
+
+def problems(files: DataFrame) -> DataFrame:
+    """(path, line, column, message) of files that are read in part only."""
+    return _extract(files, "problems", PROBLEMS)

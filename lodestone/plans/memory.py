@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import DECISION_SCOPES, INSIGHT_TYPES, PHASES, TABLES
@@ -74,3 +74,10 @@ def put_context(spark: SparkSession, contexts: DataFrame, workflow: str, phase:
 def clear_contexts(contexts: DataFrame, workflow: str) -> tuple[DataFrame, int]:
     gone = contexts.where(F.col("workflow_id") == workflow).count()
     return contexts.where(F.col("workflow_id") != workflow), gone
+
+
+def add_metrics(metrics: DataFrame, rows: DataFrame) -> DataFrame:
+    """Metrics of runs with ids that go on from the last."""
+    top = metrics.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"))
+    new = rows.withColumn("id", F.row_number().over(Window.orderBy("started_at", "issue_number")).cast("long") + top.scalar())  # the runs of one batch
+    return metrics.unionByName(new.select(*metrics.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import TEXT_COLUMNS
-from ..functions.text import line_snippets
+from ..functions.text import char_snippet, line_snippets
 from ..operators.search import clamp_limit, search, search_symbols
 
 SCOPES = ("code", "symbols", "decisions", "patterns", "failures")
@@ -56,6 +56,11 @@ def code(files: DataFrame, query: str, filters: Filters, limit: int | None = Non
     return search(files, TEXT_COLUMNS["indexed_files"], query, limit, shown, ["path", "id"])
 
 
+def search_code(files: DataFrame, query: str, filters: Filters | None = None, limit: int | None = None) -> DataFrame:
+    """The older form of a code search: path and a snippet of characters."""
+    return code(files, query, filters or Filters(), limit).select("path", char_snippet(F.col("content"), query).alias("snippet"), "score")
+
+
 def memory(rows: DataFrame, columns: list[str], query: str, filters: Filters, limit: int | None = None) -> DataFrame:
     """Decisions or failures by phrase, with ``relevance``, the rank without its sign."""
     shown = _repository(filters)

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as b
-from .catalog import TABLES
-from .functions import paths, records, text
+from .catalog import TABLES, checked
+from .functions import paths, records, schemas, text
 from .operators import extract, graph, resolve, search, tables, usages
 from .operators.search import latest
 from .plans import context, impact, validation
 from .plans.search import Filters, patterns
-from .sources import jsonl
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,9 +289,6 @@ def task_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # imports and extraction
 
-_LANGUAGE = "CASE lower(regexp_extract(url, '([^.]*)$', 1)) WHEN 'html' THEN 'unknown' ELSE 'unknown' END"
-
-
 @query(
     """,
 i AS (SELECT path AS from_path, './' || regexp_extract(path, '([^/]*)\\.ts$', 1) AS source FROM files)
@@ -351,7 +347,7 @@ def extract_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.references(b.files(spark, sf_dir)).select("target_name", "reference_type", "line_number", F.try_element_at("metadata", F.lit("importSource")).alias("source"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(replace('/' || url, chr(92), '/'), '^/', ''), '^\\./', '') AS path, CASE WHEN url LIKE '%.html' THEN 'unknown' ELSE 'unknown' END AS language, regexp_extract(url, '([^/]*/[^/]*)$', 1) AS purpose FROM pages")
+@query("SELECT page_id, regexp_replace(regexp_replace(replace('/' || url, chr(92), '/'), '^/', ''), '^\\./', '') AS path, 'unknown' AS language, regexp_extract(url, '([^/]*/[^/]*)$', 1) AS purpose FROM pages")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, F2, F19."""
     url = F.col("url")
@@ -566,5 +562,100 @@ def expertise_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.expertise_files(entries, b.files(spark, sf_dir)).select("name", "status")
 
 
+# further lookups, reports and checks
+
+
+@query(" SELECT f.path, f.id FROM files f WHERE f.id IN (SELECT 'f' || s_suppkey FROM supplier)", index=True)
+def path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of many paths in one join, asked for with a leading ``./``."""
+    files = b.files(spark, sf_dir)
+    wanted = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("id")).join(files, "id").select(paths.normalize_path(F.concat(F.lit("./"), "path")).alias("path"))
+    return files.join(wanted, "path", "left_semi").select("path", "id")
+
+
+@query(" SELECT kind, count(*) AS n FROM symbols GROUP BY kind", index=True)
+def symbols_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return b.symbols(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, '[REDACTED]' AS token, c_name AS owner FROM customer")
+def masked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F21."""
+    row = records.masked(F.create_map(F.lit("api_key"), F.col("c_acctbal").cast("string"), F.lit("owner"), F.col("c_name")))
+    return b.table(spark, sf_dir, "customer").select("c_custkey", row["api_key"].alias("token"), row["owner"].alias("owner"))
+
+
+@query("SELECT n_nationkey, lower(n_name) AS domain, 'unknown' AS issue_type, '/r/docs/specs/' || n_nationkey || '.md' AS spec FROM nation")
+def report_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F23."""
+    report = F.concat(F.lit("**Domain**: "), F.lower("n_name"), F.lit("\nplan at /r/docs/specs/"), F.col("n_nationkey").cast("string"), F.lit(".md done"))
+    a = records.parse_analysis(report)
+    return b.table(spark, sf_dir, "nation").select("n_nationkey", a["domain"].alias("domain"), a["issue_type"].alias("issue_type"), records.spec_path(report).alias("spec"))
+
+
+@query(" SELECT path, regexp_replace(path, '\\.ts$', '.test.ts') AS beside, 'tests/' || regexp_replace(path, '\\.ts$', '.test.ts') AS apart FROM files", index=True)
+def test_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13."""
+    found = paths.context_test_paths(F.col("path"))
+    return b.files(spark, sf_dir).select("path", found[0].alias("beside"), found[5].alias("apart"))
+
+
+@query(" SELECT name, min(f.path) AS def_path FROM symbols s JOIN files f ON s.file_id = f.id GROUP BY name", index=True)
+def symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1, Q7: the definition of every name at once."""
+    symbols = b.symbols(spark, sf_dir)
+    return usages.definitions(symbols, b.files(spark, sf_dir), symbols.select("repository_id", "name").distinct()).select("name", "def_path")
+
+
+@query("SELECT DISTINCT l_suppkey AS request, l_orderkey AS number FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'")
+def pull_request_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that touch a supplier's rows."""
+    items = b.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_orderkey").alias("number"))
+    requests = items.select(F.col("path").cast("long").alias("request"), "path").distinct()
+    return impact.pull_request_conflicts(requests, items).select("request", "number")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS name, o_totalprice AS v FROM orders")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to JSON lines and back."""
+    rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("v"))
+    lines = rows.select(F.to_json(F.struct("*")).alias("value")).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", "id long, name string, v double").alias("r")).select("r.*")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'issue' ELSE NULL END AS wrong FROM events")
+def allowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose kind isn't one of the allowed ones."""
+    columns = TABLES["insights"].columns
+    rows = b.table(spark, sf_dir, "events").select("event_id", *[(F.when(F.col("event_type") == "error", "issue").otherwise("discovery") if c == "insight_type" else F.lit(None).cast("string")).alias(c) for c in columns])
+    good, bad = checked("insights", rows)
+    return good.select("event_id", F.lit(None).cast("string").alias("wrong")).unionByName(bad.select("event_id", F.col("insight_type").alias("wrong")))
+
+
+@query("SELECT conv_id, turn, length(text) >= 20 AS valid FROM conversations")
+def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F24."""
+    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", schemas.is_valid(schemas.plain_text_output(20), F.col("text")).alias("valid"))
+
+
+@query(" SELECT path, NULL AS message FROM files WHERE false", index=True)
+def parse_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can't be parsed strictly."""
+    return extract.problems(b.files(spark, sf_dir)).select("path", "message")
+
+
+@query("SELECT p_partkey, 1 + p_size % 3 AS line FROM part")
+def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18."""
+    return b.table(spark, sf_dir, "part").select("p_partkey", text.line_of_offset(F.lit("a\nb\nc"), F.col("p_size") % 3 * 2).cast("long").alias("line"))
+
+
+@query()
+def dfs_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle for each edge back onto the path, depth first."""
+    return graph.cycles_by_repository(edges(spark, sf_dir).withColumn("repository_id", F.lit("main")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts_phrase_bm25(spark, sf_dir)

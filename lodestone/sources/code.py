@@ -153,3 +153,13 @@ def read_expertise(spark: SparkSession, path: str) -> tuple[DataFrame | None, st
     rows += [(k["path"], "key_file", k["path"], None, None) for k in (data.get("core_implementation") or {}).get("key_files") or [] if k.get("path")]
     out = spark.createDataFrame(rows, "name string, kind string, file_path string, description string, timestamp string")
     return out.withColumn("timestamp", F.try_to_timestamp("timestamp")), None
+
+
+def project_root(path: str, most: int = 10) -> str:
+    """The nearest folder above a file that has a package, a tsconfig or a git folder; else the path's first folder."""
+    folder = PurePosixPath(path).parent
+    for at in [folder, *folder.parents][:most]:
+        if any(Path(at, marker).exists() for marker in ("package.json", "tsconfig.json", ".git")):
+            return str(at)
+    parts = PurePosixPath(path).parts
+    return f"/{parts[1]}" if path.startswith("/") and len(parts) > 1 else str(folder)

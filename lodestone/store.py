@@ -44,6 +44,15 @@ class Store:
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in names or TABLES}
 
+    def query(self, sql: str, *arguments: object, names: tuple[str, ...] | None = None) -> DataFrame:
+        """SQL over the tables by their names, with ``?`` bound in order."""
+        for name in names or tuple(self._places()):
+            self.table(name).createOrReplaceTempView(name)
+        return self.spark.sql(sql, args=list(arguments) or None)
+
+    def exists(self, name: str) -> bool:
+        return name in self._places()
+
     def commit(self, changed: dict[str, DataFrame]) -> None:
         """Make all changed tables current at once."""
         places = self._places()
@@ -69,6 +78,10 @@ class Store:
                     gone += self._fs.delete(status.getPath(), True)
         return gone
 
+    def compact(self, files: int = 1) -> None:
+        """Write each table again into so many files; then snapshots that are not current can go."""
+        self.commit({name: self.table(name).coalesce(files) for name in self._places()})
+
     def size(self) -> int:
         """Bytes of all snapshots."""
         at = self._path(self.root)

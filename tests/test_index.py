@@ -237,3 +237,45 @@ def test_streamed_windows(spark, tmp_path):
     assert sorted((r.user, r.requests, r.remaining) for r in spark.table("rates").collect()) == [("u", 1, 1), ("u", 3, 0), ("v", 1, 1)]
     batch = spark.createDataFrame(rows, "user string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.events for r in watch.debounced(batch, "ts", "5 minutes", ["user"]).collect()) == [1, 1, 1, 2]
+
+
+def test_server(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    from lodestone import server
+
+    engine = Engine(spark, str(tmp_path / "s"), lambda: NOW)
+    engine.record_decision(title="t", context="c", decision="spark")
+    assert len(server.rpc(engine, {"id": 1, "method": "tools/list"}, "full")["result"]["tools"]) == 18
+    called = server.rpc(engine, {"id": 2, "method": "tools/call", "params": {"name": "get_index_statistics"}})
+    assert json.loads(called["result"]["content"][0]["text"])["decisions"] == 1
+    assert server.rpc(engine, {"id": 3, "method": "tools/call", "params": {"name": "odd"}})["error"]["code"] == -32602 and server.rpc(engine, {"method": "initialized"}) is None
+    http = server.serve(engine, 0, "default")
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/search?term=x") as r:
+        assert json.load(r)["counts"]["total"] == 0
+    http.shutdown()
+    assert server.answer(engine, "POST", "/validate-output", {"schema": {"type": "string", "minLength": 2}, "output": "a"})[1]["valid"] is False and server.answer(engine, "GET", "/none", {})[0] == 404
+
+
+def test_store_queries_and_migrations(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    ran = []
+    assert catalog.apply_migrations(store, {"1_a.sql": "a", "2_b.sql": "b"}, lambda m: ran.append(m.name), NOW) == (["1_a", "2_b"], []) and ran == ["1_a", "2_b"]
+    assert catalog.apply_migrations(store, {"1_a.sql": "changed", "2_b.sql": "b"}, lambda m: ran.append(m.name), NOW) == ([], ["1_a"])
+    assert [r.name for r in store.query("select name from schema_migrations where id > ? order by id", 1).collect()] == ["2_b"] and store.exists("schema_migrations") and not store.exists("decisions")
+    store.compact()
+    assert store.vacuum() == 2 and store.table("schema_migrations").count() == 2
+    metrics = spark.createDataFrame([], catalog.TABLES["workflow_metrics"].schema)
+    run = metrics.sparkSession.createDataFrame([(None, 7, NOW, NOW, True, 1, 1, 1, 0.5, None, None, None)] * 2, catalog.TABLES["workflow_metrics"].schema)
+    assert sorted(r.id for r in memory.add_metrics(memory.add_metrics(metrics, run), run).collect()) == [1, 2, 3, 4]
+
+
+def test_problems_and_roots(spark, tmp_path):
+    rows = spark.createDataFrame([("a.ts", "function f( {\n"), ("b.ts", "const a = 'x'; f({[1]})"), ("c.ts", "x = 'y\n}")], "path string, content string")
+    found = {(r.path, r.line) for r in extract.problems(rows).collect()}
+    assert {p for p, _ in found} == {"a.ts", "c.ts"} and ("c.ts", 2) in found
+    (tmp_path / "p" / "src").mkdir(parents=True)
+    (tmp_path / "p" / "package.json").write_text("{}")
+    assert code.project_root(str(tmp_path / "p" / "src" / "x.ts")) == str(tmp_path / "p") and code.project_root("/nowhere/a/b.ts") == "/nowhere"

@@ -14,7 +14,7 @@ WINDOW = 8
 #: Repeated windows may cover so many hundredths of the words.
 MAX_REPEAT = 30
 #: Word n-gram length: the largest share of characters (of those in words) inside repeated n-grams.
-NGRAMS = {3: 0.45, 5: 0.35, 6: 0.35, 10: 0.30}
+NGRAMS = {3: 0.45, 5: 0.40, 6: 0.40, 10: 0.40}
 MAX_LINE_CHARS = 0.40
 #: Symbols a word.
 MAX_SYMBOLS = 0.10

@@ -2,22 +2,22 @@
 
 Texts and templates are words in lower case without punctuation. A window has six words, two
 five-word shingles, and the next one begins two words later, so each shingle of a text lies in exactly one
-window and the windows overlap by four words. Templates are cut into such windows at every word,
-and into single shingles. A window that holds one template shingle has a Jaccard similarity of 1/2
-or more with one of those: with bands of one row, each of BANDS permutations collides with that
-probability, so all miss it with 2**-BANDS at most.
+window and the windows overlap by four words. The index holds every shingle of every template as
+a window of its own, with which a window that has it has a Jaccard similarity of 1/2 or more. There are
+two bands of one row: the minimum under a random permutation, and the minimum under the reverse of
+it. Of two shingles one is first in either order, so one of the bands collides for certain where
+independent bands would miss with 2**-bands.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS = 16
+STRIDE = 2
 CONTAINMENT = 0.8
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -56,11 +56,12 @@ def template_shingles(templates: dict[str, str]) -> list[tuple[str, int, list[st
     return out
 
 
-def _hash(parts: list[Column]) -> Column:
-    return F.xxhash64(*parts)
+def _bands(a: Column, b: Column) -> tuple[Column, Column]:
+    """Minimum of a window of two shingles under the order of their hashes, and under its reverse."""
+    return F.least(a, b), F.greatest(a, b)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each document and template that it contains: doc_id, license, containment, n_found, first_word.
 
     containment is the share of the template's distinct five-word shingles that the document has,
@@ -74,26 +75,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     if len(shingles) > 1000:
         raise ValueError("more than 1,000 template shingles")
     kept = spark.createDataFrame([(n, k, *w) for n, k, w in shingles], "license string, number int, " + ", ".join(f"w{i} string" for i in range(SHINGLE)))
-    kept = kept.select("license", "number", *[F.xxhash64(f"w{i}").alias(f"w{i}") for i in range(SHINGLE)])
-    kept = kept.select("license", "number", _hash([F.col(f"w{i}") for i in range(SHINGLE)]).alias("shingle"))
+    kept = kept.select("license", "number", F.xxhash64(*[F.xxhash64(f"w{i}") for i in range(SHINGLE)]).alias("shingle"))
+    index = sorted({r["shingle"] for r in kept.collect()})  # at most 1,000
     sizes = {n: sum(1 for x in shingles if x[0] == n) for n in templates}
-    rows = {(r["license"], r["number"]): r["shingle"] for r in kept.collect()}  # at most 1,000
-    windows = [[x] for x in rows.values()] + [[x, rows[n, k + 1]] for (n, k), x in rows.items() if (n, k + 1) in rows]
-    pairs = spark.createDataFrame([(min(w), max(w)) for w in windows], "a long, b long")
-    signature = lambda a, b: [F.least(F.xxhash64(a, F.lit(k)), F.xxhash64(b, F.lit(k))) for k in range(bands)]
-    minima = pairs.select(*[s.alias(f"s{k}") for k, s in enumerate(signature(F.col("a"), F.col("b")))]).distinct().collect()
 
     lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    split = F.filter(F.split(lower, SPLIT), lambda w: w != "")
-    hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.transform(split, lambda w: F.xxhash64(w)).alias("h"))
-    starts = F.greatest(F.size("h") - SHINGLE + 1, F.lit(0))
-    shifted = F.arrays_zip(*[F.slice("h", i + 1, starts).alias(f"w{i}") for i in range(SHINGLE + 1)])  # at the end the sixth word is null
-    every = hashed.select("doc_id", "text_key", F.posexplode(shifted).alias("at", "w")).where("at % 2 = 0")
-    w = [F.col(f"w.w{i}") for i in range(SHINGLE + 1)]
-    window = every.select("doc_id", "text_key", "at", _hash(w[:SHINGLE]).alias("a"), F.when(w[SHINGLE].isNull(), _hash(w[:SHINGLE])).otherwise(_hash(w[1:])).alias("b"))
-    collides = reduce(lambda x, y: x | y, [s.isin(sorted({r[k] for r in minima})) for k, s in enumerate(signature(F.col("a"), F.col("b")))])
-    retrieved = window.where(collides)
-    both = retrieved.select("doc_id", "text_key", F.explode(F.array(F.struct("at", F.col("a").alias("shingle")), F.struct((F.col("at") + 1).alias("at"), F.col("b").alias("shingle")))).alias("s"))
+    words_of = F.filter(F.split(lower, SPLIT), lambda w: w != "")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(words_of, lambda w: F.xxhash64(w)).alias("h"))
+    shingle = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(SHINGLE)])
+    # after the last word xxhash64 skips what is null: such a second shingle is no five words and fits no template
+    window = lambda i: F.struct(i.alias("at"), shingle(i).alias("a"), shingle(i + 1).alias("b"))
+    windows = F.when(F.size("h") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("h") - SHINGLE, F.lit(STRIDE)), window))
+
+    def collides(w: Column) -> Column:
+        low, high = _bands(w["a"], w["b"])
+        return low.isin(index) | high.isin(index)
+
+    retrieved = hashed.select("doc_id", "text_key", F.explode(F.filter(windows, collides)).alias("w"))
+    both = retrieved.select("doc_id", "text_key", F.explode(F.array(F.struct(F.col("w.at").alias("at"), F.col("w.a").alias("shingle")), F.struct((F.col("w.at") + 1).alias("at"), F.col("w.b").alias("shingle")))).alias("s"))
     found = both.select("doc_id", "text_key", "s.at", "s.shingle").join(F.broadcast(kept), "shingle")
     size = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("license"))
     per = found.groupBy("doc_id", "text_key", "license", "number").agg(F.min("at").alias("at")).groupBy("doc_id", "text_key", "license").agg(F.count("*").alias("n_found"), F.min("at").cast("long").alias("first_word"))

@@ -8,9 +8,12 @@ ranges of ranks, so each piece works out its sequence and offset on its own.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 BUCKETS = 256
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers.
+REMEMBERED = 800_000
 
 
 def default_tokenizer() -> str:
@@ -33,30 +36,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: Letters that are lower-cased one by one, and marks that may follow them in a word.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+_MARKS = ".,;:!?|#*$%&"
+
+
 class Ids:
     """Token ids of texts, little-endian 32-bit, word by word.
 
     The tokenizer's normaliser and splitter never look across an ASCII blank, so a text's ids are
-    those of its words one after another; those of a word are remembered.
+    those of its words one after another; those of a word are remembered. New words of letters are
+    encoded many at a time: the last token of each is one that ends words, which tells them apart.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(words), 1000):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[at : at + 1000], add_special_tokens=False)]
+        return found
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only."""
+        found = []
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                found += self.encode(part)
+                continue
+            raw = ids.tobytes()
+            found += [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words; what is letters and then marks is put together from both."""
+        known, cores, other, marked = self.known, set(), [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and (core.isalpha() if core.isascii() else _LETTERS.fullmatch(core)):
+                low = core.lower()
+                cores.add(low)
+                if low != w:
+                    marked.append((w, low, w[len(core) :]))
+            else:
+                other.append(w)
+        new = list(cores.difference(known))
+        known.update(zip(new, self.letters(new), strict=True))
+        other += {rest for _, _, rest in marked}.difference(known, other)
+        known.update(zip(other, self.encode(other), strict=True))
+        for w, low, rest in marked:
+            known[w] = known[low] + known[rest]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").split(" ") if "\n" not in (t or "") and "\t" not in (t or "") else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        for at in range(0, len(words), 256):
-            new = list({w for ws in words[at : at + 256] for w in ws if w not in known})
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        if new := set(chain.from_iterable(words)).difference(self.known):
+            self.learn(new)
+        of = self.known.__getitem__
+        return [b"".join(map(of, ws)) for ws in words]
+
+
+_LOADED: dict[str, Ids] = {}
+
+
+def loaded(path: str) -> Ids:
+    """One for each worker process, as workers are used again."""
+    if path not in _LOADED:
+        _LOADED[path] = Ids(path)
+    return _LOADED[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -64,10 +122,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 out: list[tuple] = []
                 for doc, raw in zip(part.column(0).to_pylist(), ids.batch(part.column(1).to_pylist()), strict=True):
                     raw += END.to_bytes(4, "little")
@@ -76,6 +134,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                         out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.known.clear()  # the worker lives on, and other operators need its memory
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -28,8 +28,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     groups = keys.groupBy(*key).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.max_by("row", order).alias("keep_row"))
     distinct = texts.groupBy(F.md5("norm").alias("md5"), "norm").agg(F.count("*").alias("copies"))
     compared = distinct.select("md5", F.sha2("norm", 256).alias("text_sha256")).groupBy(*key).agg(F.count("*").alias("texts"))
+    # staged, so that the join below stands on plain exchanges and a large group's rows can be split
     checked = groups.join(compared, key).withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")))
-    return keys.join(checked, key).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
+    return keys.join(staged(checked), key).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ SEED = 42
 #: At anchors with more homes than this, links are found block by block and leave as spanning forests.
 SMALL = 64
 BLOCK = 1024
+#: Anchors that are marked by a broadcast; more are marked by a join.
+BROADCAST = 200_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -108,12 +110,12 @@ def links(fps: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """
     homes, replicas = anchored(fps)
     key = ["side", "anchor"]
-    size = homes.groupBy(*key).agg(F.count("*").alias("homes"))
-    few = homes.join(size.where(F.col("homes") <= small), key).select(*key, F.col("fp").alias("a"))
-    pairs = few.join(replicas.select(*key, F.col("fp").alias("b")), key).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD).select("a", "b")
+    hot = staged(homes.groupBy(*key).agg(F.count("*").alias("homes")).where(F.col("homes") > small))
+    mark = F.broadcast(hot) if hot.count() <= BROADCAST else hot
+    few, reps = (x.join(mark, key, "left_anti") for x in (homes.withColumnRenamed("fp", "a"), replicas.withColumnRenamed("fp", "b")))
+    pairs = few.join(reps, key).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD).select("a", "b")
 
-    hot = size.where(F.col("homes") > small)
-    reps = replicas.join(hot, key)
+    reps = replicas.join(mark, key)
     dealt = staged(hot.join(reps.groupBy(*key).agg(F.count("*").alias("reps")), key).select(*key, F.ceil(F.col("homes") / block).cast("long").alias("h"), F.ceil(F.col("reps") / block).cast("long").alias("r")))
     mix = F.xxhash64("fp")
     hot_homes = homes.join(dealt, key).select(*key, "fp", F.pmod(mix, "h").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("j"), F.lit(True).alias("home"))

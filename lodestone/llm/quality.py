@@ -124,3 +124,32 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all columns."""
     columns = docs.columns
     return docs.withColumn("_q", quality(F.col("text"))).where("_q.kept").select(*columns)
+
+
+def oracle() -> str:
+    """DuckDB SQL for doc_id, the base columns, line_cover, symbol_ratio, base_failed and kept."""
+    lengths = ", ".join(f"({n})" for n in sorted({*NGRAMS, WINDOW}))
+    shares = ", ".join(f"({n}, {most})" for n, most in NGRAMS.items())
+    blank = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{blank}+'), lambda x: x <> '') AS w FROM d),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
+n(n) AS (VALUES {lengths}),
+g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram, unnest(range(1, len(w) - n + 2)) AS i FROM w, n WHERE len(w) >= n),
+h AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, gram) AS seen FROM g),
+c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS pos FROM h WHERE seen > 1),
+p AS (SELECT doc_id, unnest(list_transform(w, lambda x: length(x))) AS size, unnest(range(1, len(w) + 1)) AS pos FROM w),
+cover AS (SELECT doc_id, n, count(*) AS words, sum(size) AS chars FROM c JOIN p USING (doc_id, pos) GROUP BY doc_id, n),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT doc_id, line, count(*) - 1 AS again FROM l WHERE regexp_replace(line, '{blank}', '', 'g') <> '' GROUP BY doc_id, line),
+lines AS (SELECT doc_id, sum(again) AS n_dup_lines, sum(again * length(regexp_replace(line, '{blank}', '', 'g'))) AS chars FROM m GROUP BY doc_id),
+share(n, most) AS (VALUES {shares}),
+over AS (SELECT DISTINCT doc_id FROM cover JOIN share USING (n) JOIN b USING (doc_id) WHERE chars / word_chars > CAST(most AS DOUBLE)),
+a AS (
+  SELECT b.*, CAST(coalesce(lines.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.words, 0) AS BIGINT) AS n_repeat_words,
+    CASE WHEN word_chars > 0 THEN coalesce(lines.chars, 0) / word_chars ELSE 0 END AS line_cover, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio
+  FROM b LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT doc_id, words FROM cover WHERE n = {WINDOW}) r USING (doc_id)
+),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND line_cover <= {MAX_LINE_CHARS} AND symbol_ratio <= {MAX_SYMBOLS} AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM f"""

@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing
+from . import licenses, mixing, quality
 from .common import table
 from .exact_dedup import exact_groups
 from .html import extracted
 from .packing import packed
 from .pii import digests
-from .quality import quality_rules
 from .simhash import near_groups
 from .toxicity import scored
 from .urls import judged
@@ -25,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("ngram_cover")
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("ngram_cover")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +67,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     norm = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
+        "op2_quality_rules": quality.oracle(),
         "op3_mixing": mixing.oracle(),
         "op8_licenses": licenses.oracle(),
         "op6_exact_dedup": f"""

@@ -139,6 +139,82 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+class Lengths:
+    """How many pieces of each length are left, and the lengths and their sums as sets of bits."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.capacity, self.left = capacity, [0] * (capacity + 1)
+        self.have = self.mirrored = 0
+        for x, n in counts.items():
+            self.left[x] = n
+            self.have |= 1 << x
+            self.mirrored |= 1 << (capacity - x)
+        self.sums_mirrored, self.stale = 0, True
+
+    def take(self, lengths: list[int]) -> int:
+        """Use up a pattern as often as its parts last."""
+        times = Counter(lengths)
+        n = min(self.left[x] // k for x, k in times.items())
+        for x, k in times.items():
+            self.left[x] -= n * k
+            if not self.left[x]:
+                self.have ^= 1 << x
+                self.mirrored ^= 1 << (self.capacity - x)
+                self.stale = True
+        return n
+
+    def sums(self) -> None:
+        """Index all sums of two lengths up to capacity; what is gone since makes it too large, never too small."""
+        found, rest = 0, self.have
+        while rest:
+            x = rest.bit_length() - 1
+            found |= self.have << x
+            rest ^= 1 << x
+        found &= (2 << self.capacity) - 1
+        self.sums_mirrored = int(f"{found:0{self.capacity + 1}b}"[::-1], 2)
+        self.stale = False
+
+    def pair(self, gap: int, spent: Counter) -> tuple[int, int] | None:
+        """Two lengths that add up to gap, the longer as long as can be."""
+        if gap < 2:
+            return None
+        have, mirrored = self.have, self.mirrored
+        for x, k in spent.items():
+            if 0 < self.left[x] <= k:
+                have ^= 1 << x
+                mirrored ^= 1 << (self.capacity - x)
+        both = have & (mirrored >> (self.capacity - gap)) & ((1 << gap) - 2)
+        if gap % 2 == 0 and both >> (gap // 2) & 1 and self.left[gap // 2] - spent[gap // 2] < 2:
+            both ^= 1 << (gap // 2)
+        longer = both.bit_length() - 1
+        return (longer, gap - longer) if both else None
+
+    def triple(self, gap: int, most: int, spent: Counter) -> tuple[int, int, int] | None:
+        """Three lengths that add up to gap, the first as long as can be and at most ``most``."""
+        if not self.sums_mirrored:
+            self.sums()
+        below = (2 << min(gap - 2, most)) - 1 if gap > 2 else 0
+        while found := self.have & (self.sums_mirrored >> (self.capacity - gap)) & below:
+            first = found.bit_length() - 1
+            if self.left[first] > spent[first] and (two := self.pair(gap - first, spent + Counter([first]))):
+                return first, *two
+            if self.stale:
+                self.sums()
+            else:
+                below = (1 << first) - 1
+        return None
+
+    def best(self, gap: int, spent: Counter) -> int:
+        """The longest length that fits, or 0."""
+        have = self.have & ((2 << gap) - 1)
+        while have:
+            x = have.bit_length() - 1
+            if self.left[x] > spent[x]:
+                return x
+            have ^= 1 << x
+        return 0
+
+
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(sequences, lengths): every piece in exactly one sequence of at most ``capacity``.
 
@@ -146,62 +222,33 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     pairs and the sums of triples that are still there; what fills it exactly is consumed as often
     as its parts last. What remains is packed by best fit, the longest piece that fits going next.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
+    pool = Lengths(counts, capacity)
     out: list[tuple[int, list[int]]] = []
 
-    def take(lengths: list[int]) -> int:
-        times = Counter(lengths)
-        n = min(int(left[x]) // k for x, k in times.items())
-        for x, k in times.items():
-            left[x] -= n * k
-        if n:
+    def use(lengths: list[int]) -> bool:
+        if n := pool.take(lengths):
             out.append((n, lengths))
-        return n
+        return n > 0
 
-    def pair(gap: int, spent: Counter) -> tuple[int, int] | None:
-        """Two lengths that add up to gap, the longer as long as can be."""
-        if gap < 2:
-            return None
-        have = left[: gap + 1].copy()
-        for x, k in spent.items():
-            if x <= gap:
-                have[x] -= k
-        low = np.arange(1, gap // 2 + 1)
-        ok = (have[low] > 0) & (have[gap - low] > 0) & ((2 * low < gap) | (have[low] > 1))
-        at = np.flatnonzero(ok)
-        return (gap - int(low[at[0]]), int(low[at[0]])) if len(at) else None
-
-    if left[capacity]:
-        take([capacity])
+    if pool.left[capacity]:
+        use([capacity])
     for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        while left[length]:
-            spent = Counter([length])
-            if gap <= length and left[gap] > (gap == length) and take([length, gap]):
+        gap, spent = capacity - length, Counter([length])
+        while pool.left[length]:
+            if gap <= length and pool.left[gap] > (gap == length) and use([length, gap]):
                 continue
-            if (two := pair(gap, spent)) and take([length, *two]):
+            if (two := pool.pair(gap, spent)) and use([length, *two]):
                 continue
-            for first in np.flatnonzero(left[1 : min(gap, length) + 1])[::-1] + 1:
-                first = int(first)
-                if left[first] > spent[first] and (two := pair(gap - first, spent + Counter([first]))) and take([length, first, *two]):
-                    break
-            else:
+            if not ((three := pool.triple(gap, length, spent)) and use([length, *three])):
                 break
-    while left.any():
+    while pool.have:
         lengths, gap, spent = [], capacity, Counter()
-        while len(at := np.flatnonzero(left[1 : gap + 1])):
-            at = at[::-1] + 1
-            best = next((int(x) for x in at if left[x] > spent[int(x)]), 0)
-            if not best:
-                break
-            # as many of the best length as fit and are there
-            many = min(gap // best, int(left[best]) - spent[best])
+        while best := pool.best(gap, spent):
+            many = min(gap // best, pool.left[best] - spent[best])  # as many as fit and are there
             lengths += [best] * many
             spent[best] += many
             gap -= best * many
-        take(lengths)
+        use(lengths)
     return out
 
 

@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     A folder of our own is set only where there is none, as in tests on one machine.
     """
     context = spark.sparkContext
-    if found := context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return found
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return found or context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -59,8 +64,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs to one row (node, root) for each node that has an edge; root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges no longer change. Each step is
-    a minimum for each node and a join with it, so a node of any degree stays a sum that is
-    combined before the shuffle, and no neighbour list is ever collected.
+    a minimum for each node, which is combined before the shuffle, and a join with it. The minima
+    are staged, so the join stands on plain exchanges and the edges of a large node can be split.
+    No neighbour list is ever collected.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -70,8 +76,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = tuple(mark)
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         now = staged(small)

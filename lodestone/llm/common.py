@@ -33,6 +33,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table written into the plan; ``schema`` as for createDataFrame."""
+    fields = [c.split() for c in schema.split(", ")]
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    listed = ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {listed} AS t({', '.join(n for n, _ in fields)})")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 SHINGLE = 5
 STRIDE = 2
 CONTAINMENT = 0.8
@@ -74,7 +76,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     shingles = template_shingles(templates)
     if len(shingles) > 1000:
         raise ValueError("more than 1,000 template shingles")
-    kept = spark.createDataFrame([(n, k, *w) for n, k, w in shingles], "license string, number int, " + ", ".join(f"w{i} string" for i in range(SHINGLE)))
+    kept = values(spark, [(n, k, *w) for n, k, w in shingles], "license string, number int, " + ", ".join(f"w{i} string" for i in range(SHINGLE)))
     kept = kept.select("license", "number", F.xxhash64(*[F.xxhash64(f"w{i}") for i in range(SHINGLE)]).alias("shingle"))
     index = sorted({r["shingle"] for r in kept.collect()})  # at most 1,000
     sizes = {n: sum(1 for x in shingles if x[0] == n) for n in templates}

@@ -4,8 +4,8 @@ Each source's rows form blocks. A source that has ``k`` of the ``M`` slots of a
 its weight w = k/M, run its block j (from 0) in the window from floor(j/w) to ceil((j+1)/w).
 Among the blocks that are released, the one with the earliest deadline gets the slot. As the
 weights are multiples of 1/M, all windows repeat after one frame, and so does the schedule:
-M slots of it, however many rows there are, are worked out by a recursion in SQL, and each block
-finds its slot by its number within its source.
+M slots of it, however many rows there are, are worked out once and written into the plan, and each
+block finds its slot by its number within its source.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, values
 
 #: Slots of 100 for each source; "other" stands for every other source, and for none.
 WEIGHTS = {"src0": 20, **{f"src{i}": 5 for i in range(1, 10)}, **{f"src{i}": 3 for i in range(10, 19)}, "src19": 4, "other": 4}
@@ -34,7 +34,7 @@ def frame(weights: dict[str, int]) -> list[dict]:
 
 def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     """The frame as a table of sum(weights) rows."""
-    return spark.createDataFrame([(x["class"], x["job"], x["slot"], x["release"], x["deadline"]) for x in frame(weights)], "class string, job long, slot_in_frame long, release_in_frame long, deadline_in_frame long")
+    return values(spark, [(x["class"], x["job"], x["slot"], x["release"], x["deadline"]) for x in frame(weights)], "class string, job bigint, slot_in_frame bigint, release_in_frame bigint, deadline_in_frame bigint")
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> DataFrame:

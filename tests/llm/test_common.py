@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, components, ranked
+from lodestone.llm.common import ascii_lower, components, ranked, values
 
 
 def brute(edges):
@@ -59,3 +59,8 @@ def test_ascii_lower(spark):
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ascii_lower(F.col("t"))).collect()]
     assert got == [(t or "").translate(up) for t in texts]
+
+
+def test_values(spark):
+    rows = [("it's", 1), ("back\\slash", 2), ("plain", 3)]
+    assert [tuple(r) for r in values(spark, rows, "s string, n bigint").collect()] == rows

@@ -1 +1 @@
-
+"""A Spark engine for code intelligence."""

@@ -1 +1 @@
-
+"""Plans that put operators together."""

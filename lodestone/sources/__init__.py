@@ -1 +1 @@
-
+"""What is read and written."""

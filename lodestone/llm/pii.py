@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,16 +87,39 @@ def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _words(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """Words of a stretch, without those that it cuts."""
+    found = [m.span() for m in _WORD.finditer(text, low, high)]
+    if found and found[0][0] == low > 0 and _WORD.match(text[low - 1]):
+        found = found[1:]
+    if found and found[-1][1] == high < len(text) and _WORD.match(text[high]):
+        found = found[:-1]
+    return found
+
+
 def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The words beside each span: entity, context, term, start, end. Other spans are not words."""
-    inside = sorted((s, e) for _, s, e in spans)
-    out = []
+    """The words beside each span: entity, context, term, start, end. What spans cover are no words."""
+    starts, ends = _merged(spans)
+    free = lambda s, e: (k := bisect_left(starts, e) - 1) < 0 or ends[k] <= s
+    out, reach = [], 24 * CONTEXT
     for kind, start, end in spans:
-        who, reach = _key(entity(kind, text[start:end])), 24 * CONTEXT
-        low, high = max(0, start - reach), end + reach
-        before = [m.span() for m in _WORD.finditer(text, low, start)][-CONTEXT:]
-        after = [m.span() for m in _WORD.finditer(text, end, min(len(text), high))][:CONTEXT]
-        words = [(s, e) for s, e in before + after if not any(a < e and s < b for a, b in inside if a < e)]
+        who = _key(entity(kind, text[start:end]))
+        before = _words(text, max(0, start - reach), start)[-CONTEXT:]
+        after = _words(text, end, min(len(text), end + reach))[:CONTEXT]
+        words = [(s, e) for s, e in before + after if free(s, e)]
         terms = [text[s:e].lower() for s, e in words]
         context = _key(" ".join(terms))
         out += [{"entity": who, "context": context, "term": _key(t), "start": s, "end": e} for t, (s, e) in zip(terms, words, strict=True) if len(t) > 2]

@@ -263,6 +263,16 @@ def test_long_runs_stay_linear():
         pii.base_spans(text)
 
 
+def test_neighbours():
+    text = "alpha beta ann@mail.example.com gamma +1 (017) 555-7713 delta"
+    found = {text[x["start"] : x["end"]] for x in pii.neighbours(text, pii.base_spans(text))}
+    assert found == {"alpha", "beta", "gamma", "delta"}
+    cut = "x" * 300 + " near a@b.cd " + "y" * 300
+    assert {cut[x["start"] : x["end"]] for x in pii.neighbours(cut, pii.base_spans(cut))} == {"near"}
+    many = "word a@b.cd " * 20_000
+    assert len(pii.neighbours(many, pii.base_spans(many))) > 20_000
+
+
 def test_disclosing_terms(spark, clashing):
     """A nickname that only stands beside one address is a span; common words and copies are not."""
     rng = random.Random(1)

@@ -47,6 +47,21 @@ def search(rows: DataFrame, columns: list[str], query: str, limit: int | None =
     return (found if where is None else found.where(where)).orderBy("score", *(ties or [])).limit(clamp_limit(limit))
 
 
+def search_many(rows: DataFrame, key: str, columns: list[str], queries: list[str], limit: int | None = None) -> DataFrame:
+    """(query, key, tf, dl, score) of the best rows for each of many phrases, in one scan of the texts for all of them."""
+    phrases = {q: query_tokens(q) for q in queries}
+    texts = {f"_t{k}": token_text(F.col(c)) for k, c in enumerate(columns)}
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    counts = F.array(*[F.struct(F.lit(q).alias("query"), total([phrase_count(F.col(t), p) for t in texts]).cast("long").alias("tf")) for q, p in phrases.items()])
+    counted = rows.withColumns(texts).select(F.col(key).alias("key"), total([token_count(F.col(t)) for t in texts]).alias("dl"), F.filter(counts, lambda c: c["tf"] > 0).alias("found"))
+    hits = counted.select("key", "dl", F.explode("found").alias("f")).select("f.query", "key", "f.tf", "dl")
+    corpus = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
+    n = hits.groupBy("query").agg(F.count("*").alias("n_hits"))  # a row for each query
+    ranked = bm25(hits.join(F.broadcast(n), "query").withColumns({c: corpus.select(c).scalar() for c in ("n_rows", "avg_dl")}))
+    best = Window.partitionBy("query").orderBy("score", "key")
+    return ranked.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= clamp_limit(limit)).select("query", "key", "tf", "dl", "score")
+
+
 def postings(rows: DataFrame, key: str, columns: list[str], buckets: int = 64) -> DataFrame:
     """(bucket, token, key, column, positions): write it partitioned by bucket, and a search reads few files."""
     each = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("tokens")) for c in columns])).alias("c"))

@@ -88,6 +88,13 @@ def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("item_id"), "tf", "dl", F.round("score", 6).alias("score"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, * FROM ({_bm25('documents', ['text'], 'doc_id', q)})" for q in ("the of", "of the and", "in the")))
+def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 for many phrases at once."""
+    found = search.search_many(docs(spark, sf_dir), "doc_id", ["text"], ["the of", "of the and", "in the"])
+    return found.select("query", F.col("key").alias("doc_id"), "tf", "dl", F.round("score", 6).alias("score"))
+
+
 @query(
     """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),

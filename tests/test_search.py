@@ -37,6 +37,14 @@ def test_phrases_rank_as_fts5(spark, corpus, query):
     assert {r.key: r.score for r in search.search_postings(index, sizes, query, 100).collect()} == pytest.approx(want, rel=1e-6)
 
 
+def test_many_phrases_at_once(spark, corpus):
+    rows = spark.createDataFrame(corpus, "id long, path string, content string")
+    queries = ["alpha", "beta gamma", "nowhere", "--"]
+    found = search.search_many(rows, "id", ["path", "content"], queries, 100).collect()
+    for q in queries:
+        assert {r.key: r.score for r in found if r.query == q} == pytest.approx(fts(corpus, q) if q != "--" else {}, rel=1e-6)
+
+
 def test_empty_query_and_limits(spark, corpus):
     rows = spark.createDataFrame(corpus, "id long, path string, content string")
     assert search.search(rows, ["content"], " -- ").count() == 0

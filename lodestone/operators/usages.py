@@ -26,10 +26,10 @@ def find_usages(symbols: DataFrame, references: DataFrame, files: DataFrame, wan
     A reference counts by name or by the id of its symbol. A symbol without a definition has no usages.
     """
     where = definitions(symbols, files, wanted)
-    refs = references.select("repository_id", F.col("symbol_name").alias("_name"), F.col("target_symbol_id").alias("_target"), "line_number", "column_number", "reference_type", "file_id", F.col("id").alias("_ref"))
+    refs = references.select("repository_id", F.col("symbol_name").alias("_name"), F.col("target_symbol_id").alias("_target"), "line_number", "column_number", "reference_type", "file_id")
     by_name = refs.join(where.drop("file_id"), (refs["repository_id"] == where["repository_id"]) & (F.col("_name") == F.col("name"))).drop(refs["repository_id"])
     by_id = refs.join(where.drop("file_id"), (refs["repository_id"] == where["repository_id"]) & (F.col("_target") == F.col("symbol_id"))).drop(refs["repository_id"])
-    found = by_name.unionByName(by_id).dropDuplicates(["_ref", "symbol_id"])
+    found = by_name.unionByName(by_id.where(~F.col("_name").eqNullSafe(F.col("name"))))  # each reference once
     text = files.select(F.col("id").alias("file_id"), F.col("path").alias("file"), "content")
     found = found.join(text, "file_id")
     if not include_tests:

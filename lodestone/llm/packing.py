@@ -13,7 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 BUCKETS = 256
 #: Words whose ids a task remembers.
 REMEMBERED = 800_000
+#: Words that a worker keeps for its next task.
+KEPT = 100_000
 
 
 def default_tokenizer() -> str:
@@ -67,9 +69,9 @@ class Ids:
     def letters(self, words: list[str]) -> list[bytes]:
         """Ids of words that are letters only."""
         found = []
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 found += self.encode(part)
@@ -97,10 +99,14 @@ class Ids:
         for w, low, rest in marked:
             known[w] = known[low] + known[rest]
 
+    def trim(self) -> None:
+        """Keep the words that came first, mostly frequent ones: the worker lives on, and other operators need its memory."""
+        self.known = dict(islice(self.known.items(), KEPT))
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.trim()
         if new := set(chain.from_iterable(words)).difference(self.known):
             self.learn(new)
         of = self.known.__getitem__
@@ -134,7 +140,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                         out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        ids.known.clear()  # the worker lives on, and other operators need its memory
+        ids.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,23 +20,42 @@ ACCENTED, PLAIN = _accents()
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it.
+
+    Aliases alone don't do that: a filter on a column is pushed below the projection with the
+    column's whole expression in each place.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without diacritics; texts of ASCII characters alone need no translation."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.when(is_ascii(low), low).otherwise(F.translate(low, ACCENTED, PLAIN)))
 
 
 def token_text(text: Column) -> Column:
-    """All tokens with one blank before, between and behind them."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(text), SEPARATOR, " ")), F.lit(" "))
+    """All tokens with two blanks before, between and behind them: two phrases in a row share none."""
+    plain = lambda low: F.when(is_ascii(low), F.regexp_replace(low, "[^a-z0-9]+", "  ")).otherwise(F.regexp_replace(low, SEPARATOR, "  "))
+    return F.concat(F.lit("  "), F.trim(let(fold(text), plain)), F.lit("  "))
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), SEPARATOR), lambda t: t != "")
 
 
+def _times(text: Column, part: str) -> Column:
+    """How often a part stands in a text, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
 def token_count(text: Column) -> Column:
     """Tokens of a ``token_text``."""
-    return F.when(F.length(text) <= 2, F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) - 1).cast("long")
+    return F.when(F.length(text) <= 4, F.lit(0).cast("long")).otherwise(_times(text, "  ") - 1)
 
 
 def query_tokens(query: str) -> list[str]:
@@ -47,9 +67,11 @@ def query_tokens(query: str) -> list[str]:
 def phrase_count(text: Column, phrase: list[str]) -> Column:
     """How often the tokens stand next to one another in a ``token_text``; overlaps count."""
     if not phrase:
-        return F.lit(0)
-    rest = "".join(f" {t}" for t in phrase[1:])
-    return F.regexp_count(text, F.lit(f"(?<= ){phrase[0]}(?={rest} )"))
+        return F.lit(0).cast("long")
+    if any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase))):  # it can overlap itself
+        rest = "".join(f"  {t}" for t in phrase[1:])
+        return F.regexp_count(text, F.lit(f"(?<= ){phrase[0]}(?={rest} )")).cast("long")
+    return _times(text, f" {'  '.join(phrase)} ")
 
 
 def line_snippets(content: Column, needle: str, context: int = 3) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import phrase_count, query_tokens, token_count, token_text, tokens
+from ..functions.text import let, phrase_count, query_tokens, token_count, token_text, tokens
 
 K1, B = 1.2, 0.75
 #: What a rarer-than-not term weighs at least.
@@ -25,18 +26,30 @@ def bm25(found: DataFrame, tf: str = "tf", size: str = "dl", rows: str = "n_rows
     return found.withColumn("score", -idf * weight)
 
 
+def _add_tf(k: int) -> Callable[[Column, Column], Column]:
+    return lambda n, c: n + F.get(c["tfs"], F.lit(k))
+
+
+def _counts(columns: list[str], phrases: list[list[str]]) -> Column:
+    """A struct of tokens in all columns (dl), and of how often each phrase stands in one of them (tfs)."""
+    each = F.transform(F.array(*[token_text(F.col(c)) for c in columns]), lambda t: F.struct(token_count(t).alias("dl"), F.array(*[phrase_count(t, p) for p in phrases]).alias("tfs")))
+    if len(columns) == 1:
+        return F.get(each, F.lit(0))
+    return let(each, lambda e: F.struct(F.aggregate(e, F.lit(0).cast("long"), lambda n, c: n + c["dl"]).alias("dl"), F.array(*[F.aggregate(e, F.lit(0).cast("long"), _add_tf(k)) for k in range(len(phrases))]).alias("tfs")))
+
+
 def phrase_hits(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows in one of whose columns the phrase stands, with tf, dl and score; statistics are over all rows.
 
-    One scan makes the counts of each row; the totals are one row that a scalar subquery brings back.
-    A query without a token finds nothing.
+    One scan makes the totals, one row that a scalar subquery brings back, another the rows that are
+    found. A query without a token finds nothing.
     """
     phrase = query_tokens(query)
-    texts = {f"_t{k}": token_text(F.col(c)) for k, c in enumerate(columns)}
-    total = lambda parts: reduce(lambda a, b: a + b, parts)
-    counted = rows.withColumns(texts).withColumns({"tf": total([phrase_count(F.col(t), phrase) for t in texts]).cast("long"), "dl": total([token_count(F.col(t)) for t in texts])}).drop(*texts)
-    stats = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), F.count_if(F.col("tf") > 0).alias("n_hits"))
-    hits = counted.where("tf > 0")
+    counts = _counts(columns, [phrase])
+    tf = lambda c: F.get(c["tfs"], F.lit(0))
+    stats = rows.select(counts.alias("_c")).select("_c.dl", tf(F.col("_c")).alias("tf")).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"), F.count_if(F.col("tf") > 0).alias("n_hits"))
+    # an explode of what is found: a filter would work out the counts once more
+    hits = rows.withColumn("_c", F.explode(F.filter(F.array(counts), lambda c: tf(c) > 0))).withColumns({"tf": tf(F.col("_c")), "dl": F.col("_c.dl")}).drop("_c")
     with_stats = hits.withColumns({c: stats.select(c).scalar() for c in ("n_rows", "avg_dl", "n_hits")})
     return bm25(with_stats).drop("n_rows", "avg_dl", "n_hits")
 
@@ -49,11 +62,8 @@ def search(rows: DataFrame, columns: list[str], query: str, limit: int | None =
 
 def search_many(rows: DataFrame, key: str, columns: list[str], queries: list[str], limit: int | None = None) -> DataFrame:
     """(query, key, tf, dl, score) of the best rows for each of many phrases, in one scan of the texts for all of them."""
-    phrases = {q: query_tokens(q) for q in queries}
-    texts = {f"_t{k}": token_text(F.col(c)) for k, c in enumerate(columns)}
-    total = lambda parts: reduce(lambda a, b: a + b, parts)
-    counts = F.array(*[F.struct(F.lit(q).alias("query"), total([phrase_count(F.col(t), p) for t in texts]).cast("long").alias("tf")) for q, p in phrases.items()])
-    counted = rows.withColumns(texts).select(F.col(key).alias("key"), total([token_count(F.col(t)) for t in texts]).alias("dl"), F.filter(counts, lambda c: c["tf"] > 0).alias("found"))
+    phrases = [query_tokens(q) for q in queries]
+    counted = rows.select(F.col(key).alias("key"), _counts(columns, phrases).alias("_c")).select("key", "_c.dl", F.filter(F.arrays_zip(F.array(*[F.lit(q) for q in queries]).alias("query"), F.col("_c.tfs").alias("tf")), lambda c: c["tf"] > 0).alias("found"))
     hits = counted.select("key", "dl", F.explode("found").alias("f")).select("f.query", "key", "f.tf", "dl")
     corpus = counted.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
     n = hits.groupBy("query").agg(F.count("*").alias("n_hits"))  # a row for each query
@@ -83,11 +93,11 @@ def search_postings(index: DataFrame, sizes: DataFrame, query: str, limit: int |
     """
     phrase = query_tokens(query)
     if not phrase:
-        return index.limit(0).select("key", F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(0.0).alias("score"))
+        return index.limit(0).select("key", F.lit(0).alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(0.0).alias("score"))
     own = index.where(F.col("token").isin(sorted(set(phrase))) & F.col("bucket").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in sorted(set(phrase))]))
     at = own.groupBy("key", "column").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
     hit = reduce(F.array_intersect, [_shifted(t, k) for k, t in enumerate(phrase)])
-    tf = at.groupBy("key").agg(F.sum(F.size(hit)).cast("long").alias("tf")).where("tf > 0")
+    tf = at.groupBy("key").agg(F.sum(F.size(hit)).alias("tf")).where("tf > 0")
     found = tf.join(sizes, "key")
     total = sizes.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
     with_stats = found.withColumns({"n_rows": total.select("n_rows").scalar(), "avg_dl": total.select("avg_dl").scalar(), "n_hits": tf.agg(F.count("*").alias("n")).scalar()})

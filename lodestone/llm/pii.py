@@ -1,10 +1,13 @@
 """Personal data: patterns, and terms that the corpus shows to give a person away.
 
 The patterns find the protected entities. Terms that stand next to an entity are counted with
-it over the corpus. By information theory a term t discloses an entity e as far as it lowers
-the information in e: PMI(t; e) / IC(e), with IC(e) = -log p(e), which is 1 where t never occurs
-without e. A term at or above a threshold becomes a span of kind "term": it is generalised, or
-removed from a higher threshold on.
+it over the corpus, and with the entity's group: the domain of an address, the network of an IP,
+the issuer of a card, the area of a phone number. By information theory a term t discloses e as
+far as it lowers the information in e: PMI(t; e) / IC(e), with IC(e) = -log p(e), which is 1
+where t never occurs without e. p(e | t) is smoothed towards p(e) by PRIOR sightings, so one
+sighting counts, but for less than many: it suffices where e is rare enough. A term at or above
+a threshold becomes a span of kind "term": it is generalised, or removed from a higher threshold
+on.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .common import staged
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as its context.
 CONTEXT = 8
-#: A pair needs so many different contexts; copies of a document have the same ones.
-SUPPORT = 3
+#: Sightings without the term's help that p(e | t) is smoothed by.
+PRIOR = 1.0
 GENERALISE, REMOVE = 0.90, 0.98
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,6 +86,16 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(_DIGIT.findall(value))}"
 
 
+def group(kind: str, value: str) -> str:
+    """What entities have in common: the domain, the first two numbers of an IP, the issuer's six digits, a phone number without its last seven digits."""
+    if kind == "email":
+        return f"email@{value.lower().rpartition('@')[2]}"
+    if kind == "ip":
+        return f"ip/{'.'.join(value.split('.')[:2])}"
+    digits = "".join(_DIGIT.findall(value))
+    return f"{kind}/{digits[:6] if kind == 'card' else digits[:-7]}"
+
+
 def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
@@ -111,22 +124,22 @@ def _words(text: str, low: int, high: int) -> list[tuple[int, int]]:
 
 
 def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The words beside each span: entity, context, term, start, end. What spans cover are no words."""
+    """The words beside each span: entity, group, context, term, start, end. What spans cover are no words."""
     starts, ends = _merged(spans)
     free = lambda s, e: (k := bisect_left(starts, e) - 1) < 0 or ends[k] <= s
     out, reach = [], 24 * CONTEXT
     for kind, start, end in spans:
-        who = _key(entity(kind, text[start:end]))
+        who, alike = _key(entity(kind, text[start:end])), _key(group(kind, text[start:end]))
         before = _words(text, max(0, start - reach), start)[-CONTEXT:]
         after = _words(text, end, min(len(text), end + reach))[:CONTEXT]
         words = [(s, e) for s, e in before + after if free(s, e)]
         terms = [text[s:e].lower() for s, e in words]
         context = _key(" ".join(terms))
-        out += [{"entity": who, "context": context, "term": _key(t), "start": s, "end": e} for t, (s, e) in zip(terms, words, strict=True) if len(t) > 2]
+        out += [{"entity": who, "group": alike, "context": context, "term": _key(t), "start": s, "end": e} for t, (s, e) in zip(terms, words, strict=True) if len(t) > 2]
     return out
 
 
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("group", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -144,7 +157,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(near, _NEAR)], ["row", "doc_id", "spans", "near"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,context:long,term:long,start:long,end:long>>")
+    return rows.mapInArrow(run, "row long, doc_id long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,group:long,context:long,term:long,start:long,end:long>>")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -163,27 +176,34 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of pairs at or above the threshold."""
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("together")).where(F.col("contexts") >= support)
+def disclosing(near: DataFrame, docs: DataFrame, total: int, prior: float = PRIOR, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosure) of pairs at or above the threshold; an entity is one or a group.
+
+    Contexts are what is counted together, and rows beyond a pair's contexts are copies, which
+    leave the term's frequency too.
+    """
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("rows"))
     entities = near.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
     joined = pairs.join(entities, "entity").join(document_frequency(docs), "term")
     n = F.lit(float(max(total, 2)))
-    disclosure = 1 + F.log(F.least(F.col("together"), F.col("df")) / F.col("df")) / F.log(F.greatest(n / F.col("of_entity"), F.lit(1.0001)))
-    return joined.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    together = F.least("contexts", "rows")
+    alone = F.col("df") - F.col("rows")
+    p = F.least(F.col("of_entity") / n, F.lit(0.9999))
+    given = (together + prior * p) / (together + alone + prior)
+    return joined.withColumn("disclosure", 1 - F.log(given) / F.log(p)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, spans (kind, start, end, disclosure), by kind as listed, "term" last, then start.
 
     Offsets are code points, end exclusive. Terms are words of three characters or more within
     CONTEXT words of a base span. Null texts count as empty and have no spans; null doc_ids and
-    repeated rows are rows of their own (repeats share their contexts, so they prove nothing);
+    repeated rows are rows of their own (repeats share their contexts, so they count once as proof);
     an empty table gives no rows; further columns are not read.
     """
     rows = staged(found(docs))
-    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    pairs = disclosing(near, docs, rows.count(), support, generalise)
+    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*").withColumn("entity", F.explode(F.array("entity", "group"))).drop("group")
+    pairs = disclosing(near, docs, rows.count(), prior, generalise)
     terms = near.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("disclosure")))

@@ -295,3 +295,23 @@ def test_disclosing_terms(spark, clashing):
     cleaned = pii.clean(text_of[0], [(s.kind, s.start, s.end, s.disclosure) for s in one.spans])
     assert "zebulon" not in cleaned and "@" not in cleaned and "[EMAIL]" in cleaned
     assert pii.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_terms_of_entities_seen_once(spark):
+    """Realistic rows, each address, number and card only once: rare names and a firm's name are spans, and what many texts have isn't."""
+    rng = random.Random(4)
+    common = "please write to our office about the order and we will answer as soon as we can thank you for your patience".split()
+    plain = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [plain(40) for _ in range(1600)]
+    once = ["Quillfeather", "Ostrovskaya", "Benvenuti", "Abernathyson"]
+    texts += [f"{plain(10)} {once[0]} at q.f@post.example.net {plain(9)}", f"{plain(9)} call {once[1]} on +1 (131) 555-7634 {plain(9)}", f"{plain(9)} {once[2]} paid with 4111 1111 1111 1111 {plain(9)}", f"{plain(9)} {once[3]} logged in from 123.43.25.46 {plain(9)}"]
+    texts += [f"{plain(9)} write to Zorgwerk person{k}x@zorgwerk.example.org {plain(9)}" for k in range(8)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    found = {}
+    for r in pii.digests(docs).collect():
+        for s in r.spans.split(","):
+            if s.startswith("term:"):
+                found.setdefault(r.doc_id, set()).add(texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])])
+    assert [n in found.get(1600 + k, ()) for k, n in enumerate(once)] == [True] * 4
+    assert all("Zorgwerk" in found.get(1604 + k, ()) for k in range(8))
+    assert not any(words & set(common) for words in found.values()) and min(found) == 1600

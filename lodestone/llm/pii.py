@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +27,8 @@ from .common import staged
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as its context.
 CONTEXT = 8
+#: Characters that a word has at most; longer runs of letters and digits are encoded data.
+LONGEST = 255
 #: Sightings without the term's help that p(e | t) is smoothed by.
 PRIOR = 1.0
 GENERALISE, REMOVE = 0.90, 0.98
@@ -113,51 +115,65 @@ def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _words(text: str, low: int, high: int) -> list[tuple[int, int]]:
-    """Words of a stretch, without those that it cuts."""
-    found = [m.span() for m in _WORD.finditer(text, low, high)]
-    if found and found[0][0] == low > 0 and _WORD.match(text[low - 1]):
-        found = found[1:]
-    if found and found[-1][1] == high < len(text) and _WORD.match(text[high]):
-        found = found[:-1]
-    return found
+def _words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """The words of a text, and of each whether spans leave it free. A run of over LONGEST characters is data, and no word."""
+    starts, ends = _merged(spans)
+    found = [m.span() for m in _WORD.finditer(text) if m.end() - m.start() <= LONGEST]
+    return found, [(k := bisect_left(starts, e) - 1) < 0 or ends[k] <= s for s, e in found]
 
 
 def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """The words beside each span: entity, group, context, term, start, end. What spans cover are no words."""
-    starts, ends = _merged(spans)
-    free = lambda s, e: (k := bisect_left(starts, e) - 1) < 0 or ends[k] <= s
-    out, reach = [], 24 * CONTEXT
+    words, free = _words(text, spans)
+    begins, ends = [s for s, _ in words], [e for _, e in words]
+    out = []
     for kind, start, end in spans:
         who, alike = _key(entity(kind, text[start:end])), _key(group(kind, text[start:end]))
-        before = _words(text, max(0, start - reach), start)[-CONTEXT:]
-        after = _words(text, end, min(len(text), end + reach))[:CONTEXT]
-        words = [(s, e) for s, e in before + after if free(s, e)]
-        terms = [text[s:e].lower() for s, e in words]
+        before, after = bisect_right(ends, start), bisect_left(begins, end)
+        near = [words[k] for k in (*range(max(0, before - CONTEXT), before), *range(after, min(len(words), after + CONTEXT))) if free[k]]
+        terms = [text[s:e].lower() for s, e in near]
         context = _key(" ".join(terms))
-        out += [{"entity": who, "group": alike, "context": context, "term": _key(t), "start": s, "end": e} for t, (s, e) in zip(terms, words, strict=True) if len(t) > 2]
+        out += [{"entity": who, "group": alike, "context": context, "term": _key(t), "start": s, "end": e} for t, (s, e) in zip(terms, near, strict=True) if len(t) > 2]
     return out
 
 
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("group", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_NEAR = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "group", "context", "term")]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, spans, near) of every row."""
+    """(row, doc_id, spans, holds, near, text) of every row; holds are its entities and groups, text is null without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, holds, near, texts = [], [], [], []
             for x in batch.column(2):
                 text = x.as_py() or ""
                 of = base_spans(text)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in of])
-                near.append(neighbours(text, of) if of else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(near, _NEAR)], ["row", "doc_id", "spans", "near"])
+                holds.append(sorted({_key(f(k, text[s:e])) for k, s, e in of for f in (entity, group)}))
+                near.append([{c: x[c] for c in ("entity", "group", "context", "term")} for x in neighbours(text, of)] if of else [])
+                texts.append(text if of else None)
+            columns = [pa.array(spans, _SPANS), pa.array(holds, pa.list_(pa.int64())), pa.array(near, _NEAR), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "spans", "holds", "near", "text"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,group:long,context:long,term:long,start:long,end:long>>")
+    return rows.mapInArrow(run, "row long, doc_id long, spans array<struct<kind:string,start:long,end:long>>, holds array<long>, near array<struct<entity:long,group:long,context:long,term:long>>, text string")
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(row, term, start, end) of every word of the texts that have spans, but for what spans cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = x.as_py()
+                words, free = _words(text, [(s["kind"], s["start"], s["end"]) for s in of])
+                kept = [(s, e) for (s, e), f in zip(words, free, strict=True) if f and len(text[s:e].lower()) > 2]
+                columns = [[row] * len(kept), [_key(text[s:e].lower()) for s, e in kept], [s for s, _ in kept], [e for _, e in kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "term", "start", "end"])
+
+    return rows.where("text is not null").select("row", "text", "spans").mapInArrow(run, "row long, term long, start long, end long")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -196,15 +212,17 @@ def disclosing(near: DataFrame, docs: DataFrame, total: int, prior: float = PRIO
 def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, spans (kind, start, end, disclosure), by kind as listed, "term" last, then start.
 
-    Offsets are code points, end exclusive. Terms are words of three characters or more within
-    CONTEXT words of a base span. Null texts count as empty and have no spans; null doc_ids and
+    Offsets are code points, end exclusive. Terms are words of three characters or more that
+    disclose an entity they stand within CONTEXT words of somewhere; they are spans wherever they
+    occur in the rows that hold the entity, or another of the disclosed group. Null texts count as empty and have no spans; null doc_ids and
     repeated rows are rows of their own (repeats share their contexts, so they count once as proof);
     an empty table gives no rows; further columns are not read.
     """
     rows = staged(found(docs))
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*").withColumn("entity", F.explode(F.array("entity", "group"))).drop("group")
     pairs = disclosing(near, docs, rows.count(), prior, generalise)
-    terms = near.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    holds = rows.select("row", F.explode("holds").alias("entity"))
+    terms = occurrences(rows).join(pairs, "term").join(holds, ["row", "entity"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("disclosure")))
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,disclosure:double>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["disclosure"].alias("disclosure")))

@@ -315,3 +315,16 @@ def test_terms_of_entities_seen_once(spark):
     assert [n in found.get(1600 + k, ()) for k, n in enumerate(once)] == [True] * 4
     assert all("Zorgwerk" in found.get(1604 + k, ()) for k in range(8))
     assert not any(words & set(common) for words in found.values()) and min(found) == 1600
+
+
+def test_terms_everywhere_in_rows_that_hold_the_entity(spark):
+    """A term is a span in a heading far away, and in a row where it never stands beside the entity; not in rows without it. Contexts are counted in words."""
+    rng = random.Random(6)
+    plain = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    texts = [plain(60) for _ in range(300)]
+    texts += [f"Zebulon {plain(30)} zebulon ann@mail.example.com {plain(5)}" for _ in range(20)] + [f"zebulon {plain(50)} ann@mail.example.com", f"{plain(20)} zebulon {plain(20)}"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"] for r in pii.sanitised(docs).collect()}
+    assert [found.pop(k) for k in range(300, 322)] == [["Zebulon", "zebulon"]] * 20 + [["zebulon"], []] and not any(found.values())
+    text = " ".join([*(f"{c * 60}" for c in "abcdefgh"), "x@y.example", *(f"{c * 60}" for c in "ijklmnop")])
+    assert {text[x["start"]] for x in pii.neighbours(text, pii.base_spans(text))} == set("abcdefghijklmnop")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import remove, shared_dir
 from lodestone.llm.exact_dedup import exact_dedup
-from lodestone.llm.mixing import mix
+from lodestone.llm.mixing import WEIGHTS, mix
 from lodestone.llm.packing import packed
 from lodestone.llm.quality import quality_filter
 from lodestone.llm.simhash import near_dedup
@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    return packed(docs, weights=WEIGHTS)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixing), ("packing", packing)]

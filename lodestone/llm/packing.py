@@ -3,7 +3,9 @@
 The plan depends only on how many pieces there are of each length, at most ``capacity`` numbers,
 which is all that the driver sees. It is a list of patterns, each a multiset of lengths with the
 number of sequences of that kind. Pieces get ranks within their length, and a pattern takes
-ranges of ranks, so each piece works out its sequence and offset on its own.
+ranges of ranks, so each piece works out its sequence and offset on its own. Where texts come mixed,
+the order of the mix is cut into windows that are planned and numbered one after another, so each
+prefix of the sequences holds a prefix of the mix, but for the order inside one window.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, staged
+from .mixing import mixed
 
 CAPACITY = 4096
 END = 1
@@ -30,6 +33,8 @@ BUCKETS = 256
 REMEMBERED = 800_000
 #: Words that a worker keeps for its next task.
 KEPT = 100_000
+#: Pieces of a window of the mix at least, and windows at most; positions of the mix are counted in so many steps.
+WINDOW_PIECES, WINDOWS, STEPS = 1024, 64, 4096
 
 
 def default_tokenizer() -> str:
@@ -123,8 +128,11 @@ def loaded(path: str) -> Ids:
     return _LOADED[path]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut only beyond capacity."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sources: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut only beyond capacity.
+
+    With ``sources`` also _doc, a number of the row, and source.
+    """
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +141,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out: list[tuple] = []
-                for doc, raw in zip(part.column(0).to_pylist(), ids.batch(part.column(1).to_pylist()), strict=True):
+                for nth, (doc, raw) in enumerate(zip(part.column(0).to_pylist(), ids.batch(part.column(1).to_pylist()), strict=True)):
                     raw += END.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[start : start + 4 * capacity]
-                        out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut), nth))
+                *columns, of = zip(*out, strict=True)
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c).take(pa.array(of, pa.int64())) for c in more)], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
         ids.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    more = ["_doc", "source"] if sources else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.monotonically_increasing_id().alias("_doc"), F.col("source").cast("string").alias("source")] if sources else []))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", _doc long, source string" if sources else ""))
 
 
 class Lengths:
@@ -258,11 +269,10 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
-def intervals(plan: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
-    """By length: rows (first rank, pieces a sequence, first sequence, offset), by first rank."""
+def intervals(plan: list[tuple[int, list[int]]], first: int = 0) -> tuple[dict[int, np.ndarray], int]:
+    """By length: rows (first rank, pieces a sequence, first sequence, offset), by first rank; and the sequence after the last, from ``first`` on."""
     used: Counter = Counter()
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
-    first = 0
     for n, lengths in plan:
         offset = 0
         for length, many in sorted(Counter(lengths).items(), reverse=True):
@@ -270,32 +280,58 @@ def intervals(plan: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
             used[length] += n * many
             offset += length * many
         first += n
-    return {k: np.array(v, np.int64) for k, v in rows.items()}
-
-
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+    return {k: np.array(v, np.int64) for k, v in rows.items()}, first
+
+
+def windows(cut: DataFrame, weights: dict[str, int], least: int = WINDOW_PIECES) -> DataFrame:
+    """Add _window to pieces with _doc and source: windows of the mix of their texts, by its order, with ``least`` pieces or more."""
+    order = mixed(cut.where("piece = 0").select("doc_id", "source", "_doc"), weights).select("_doc", "mix_pos")
+    rows = staged(cut.join(order, "_doc"))
+    size = rows.agg(F.max("mix_pos")).first()[0] or 0
+    step = F.floor(F.col("mix_pos") * STEPS / F.lit(size + 1))
+    counts = sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())  # at most STEPS rows
+    total, seen, starts = sum(r["n"] for r in counts), 0, []
+    share = max(least, -(-total // WINDOWS))
+    for r in counts:
+        if seen >= share * (len(starts) + 1) and total - seen >= least:
+            starts.append(-(-r["step"] * (size + 1) // STEPS))
+        seen += r["n"]
+    return rows.withColumn("_window", sum(((F.col("mix_pos") >= s).cast("int") for s in starts), F.lit(0)))
+
+
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, buckets: int = BUCKETS, weights: dict[str, int] | None = None, least: int = WINDOW_PIECES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A text's ids end in the end id; only longer ones than ``capacity`` are cut. Null and empty texts
     are one piece of length one. Repeated rows and null doc_ids are texts like any other. An
-    empty table gives no rows; further columns are not read.
+    empty table gives no rows; further columns are not read. With the ``weights`` of a mix, sequences
+    follow its order, which is worked out from doc_id and source whatever order the rows have.
     """
-    cut = staged(pieces(docs, path, capacity))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = docs.sparkSession.sparkContext.broadcast(intervals(patterns(counts, capacity)))
-    rows = ranked(cut, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"), ["doc_id", "piece"], "_rank")
+    cut = staged(pieces(docs, path, capacity, weights is not None))
+    cut = windows(cut, weights, least) if weights else cut.withColumn("_window", F.lit(0))
+    counts: dict[int, dict[int, int]] = {}
+    for r in cut.groupBy("_window", "length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows a window
+        counts.setdefault(r["_window"], {})[r["length"]] = r["n"]
+    tables, first = [], 0
+    for w in sorted(counts):
+        found, first = intervals(patterns(counts[w], capacity), first)
+        for length in sorted(found):
+            tables.append(np.column_stack([np.full(len(found[length]), w * (capacity + 1) + length), found[length]]))
+    plan = docs.sparkSession.sparkContext.broadcast(np.concatenate(tables) if tables else np.zeros((0, 5), np.int64))
+    rows = ranked(cut, ["_window", "length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"), ["doc_id", "piece"], "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (np.asarray(batch.column(k)) for k in ("length", "_rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length):
-                of = length == x
-                table = plan.value[int(x)]
-                row = table[np.searchsorted(table[:, 0], rank[of], side="right") - 1]
-                nth = rank[of] - row[:, 0]
-                sequence[of] = row[:, 2] + nth // row[:, 1]
-                offset[of] = row[:, 3] + nth % row[:, 1] * x
+            length, rank, window = (np.asarray(batch.column(k)) for k in ("length", "_rank", "_window"))
+            cell, table = window.astype(np.int64) * (capacity + 1) + length, plan.value
+            low, high = (np.searchsorted(table[:, 0], cell, side=x) for x in ("left", "right"))
+            while (more := high - low > 1).any():  # the last row of the cell whose first rank is not above
+                middle = (low + high) // 2
+                below = more & (table[np.minimum(middle, len(table) - 1), 1] <= rank)
+                low, high = np.where(below, middle, low), np.where(more & ~below, middle, high)
+            _, before, many, start, shift = table[low].T
+            nth = rank - before
+            sequence, offset = start + nth // many, shift + nth % many * length
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_window").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,13 +1,15 @@
 """The pipeline against brute force, stage by stage and as a whole."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import packing, quality
+from lodestone.llm import mixing, packing, quality
 
+from .conftest import SCHEMA
 from .test_documents import UP, brute_components, brute_fp
 
 
@@ -55,3 +57,23 @@ def test_stages_keep_columns(spark, docs, tmp_path):
 def test_empty(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """While a source has rows, each prefix of the sequences holds its weight of the texts, by the mix's own positions."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(20, 400))), "en", f"src{i % 20}", 1) for i in range(4000)], SCHEMA).repartition(5)
+    at = {r.doc_id: (r.mix_pos, r.source) for r in mixing.mixed(docs).collect()}
+    last = dict(corpus_pipeline.STAGES)["packing"]
+    got = sorted(last(spark, docs, str(tmp_path)).collect(), key=lambda r: r.sequence_id)
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(list(at))
+    ranks = {d: k for k, d in enumerate(sorted(at, key=at.get))}
+    width = 2 * packing.WINDOW_PIECES
+    assert all(abs(ranks[r.doc_id] - k) < width for k, r in enumerate(got))
+    head = [at[r.doc_id][1] for r in got[: packing.WINDOW_PIECES // 2]]
+    assert 0.15 < head.count("src0") / len(head) < 0.25  # weight 0.20, but 0.05 of the rows
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096 and set(used) == set(range(len(used)))
+    assert len(used) <= -(-sum(used.values()) // 4096) + len(ranks) // packing.WINDOW_PIECES

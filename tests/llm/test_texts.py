@@ -328,3 +328,14 @@ def test_terms_everywhere_in_rows_that_hold_the_entity(spark):
     assert [found.pop(k) for k in range(300, 322)] == [["Zebulon", "zebulon"]] * 20 + [["zebulon"], []] and not any(found.values())
     text = " ".join([*(f"{c * 60}" for c in "abcdefgh"), "x@y.example", *(f"{c * 60}" for c in "ijklmnop")])
     assert {text[x["start"]] for x in pii.neighbours(text, pii.base_spans(text))} == set("abcdefghijklmnop")
+
+
+@pytest.mark.parametrize("inline", ["<font>", "<span class=x>", "<a href='/'>"])
+def test_unclosed_elements_of_any_number(inline):
+    """An end tag finds its element below any number of unclosed ones, in linear time."""
+    for start, end in (("<nav>", "</nav>"), ("<aside>", "</aside>"), ("<div class='sidebar'>", "</div>")):
+        page = f"<body>{start}{(inline + 'menu ') * 300}{end}<article><p>The main text.</p></article>"
+        assert html.decided(page) == ("The main text.", [])
+    assert html.decided(f"<article><p>Inside.</p>{inline * 300}</article><div>outside</div>") == ("Inside.", [])
+    assert html.blocks(f"<p>one {inline * 40} two<p>three</p>") == [("one two", False), ("three", False)]
+    html.blocks(f"<div>{inline * 100_000}" + "</b>" * 100_000 + "<p>x" * 1000 + "</div>")

@@ -15,10 +15,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 BUCKETS = 256
-#: Words whose ids a task remembers.
-REMEMBERED = 800_000
-#: Words that a worker keeps for its next task.
-KEPT = 100_000
+#: Parts of words whose ids a worker remembers at most, before a batch, and how many of them it then keeps.
+REMEMBERED, KEPT = 600_000, 300_000
+#: Bytes of text that are encoded at once; a longer text goes alone.
+STRETCH = 4 << 20
 #: Pieces of a window of the mix at least, and windows at most; positions of the mix are counted in so many steps.
 WINDOW_PIECES, WINDOWS, STEPS = 1024, 64, 4096
 
@@ -43,16 +44,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-#: Letters that are lower-cased one by one, and marks that may follow them in a word.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: Letters of words that are encoded many at a time, and marks that may follow them.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+_WORD = re.compile(f"[{_LETTERS}]+")
 _MARKS = ".,;:!?|#*$%&"
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 class Ids:
-    """Token ids of texts, little-endian 32-bit, word by word.
+    """Token ids of texts, part by part.
 
-    The tokenizer's normaliser and splitter never look across an ASCII blank, so a text's ids are
-    those of its words one after another; those of a word are remembered. New words of letters are
+    The tokenizer's normaliser and splitter lower-case and never look across ASCII white space, nor
+    from a letter to a mark behind it. So a text's ids are those of its words one after another,
+    and those of a word in letters and then marks are those of both. Parts have numbers, and the
+    ids of those that were met lately are remembered in one array. New parts in letters are
     encoded many at a time: the last token of each is one that ends words, which tells them apart.
     """
 
@@ -60,67 +65,112 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        found = []
-        for at in range(0, len(words), 1000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[at : at + 1000], add_special_tokens=False)]
-        return found
-
-    def letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are letters only."""
-        found = []
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(part):
-                found += self.encode(part)
-                continue
-            raw = ids.tobytes()
-            found += [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-        return found
-
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words; what is letters and then marks is put together from both."""
-        known, cores, other, marked = self.known, set(), [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core and (core.isalpha() if core.isascii() else _LETTERS.fullmatch(core)):
-                low = core.lower()
-                cores.add(low)
-                if low != w:
-                    marked.append((w, low, w[len(core) :]))
+        self.number: dict[str, int] = {"": 0}
+        #: By number: how many ids, where they begin in the pool, and how many batches had the part.
+        self.sizes, self.starts, self.seen = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and how many each has."""
+        found = [e.ids for at in range(0, len(parts), 1000) for e in self.tokenizer.encode_batch(parts[at : at + 1000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts that are letters only."""
+        all_ids, sizes = [], []
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                many = np.diff(cuts, prepend=0)
             else:
-                other.append(w)
-        new = list(cores.difference(known))
-        known.update(zip(new, self.letters(new), strict=True))
-        other += {rest for _, _, rest in marked}.difference(known, other)
-        known.update(zip(other, self.encode(other), strict=True))
-        for w, low, rest in marked:
-            known[w] = known[low] + known[rest]
-
-    def trim(self) -> None:
-        """Keep the words that came first, mostly frequent ones: the worker lives on, and other operators need its memory."""
-        self.known = dict(islice(self.known.items(), KEPT))
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.trim()
-        if new := set(chain.from_iterable(words)).difference(self.known):
+                ids, many = self.encode(some)
+            all_ids.append(ids)
+            sizes.append(many)
+        return np.concatenate([np.zeros(0, "<u4"), *all_ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def learn(self, parts: list[str]) -> None:
+        """Number parts and remember their ids."""
+        plain, other = [], []
+        for x in parts:
+            (plain if _WORD.fullmatch(x) else other).append(x)
+        (a, many_a), (b, many_b) = self.letters(plain), self.encode(other)
+        sizes = np.concatenate([many_a, many_b])
+        self.number.update(zip(chain(plain, other), range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes, self.seen = np.concatenate([self.sizes, sizes]), np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
+        self.pool = np.concatenate([self.pool, a, b])
+
+    def forget(self) -> None:
+        """Keep the KEPT parts that most batches had."""
+        order = np.argsort(-self.seen[1:], kind="stable")[:KEPT] + 1
+        stay = np.zeros(len(self.seen), bool)
+        stay[order] = stay[0] = True
+        number = np.cumsum(stay) - 1
+        self.number = {x: int(number[k]) for x, k in self.number.items() if stay[k]}
+        self.pool = self.pool[np.repeat(stay, self.sizes)]
+        self.sizes, self.seen = self.sizes[stay], self.seen[stay]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, parts: list[str]) -> np.ndarray:
+        """Numbers of different parts."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        known = self.number
+        if new := [x for x in parts if x not in known]:
             self.learn(new)
-        of = self.known.__getitem__
-        return [b"".join(map(of, ws)) for ws in words]
+        found = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        self.seen[found] += 1
+        return found
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each followed by END, and where each text begins, with the end of the last.
+
+        Words and parts are numbered in Arrow, so each different part of a batch is looked up
+        once; the ids of all parts are then gathered by number.
+        """
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts)
+        special = pc.or_(*[pc.match_substring(lower, x) for x in _SPECIAL])  # these are special before they are lower-cased
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        cores, marks = pc.ascii_rtrim(words, characters=_MARKS), pc.utf8_ltrim(words, characters=_LETTERS)
+        both = pc.and_(pc.equal(pc.add(pc.binary_length(cores), pc.binary_length(marks)), pc.binary_length(words)), pc.greater(pc.binary_length(cores), 0))
+        parts = pa.concat_arrays([pc.if_else(both, cores, words), pc.if_else(both, marks, "")]).dictionary_encode()
+        of_word = self.of(parts.dictionary.to_pylist())[np.asarray(parts.indices)].reshape(2, -1).T
+
+        ends = np.asarray(lists.offsets, np.int64)[1:] - lists.offsets[0].as_py()
+        numbers = of_word[np.asarray(coded.indices)].reshape(-1)
+        many = self.sizes[numbers]
+        after = np.concatenate([[0], np.cumsum(many)])
+        last = np.concatenate([[0], after[2 * ends]]) + np.arange(len(ends) + 1)
+        ids = np.full(last[-1], END, "<u4")
+        shift = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], 2 * ends])))  # an END for each text before
+        into = np.repeat(shift, many) + np.arange(after[-1])
+        ids[into] = self.pool[np.repeat(self.starts[numbers] - after[:-1], many) + np.arange(after[-1])]
+        return ids, last
 
 
 _LOADED: dict[str, Ids] = {}
 
 
+def stretches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of STRETCH bytes of text or a little more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + STRETCH)) + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def loaded(path: str) -> Ids:
     """One for each worker process, as workers are used again."""
     if path not in _LOADED:
@@ -138,18 +188,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[tuple] = []
-                for nth, (doc, raw) in enumerate(zip(part.column(0).to_pylist(), ids.batch(part.column(1).to_pylist()), strict=True)):
-                    raw += END.to_bytes(4, "little")
-                    for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[start : start + 4 * capacity]
-                        out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut), nth))
-                *columns, of = zip(*out, strict=True)
-                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c).take(pa.array(of, pa.int64())) for c in more)], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
-        ids.trim()
+            for part in stretches(batch, 1):
+                all_ids, begins = ids.batch(part.column(1))
+                many = -(-np.diff(begins) // capacity)
+                of = np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                low = begins[of] + start
+                high = np.minimum(low + capacity, begins[of + 1])
+                raw = memoryview(all_ids.astype("<u4", copy=False)).cast("B")
+                crc = np.fromiter((zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)), np.int64, len(of))
+                arrays = [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(high - low), pa.array(crc)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c).take(pa.array(of)) for c in more)], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
     more = ["_doc", "source"] if sources else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.monotonically_increasing_id().alias("_doc"), F.col("source").cast("string").alias("source")] if sources else []))

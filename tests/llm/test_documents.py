@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -201,12 +202,29 @@ def test_packing(docs, rows):
     assert len(by) == -(-sum(r.length for r in out) // 4096)
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b <|startoftext|>", "It's  the\tα\x85b c ΑΣ. Σ é ́x", "x" * 5000, "12 345 ##!!", "\r\n \n\n", "İstanbul ﬁ 　 漢字 🙂👍🏽 a​b"])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b <|startoftext|>", "A<|EndOfText|>B <|ENDOFTEXT|>", "Word. word,. 'x'. a.b. don't!'s é. É. ß, ñ!' x?y ?!", "a\x0bb\x0c.\x1f c", "It's  the\tα\x85b c ΑΣ. Σ é ́x", "x" * 5000, "12 345 ##!!", "\r\n \n\n", "İstanbul ﬁ 　 漢字 🙂👍🏽 a​b"])
 def test_ids_word_by_word(text):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
-    assert packing.Ids(path).batch([text])[0] == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    ids, begins = packing.Ids(path).batch(pa.array([None, text, "", text]).slice(1))
+    want = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, packing.END]
+    assert ids.tolist() == [*want, packing.END, *want] and begins.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
+
+
+def test_ids_of_forgotten_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "KEPT", 7)
+    path, rng = packing.default_tokenizer(), np.random.default_rng(0)
+    ids, tokenizer = packing.Ids(path), Tokenizer.from_file(path)
+    alphabet = np.array(list("ab'é \t\n\r\x0b\x1cÉ\x85\xa0\u0301İ#12!<|>sS.,"))
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(40)]
+        got, begins = ids.batch(pa.array(texts))
+        assert [got[i:j].tolist() for i, j in zip(begins[:-1], begins[1:], strict=True)] == [[*e.ids, packing.END] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(ids.number) <= 20 + 600 and len(ids.sizes) == len(ids.number)
 
 
 def test_patterns_use_every_piece_once():

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: Characters that count as symbols, as UTF-8.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
@@ -14,10 +16,9 @@ WINDOW = 8
 #: Repeated windows may cover so many hundredths of the words.
 MAX_REPEAT = 30
 #: Word n-gram length: the largest share of characters (of those in words) inside repeated n-grams.
-NGRAMS = {3: 0.45, 5: 0.40, 6: 0.40, 10: 0.40}
-MAX_LINE_CHARS = 0.40
-#: Symbols a word.
-MAX_SYMBOLS = 0.10
+NGRAMS = {3: 0.35, 5: 0.30, 6: 0.30, 10: 0.20}
+#: The largest share of characters inside repeated lines.
+MAX_LINE_CHARS = 0.20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ngram_cover map<int,double>, line_cover double, symbol_ratio double, base_failed boolean, kept boolean"
@@ -90,7 +91,7 @@ def measure(text: str | None) -> dict:
             cover[k] = float(chars[mark].sum()) / total
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT * n
     line_cover, ratio = dup_chars / total if total else 0.0, symbols / n if n else 0.0
-    kept = not failed and all(cover.get(k, 0.0) <= most for k, most in NGRAMS.items()) and line_cover <= MAX_LINE_CHARS and ratio <= MAX_SYMBOLS
+    kept = not failed and all(cover.get(k, 0.0) <= most for k, most in NGRAMS.items()) and line_cover <= MAX_LINE_CHARS
     return {"n_words": n, "word_chars": total, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat, "ngram_cover": list(cover.items()), "line_cover": line_cover, "symbol_ratio": ratio, "base_failed": failed, "kept": bool(kept)}
 
 
@@ -113,7 +114,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``. A text fails the base with fewer than 20 words or
     with more than 30 % of its words in repeated windows of eight. It is kept if it also stays
-    within the largest shares of characters in repeated n-grams and lines, and of symbols a word.
+    within the largest shares of characters in repeated n-grams and lines; symbols a word are
+    measured and don't count.
     Null texts have no words and so fail; null doc_ids and repeated rows pass through; an
     empty table gives no rows; further columns are not read.
     """
@@ -121,13 +123,23 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all columns."""
-    columns = docs.columns
-    return docs.withColumn("_q", quality(F.col("text"))).where("_q.kept").select(*columns)
+    """The rows of ``docs`` whose text is kept, with all columns, whatever their names.
+
+    Null and empty texts have no words and go; null doc_ids and repeated rows are judged one by one
+    by their texts; an empty table gives no rows.
+    """
+    return docs.select(carried(docs).alias("_row"), quality(F.col("text")).alias("_q")).where("_q.kept").select("_row.*")
+
+
+def flat(docs: DataFrame) -> DataFrame:
+    """``quality_rules`` with a column cover_n for each n-gram length in place of the map."""
+    covers = [F.coalesce(F.col("ngram_cover")[n], F.lit(0.0)).alias(f"cover_{n}") for n in sorted(NGRAMS)]
+    return quality_rules(docs).select("*", *covers).drop("ngram_cover")
 
 
 def oracle() -> str:
-    """DuckDB SQL for doc_id, the base columns, line_cover, symbol_ratio, base_failed and kept."""
+    """DuckDB SQL for doc_id, the base columns, the covers, symbol_ratio, base_failed and kept."""
+    covers = ", ".join(f"coalesce(max(chars / word_chars) FILTER (n = {n}), 0) AS cover_{n}" for n in sorted(NGRAMS))
     lengths = ", ".join(f"({n})" for n in sorted({*NGRAMS, WINDOW}))
     shares = ", ".join(f"({n}, {most})" for n, most in NGRAMS.items())
     blank = "[\\x20\\x09-\\x0D]"
@@ -149,7 +161,9 @@ over AS (SELECT DISTINCT doc_id FROM cover JOIN share USING (n) JOIN b USING (do
 a AS (
   SELECT b.*, CAST(coalesce(lines.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.words, 0) AS BIGINT) AS n_repeat_words,
     CASE WHEN word_chars > 0 THEN coalesce(lines.chars, 0) / word_chars ELSE 0 END AS line_cover, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio
+    , cs.* EXCLUDE (doc_id)
   FROM b LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT doc_id, words FROM cover WHERE n = {WINDOW}) r USING (doc_id)
+  JOIN (SELECT doc_id, {covers} FROM b LEFT JOIN cover USING (doc_id) GROUP BY doc_id) cs ON cs.doc_id = b.doc_id
 ),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM a)
-SELECT *, NOT base_failed AND line_cover <= {MAX_LINE_CHARS} AND symbol_ratio <= {MAX_SYMBOLS} AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM f"""
+SELECT *, NOT base_failed AND line_cover <= {MAX_LINE_CHARS} AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM f"""

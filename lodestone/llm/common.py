@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where there is none, as in tests on one machine.
+    A folder of our own is set only where there is none on one machine, as in tests; on a cluster
+    that is an error, as executors don't share a local folder.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return found or context.getCheckpointDir()
 
@@ -42,10 +47,46 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT {casts} FROM VALUES {listed} AS t({', '.join(n for n, _ in fields)})")
 
 
+#: Lists to which checkpoints are added while they are collected, the innermost last.
+_COLLECTED: list[list[str]] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
+    """Cut the lineage with a checkpoint in the shared folder.
+
+    It stays as long as results may be read from it; inside ``temporary`` it goes at the end.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _COLLECTED:
+        _COLLECTED[-1].append(place(out))
+    return out
+
+
+def place(checkpointed: DataFrame) -> str:
+    """The folder of a DataFrame that ``staged`` returned."""
+    return checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove at the end what is staged inside, but for places that are taken out of the list."""
+    _COLLECTED.append([])
+    try:
+        yield _COLLECTED[-1]
+    finally:
+        for folder in _COLLECTED.pop():
+            remove(spark, folder)
+
+
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name of theirs can clash with one of ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns that xxhash64 takes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -75,18 +116,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edges no longer change. Each step is
     a minimum for each node, which is combined before the shuffle, and a join with it. The minima
     are staged, so the join stands on plain exchanges and the edges of a large node can be split.
-    No neighbour list is ever collected.
+    No neighbour list is ever collected. What a step staged goes when the next one stands.
     """
+    spark = edges.sparkSession
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if tuple(mark) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
-        seen = tuple(mark)
-        both = now.union(now.select("b", "a"))
-        least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        low = staged(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = staged(small)
+        seen, last = tuple(mark), now
+        with temporary(spark) as places:
+            both = now.union(now.select("b", "a"))
+            least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+            large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+            low = staged(large.groupBy("a").agg(F.min("b").alias("m")))
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+            now = staged(small)
+            places.remove(place(now))
+            places.append(place(last))
+        if _COLLECTED:
+            _COLLECTED[-1][:] = [x for x in _COLLECTED[-1] if x != place(last)] + [place(now)]

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, values
+from .common import carried, hashable, ranked, values
 
 #: Slots of 100 for each source; "other" stands for every other source, and for none.
 WEIGHTS = {"src0": 20, **{f"src{i}": 5 for i in range(1, 10)}, **{f"src{i}": 3 for i in range(10, 19)}, "src19": 4, "other": 4}
 BLOCK_DOCS = 8
 BUCKETS = 4096
+#: Parts of a bucket; those in the middle hold rows without an id.
+PARTS = 1024
 
 
 def frame(weights: dict[str, int]) -> list[dict]:
@@ -43,18 +45,21 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block_docs: int =
     Rows take mix_pos order. Within a source they are shuffled by the MD5 of doc_id. While it has
     rows, a source is less than one block away from its share of every prefix; no row is dropped
     or repeated, so a source that runs out leaves its slots empty. Weights are whole slots of a
-    frame and need an "other", for null and unlisted sources. Null doc_ids count as empty; ties
-    of repeated rows are in any order. An empty table gives no rows. The broadcast frame has
-    sum(weights) rows, at most 65,536.
+    frame and need an "other", for null and unlisted sources. Null doc_ids count as empty, and
+    are ranked in parts by a hash of the row; ties of repeated rows are in any order. Columns of ``docs`` with
+    one of the six names give way, others keep theirs. An empty table gives no rows. Texts are not
+    looked at. The broadcast frame has sum(weights) rows, at most 65,536.
     """
     size = sum(weights.values())
     if "other" not in weights or not 0 < size <= 65_536 or min(weights.values()) < 1:
         raise ValueError("weights need 'other', at least one slot each and at most 65,536 in all")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = [k for k in weights if k != "other"]
-    rows = docs.withColumns({"_key": key, "_class": F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit("other"))})
-    bucket = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)
-    rows = ranked(rows, ["_class"], F.floor(bucket).cast("int"), ["_key"], "_rank")
+    rows = docs.select(carried(docs).alias("_carried"), key.alias("_key"), F.when(F.col("doc_id").isNull(), F.xxhash64(*hashable(docs))).alias("_none"), F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit("other")).alias("_class"))
+    bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long")
+    # all null ids have one key: their rows are dealt by a hash of the row into parts between what is below and above them in their bucket
+    part = F.when(F.col("_none").isNotNull(), 1 + F.pmod("_none", F.lit(PARTS - 2))).when(F.col("_key") > F.md5(F.lit("")), F.lit(PARTS - 1)).otherwise(F.lit(0))
+    rows = ranked(rows, ["_class"], bucket * PARTS + part, ["_key"], "_rank")
     slots = F.array(*[F.lit(weights[k]).cast("long") for k in weights])
     share = F.element_at(slots, F.array_position(F.array(*[F.lit(k) for k in weights]), F.col("_class")).cast("int"))
     rows = rows.withColumns({"_block": F.floor(F.col("_rank") / block_docs), "_share": share})
@@ -62,9 +67,9 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block_docs: int =
     plan = schedule(docs.sparkSession, weights).select(F.col("class").alias("_class"), F.col("job").alias("_job"), "slot_in_frame", "release_in_frame", "deadline_in_frame")
     at = rows.join(F.broadcast(plan), ["_class", "_job"])
     base = F.col("_frame") * size
-    own = [c for c in docs.columns if c not in ("class", "block", "slot", "release", "deadline", "mix_pos")]
+    own = [c for c in docs.columns if c.lower() not in ("class", "block", "slot", "release", "deadline", "mix_pos")]
     return at.select(
-        *own,
+        *[F.col("_carried").getField(c).alias(c) for c in own],
         F.col("_class").alias("class"),
         F.col("_block").alias("block"),
         (base + F.col("slot_in_frame")).alias("slot"),
@@ -76,7 +81,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block_docs: int =
 
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
     """The rows of ``docs``, with its columns, in mixed order: files hold ranges of mix_pos, sorted."""
-    bare = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")
+    bare = docs.select(carried(docs).alias("_doc"), "doc_id", "source")
     return mixed(bare, weights).repartitionByRange("mix_pos").sortWithinPartitions("mix_pos").select("_doc.*")
 
 

@@ -29,7 +29,8 @@ from .mixing import mixed
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-BUCKETS = 256
+#: Parts in which the pieces of one length are ranked at least, and rows of a part, about.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 #: Parts of words whose ids a worker remembers at most, before a batch, and how many of them it then keeps.
 REMEMBERED, KEPT = 600_000, 300_000
 #: Bytes of text that are encoded at once; a longer text goes alone.
@@ -181,7 +182,7 @@ def loaded(path: str) -> Ids:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sources: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut only beyond capacity.
 
-    With ``sources`` also _doc, a number of the row, and source.
+    Also _doc, a number of the row, and with ``sources`` its source.
     """
     path = path or default_tokenizer()
 
@@ -201,9 +202,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
                 arrays = [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(high - low), pa.array(crc)]
                 yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c).take(pa.array(of)) for c in more)], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
-    more = ["_doc", "source"] if sources else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.monotonically_increasing_id().alias("_doc"), F.col("source").cast("string").alias("source")] if sources else []))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", _doc long, source string" if sources else ""))
+    more = ["_doc", *(["source"] if sources else [])]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_doc"), *([F.col("source").cast("string").alias("source")] if sources else []))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _doc long" + (", source string" if sources else ""))
 
 
 class Lengths:
@@ -367,8 +368,10 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, b
         found, first = intervals(patterns(counts[w], capacity), first)
         for length in sorted(found):
             tables.append(np.column_stack([np.full(len(found[length]), w * (capacity + 1) + length), found[length]]))
+    largest = max((n for of in counts.values() for n in of.values()), default=0)
     plan = docs.sparkSession.sparkContext.broadcast(np.concatenate(tables) if tables else np.zeros((0, 5), np.int64))
-    rows = ranked(cut, ["_window", "length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"), ["doc_id", "piece"], "_rank")
+    # ranks go by row numbers, as a doc_id may be null or repeated any number of times
+    rows = ranked(cut, ["_window", "length"], F.pmod(F.xxhash64("_doc", "piece"), F.lit(max(buckets, largest // BUCKET_ROWS))).cast("int"), ["_doc", "piece"], "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

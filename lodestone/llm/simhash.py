@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import carried, components, staged
 
 THRESHOLD = 3
 SEED = 42
@@ -145,9 +145,11 @@ def near_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: the one of each component whose doc_id is smallest.
 
-    Rows without a doc_id stay, as nothing tells them apart; rows that share a doc_id stay or go together.
+    Rows without a doc_id stay, as nothing tells them apart; rows that share a doc_id stay or go
+    together. Empty and null texts have fingerprint zero and are near each other. Columns keep
+    their names, whatever they are.
     """
-    groups = near_groups(docs)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    known = docs.where("doc_id is not null").join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    stay = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(carried(docs).alias("_carried"), F.col("doc_id").cast("long").alias("doc_id"))
+    known = rows.where("doc_id is not null").join(stay, "doc_id", "left_semi")
+    return known.unionByName(rows.where("doc_id is null")).select("_carried.*")

@@ -4,7 +4,9 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use for results of their own.
-CLASHING = ["kept", "score", "fingerprint", "component_id", "sequence_id", "offset", "length", "piece", "block", "slot", "class", "norm", "md5", "row", "verdict", "host", "spans", "n_words"]
+CLASHING = ["kept", "score", "fingerprint", "component_id", "sequence_id", "offset", "length", "piece", "block", "slot", "class", "norm", "md5", "row", "verdict", "host", "spans", "n_words",
+            "_row", "_carried", "_q", "_key", "_class", "_none", "_rank", "_start", "_bucket", "_n", "_sha", "_doc", "_tie", "_all", "_stay", "_share", "_frame", "_job", "slot_in_frame", "mix_pos", "release", "deadline",
+            "fp", "first", "root", "node", "tie", "keep_id", "keep_row", "copies", "texts", "start", "ids_crc32", "_window", "near", "holds", "term", "entity", "shingle", "license", "h", "w", "a.b", "with `tick`"]
 
 
 def near(text: str, rng: random.Random, changes: int) -> str:
@@ -40,6 +42,6 @@ def clashing():
     from pyspark.sql import functions as F
 
     def add(df):
-        return df.withColumns({c: F.lit("x") for c in CLASHING if c not in df.columns})
+        return df.select("*", *[F.lit("x").alias(c) for c in CLASHING if c not in df.columns])
 
     return add

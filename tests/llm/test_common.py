@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, components, ranked, values
+from lodestone.llm.common import ascii_lower, components, place, ranked, shared_dir, staged, temporary, values
 
 
 def brute(edges):
@@ -64,3 +64,26 @@ def test_ascii_lower(spark):
 def test_values(spark):
     rows = [("it's", 1), ("back\\slash", 2), ("plain", 3)]
     assert [tuple(r) for r in values(spark, rows, "s string, n bigint").collect()] == rows
+
+
+def test_what_is_staged_goes(spark):
+    import os
+
+    gone = lambda folder: not os.path.exists(folder.removeprefix("file:"))
+    outside = staged(spark.range(3).toDF("a"))
+    with temporary(spark) as places:
+        staged(spark.range(5).toDF("b"))
+        kept = staged(spark.range(7).toDF("c"))
+        roots = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+        inside = list(places)
+        places.remove(place(kept))
+    assert len(roots) == 41 and len(inside) == 3 and all(gone(x) == (x != place(kept)) for x in inside)
+    assert outside.count() == 3 and kept.count() == 7
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *_: None)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(N(sparkContext=N(getConf=lambda: conf, getCheckpointDir=lambda: None, master="yarn"), conf=conf))

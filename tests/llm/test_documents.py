@@ -48,6 +48,23 @@ def test_quality_matches_brute_force(docs, rows):
                 assert share == pytest.approx(brute_cover(texts[r.doc_id] or "", n))
 
 
+def test_coverage_makes_the_verdict():
+    """Repeated n-grams and lines reject what passes the base; symbols alone do not."""
+    rng = np.random.default_rng(0)
+    plain = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    phrase, line, long = plain(6), plain(4), plain(10)
+    cases = {
+        plain(100): True,
+        " ".join(f"{w}###" for w in plain(100).split()): True,
+        " ".join(f"{phrase} {plain(1)}" for _ in range(10)): False,  # six of seven words in repeated 6-grams, no repeated window of eight
+        "\n".join(f"{line}\n{plain(8)}" for _ in range(6)): False,  # 20 of 72 words in lines seen before, no n-gram limit is met
+        f"{plain(30)} {long} {plain(27)} {long} {plain(3)}": False,  # 25 % of the words in repeated 10-grams
+    }
+    for text, kept in cases.items():
+        m = quality.measure(text)
+        assert not m["base_failed"] and m["kept"] == kept, (text, m)
+
+
 def test_quality_survives_hash_collisions(monkeypatch):
     text = "a b c d e f g h i j " * 3 + "k l m n o p q r s t u v w x y z"
     want = quality.measure(text)
@@ -58,7 +75,7 @@ def test_quality_survives_hash_collisions(monkeypatch):
 def test_quality_filter_keeps_columns(docs, clashing):
     wide = clashing(docs)
     out = quality.quality_filter(wide)
-    assert out.columns == wide.columns
+    assert out.columns == wide.columns and {r["_q"] for r in out.collect()} == {"x"}
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
 
 
@@ -80,10 +97,21 @@ def test_exact_dedup(docs, rows, clashing):
     got = exact_groups(wide).drop("row").collect()
     assert Counter(map(tuple, got)) == brute_exact(rows)
     kept = exact_dedup(wide)
-    assert kept.columns == wide.columns
+    assert kept.columns == wide.columns and {r["_sha"] for r in kept.collect()} == {"x"}
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
+def test_exact_dedup_ties(spark):
+    """Rows of one doc_id whose texts differ in case, or that differ in further columns: one stays, the same whatever the order."""
+    some = [(1, t, "en", s, 1) for t in ("same text", "Same Text", "SAME TEXT") for s in ("a", "b", "c")] + [(None, "x", "en", "s", 1)] * 3
+    seen = set()
+    for parts in (1, 2, 5):
+        kept = [tuple(r) for r in exact_dedup(spark.createDataFrame(some, SCHEMA).repartition(parts)).collect()]
+        assert len(kept) == 2
+        seen.update(r for r in kept if r[0] == 1)
+    assert len(seen) == 1
+
+
 def brute_fp(text):
     words = WORD.findall((text or "").translate(UP))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -118,10 +146,11 @@ def test_near_groups(docs, rows, clashing, small, block):
     assert Counter(map(tuple, near_groups(clashing(docs), small, block).collect())) == want
 
 
-def test_near_dedup_keeps_one_of_each(docs):
+def test_near_dedup_keeps_one_of_each(docs, clashing):
     groups = near_groups(docs).collect()
-    got = near_dedup(docs)
-    assert got.columns == docs.columns
+    wide = clashing(docs)
+    got = near_dedup(wide)
+    assert got.columns == wide.columns
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in groups if r.doc_id is None or r.doc_id == r.component_id)
 
 
@@ -176,13 +205,23 @@ def test_mixing(docs, rows, clashing):
     assert all(b == set(range(len(b))) for b in by.values())
     same = mixing.mix(wide)
     assert same.columns == wide.columns and same.count() == len(rows)
+    known = {r[0]: r for r in rows}
+    assert all(r.source == known[r.doc_id][3] and r["_rank"] == "x" and r["a.b"] == "x" for r in out if r.doc_id not in (None, 5, 322))
+
+
+def test_mixing_rows_without_ids(spark):
+    """Null ids are ranked in parts, and every row has the rank that sorting by key gives, but for ties."""
+    some = [(i if i % 3 else None, f"t{i % 50}", "en", "src0", 1) for i in range(900)]
+    out = mixing.mixed(spark.createDataFrame(some, SCHEMA).repartition(7), {"src0": 1, "other": 1}, block_docs=1, buckets=2).collect()
+    ranks = sorted((r.mix_pos, hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()) for r in out)
+    assert len(out) == 900 and [k for _, k in ranks] == sorted(k for _, k in ranks) and len({p for p, _ in ranks}) == 900
 
 
-def test_packing(docs, rows):
+def test_packing(docs, rows, clashing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    out = packing.packed(docs, buckets=4).collect()
+    out = packing.packed(clashing(docs), buckets=4).collect()
     want = Counter()
     for r in rows:
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 1]

@@ -46,8 +46,8 @@ def test_run(spark, rows, docs, tmp_path):
     assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 4096)
 
 
-def test_stages_keep_columns(spark, docs, tmp_path):
-    now = docs
+def test_stages_keep_columns(spark, docs, tmp_path, clashing):
+    now = docs = clashing(docs)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns, name

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -63,6 +64,16 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, of which only the columns that are needed are read again."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if _COLLECTED:
+        _COLLECTED[-1].append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def place(checkpointed: DataFrame) -> str:
     """The folder of a DataFrame that ``staged`` returned."""
     return checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()

@@ -109,43 +109,74 @@ def test_markup(spark, page, text):
     assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, text, len(text))]
 
 
-def brute_unique(texts_by_page, run):
-    """By page: blocks less than half covered by token runs that another page of the host has."""
-    seen = {}
-    for page, texts in texts_by_page.items():
-        for t in texts:
-            w = t.lower().split()
-            for g in [tuple(w[i : i + run]) for i in range(len(w) - run + 1)] if len(w) >= run else [(*w, None)]:
-                seen.setdefault(g, set()).add(page)
+def brute_repeats(pages, run):
+    """By page: what is left when every substring of ``run`` tokens or more that another page has is removed, by longest common prefixes of all pairs of suffixes."""
+    streams = {p: [w for t in texts for w in t.lower().split()] for p, texts in pages.items()}
+    short = {p: [tuple(t.lower().split()) for t in texts if len(t.split()) < run] for p, texts in pages.items()}
     out = {}
-    for page, texts in texts_by_page.items():
-        keep = []
+    for p, texts in pages.items():
+        mine, covered = streams[p], set()
+        for q, other in streams.items():
+            if p == q:
+                continue
+            longest = [0] * (len(other) + 1)
+            for i in range(len(mine) - 1, -1, -1):
+                longest = [longest[j + 1] + 1 if mine[i] == other[j] else 0 for j in range(len(other))] + [0]
+                if (most := max(longest)) >= run:
+                    covered |= set(range(i, i + most))
+        others, at, keep = {x for q in pages if q != p for x in short[q]}, 0, []
         for t in texts:
-            w, hit = t.lower().split(), set()
-            for i in range(len(w)):
-                g = tuple(w[i : i + run]) if len(w) >= run else (*w, None)
-                if (len(w) >= run and i <= len(w) - run and len(seen[g]) > 1) or (len(w) < run and len(seen[g]) > 1):
-                    hit |= set(range(i, i + run))
-            if len([x for x in hit if x < len(w)]) / len(w) < 0.5:
-                keep.append(t)
-        out[page] = " ".join(keep)
+            ws = t.split()
+            if len(ws) >= run or tuple(t.lower().split()) not in others:
+                keep += [w for k, w in enumerate(ws) if at + k not in covered]
+            at += len(ws)
+        out[p] = " ".join(keep)
     return out
 
 
-def test_suffixes_of_a_host(spark, clashing):
+def test_repeats_of_a_host(spark, clashing):
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(60)}"
     shared = [" ".join(word() for _ in range(n)) for n in (3, 20, 50)]
+    menu = [word() for _ in range(15)]
     pages = {}
     for i in range(30):
         own = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(3)]
         mixed = " ".join(word() for _ in range(10)) + " " + shared[1] + " " + " ".join(word() for _ in range(i))
-        pages[i] = [shared[0], *own, mixed, shared[2]] if i % 3 else own
+        pages[i] = [shared[0], *own, mixed, *menu, shared[2]] if i % 3 else own
     rows = [(i, f"https://Host.example/p{i}", "".join(f"<div>{t}</div>" for t in texts)) for i, texts in pages.items()]
     rows += [(99, "https://other.example/", f"<div>{shared[2]}</div>")] + rows[:2]
     out = html.extracted(clashing(spark.createDataFrame(rows, PAGES))).collect()
-    want = brute_unique(pages, html.RUN) | {99: shared[2]}
+    want = brute_repeats(pages, html.RUN) | {99: shared[2]}
     assert Counter((r.page_id, r.text) for r in out) == Counter((r[0], want[r[0]]) for r in rows)
+    kept = want[1].split()
+    assert not set(menu) - set(" ".join(pages[1]).split()) and len(kept) < len(" ".join(pages[1]).split()) - 70
+
+
+def test_repeats_with_few_words(spark):
+    """Long chains of equal words, and runs that overlap."""
+    rng = random.Random(8)
+    pages = {i: [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 50))) for _ in range(2)] for i in range(14)}
+    rows = [(i, f"https://h.example/{i}", "".join(f"<div>{t}</div>" for t in texts)) for i, texts in pages.items()]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, PAGES), run=6).collect()}
+    assert got == brute_repeats(pages, 6)
+
+
+@pytest.mark.parametrize("start", ["<article class='no-sidebar'>", "<article class='has-comments'>", "<article class='post sticky-header'>", "<article class='post search-result'>", "<main class='ad-free'>", "<article class='notice'>", "<main id=search>", "<article class=comments>"])
+def test_class_words_never_drop_the_article(start):
+    end = "</article>" if "article" in start else "</main>"
+    body = f"{start}<p>One.</p><p class='social'>Two.</p><p class='ad'>Buy</p><div class='share-buttons'>Share</div>{end}"
+    assert html.decided(body) == ("One. Two.", [])
+    for around in ("<form id=aspnetForm>{}</form>", "<div class='search'>{}</div>", "<div class='has-sidebar'><div id='modal'>{}</div></div>", "<div class=sidebar><p>x</p></div>{}"):
+        assert html.decided(f"<body>{around.format(body)}<footer>f</footer>") == ("One. Two.", [])
+
+
+def test_what_is_around_the_article_goes():
+    article = "<article><p>One.</p></article>"
+    for other in ("<section id=comments><article class=comment><p>Nice!</p></article></section>", "<aside><article>Teaser</article></aside>", "<div class='sidebar'><article>Teaser</article></div>", "<nav><article>x</article></nav>"):
+        assert html.decided(article + other) == ("One.", []), other
+        assert html.decided(article.replace("</p>", "</p>" + other)) == ("One.", []), other
+    assert html.decided("<div class=cookie-banner>Cookies</div><div class='post-body'>Text</div>") == (None, ["Text"])
 
 
 def test_very_long_and_broken_pages(spark):

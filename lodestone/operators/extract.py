@@ -1,8 +1,8 @@
 """Symbols and references of source files.
 
-Two tiers: ``regex_symbols`` is made of built-in functions alone; ``extracted`` runs a tokenizer
-of TypeScript and JavaScript over each file and yields symbols with spans, signatures and comments, and
-references of all kinds.
+Two tiers: ``regex_symbols`` is made of built-in functions alone and reads lines; ``symbols``,
+``references`` and ``problems`` run a tokenizer of TypeScript and JavaScript over each file and yield
+symbols with spans, signatures and comments, references of all kinds, and what is read in part only.
 """
 
 from __future__ import annotations
@@ -15,39 +15,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Declarations that begin a line; the groups are the name and what it is marked with.
-_HEAD = r"^[ \t]*"
-DECLARATIONS = {
-    "function": _HEAD + r"(?:(export)\s+)?(?:(async)\s+)?function\s+(\w+)",
-    "class": _HEAD + r"(?:(export)\s+)?(?:(abstract)\s+)?class\s+(\w+)",
-    "interface": _HEAD + r"(?:(export)\s+)?()interface\s+(\w+)",
-    "type": _HEAD + r"(?:(export)\s+)?()type\s+(\w+)\s*=",
-    "enum": _HEAD + r"(?:(export)\s+)?(?:(const)\s+)?enum\s+(\w+)",
-    "arrow": _HEAD + r"(export)\s+()const\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[^=])\s*=>",
-    "variable": _HEAD + r"(export)\s+(const|let|var)\s+(\w+)",
-}
+#: Words that begin a declaration, and the word that may stand before each.
+DECLARING = {"function": "async", "class": "abstract", "interface": "", "type": "", "enum": "const"}
+BINDING = ("const", "let", "var")
 
 
 def regex_symbols(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, name, kind, line_start, is_exported, is_async) of the declarations that begin a line.
 
-    Arrow functions of exported constants are functions; other exported constants are constants and
-    other exported variables are variables. A declaration over several lines is not found.
+    A line is read as its leading words and what follows them: perhaps ``export``, perhaps a modifier, a
+    declaring word and the name. Arrow functions of exported constants are functions, if their
+    parameters are in parentheses or one letter; other exported constants are constants and other
+    exported variables are variables. A declaration over several lines is not found.
     """
     lines = files.select(key, F.posexplode(F.split(content, "\n", -1)).alias("at", "line"))
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(DECLARATIONS.items()):
-        kind = F.when(F.col("line").rlike(pattern), F.lit(name)).otherwise(kind)
-    found = lines.withColumn("form", kind).where("form is not null")
-    part = lambda k: F.coalesce(*[F.when(F.col("form") == n, F.regexp_extract("line", p, k)) for n, p in DECLARATIONS.items()])
-    constant = F.when(part(2) == "const", "constant").otherwise("variable")
-    return found.select(
-        key,
-        part(3).alias("name"),
-        F.when(F.col("form") == "arrow", "function").when(F.col("form") == "variable", constant).otherwise(F.col("form")).alias("kind"),
-        (F.col("at") + 1).cast("int").alias("line_start"),
-        (part(1) == "export").alias("is_exported"),
-        ((F.col("form") == "function") & (part(2) == "async") | (F.col("form") == "arrow") & F.col("line").rlike(r"=\s*async\s")).alias("is_async"),
+    leading = F.regexp_extract("line", r"^[\w\s]*", 0)
+    read = lines.select(key, "at", F.split(F.trim(F.regexp_replace(leading, r"\s+", " ")), " ").alias("words"), F.col("line").substr(F.length(leading) + 1, F.length("line")).alias("rest"))
+    exported = F.get("words", F.lit(0)) == "export"
+    read = read.withColumns({"is_exported": exported, "words": F.when(exported, F.slice("words", 2, F.size("words"))).otherwise(F.col("words"))})
+    word = lambda k: F.get("words", F.lit(k))
+    # (kind, name, modified) of whichever form fits
+    none = F.lit(None).cast("struct<kind:string,name:string,modified:boolean>")
+    form = lambda kind, name, modified: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), name.alias("name"), F.lit(modified).alias("modified"))
+    found = none
+    for declared, modifier in DECLARING.items():
+        more = F.col("rest").startswith("=") & F.get("words", F.lit(2)).isNull() if declared == "type" else F.lit(True)
+        found = F.when((word(0) == declared) & word(1).isNotNull() & more, form(declared, word(1), False)).otherwise(found)
+        if modifier:
+            found = F.when((word(0) == modifier) & (word(1) == declared) & word(2).isNotNull(), form(declared, word(2), True)).otherwise(found)
+    value = F.regexp_replace(F.col("rest").substr(F.lit(2), F.length("rest")), r"^\s+", "")
+    quick = value.rlike(r"^async\s")
+    value = F.when(quick, F.regexp_replace(value, r"^async\s+", "")).otherwise(value)
+    closing = F.when(value.startswith("("), F.instr(value, ")")).when(~value.startswith("="), F.lit(1)).otherwise(F.lit(0))
+    arrow = (word(0) == "const") & F.col("rest").startswith("=") & word(2).isNull() & (closing > 0) & F.regexp_replace(value.substr(closing + 1, F.length(value)), r"^\s+", "").startswith("=>")
+    bound = F.when(word(0) == "const", "constant").otherwise("variable")
+    binding = F.col("is_exported") & word(0).isin(*BINDING) & word(1).isNotNull()
+    found = F.coalesce(found, F.when(binding & arrow, F.struct(F.lit("function").alias("kind"), word(1).alias("name"), quick.alias("modified"))).when(binding, form(bound, word(1), False)))
+    return read.withColumn("form", found).where("form is not null").select(
+        key, "form.name", "form.kind", (F.col("at") + 1).cast("int").alias("line_start"), "is_exported", ((F.col("form.kind") == "function") & F.col("form.modified")).alias("is_async")
     )
 
 
@@ -58,6 +63,7 @@ _TOKEN = re.compile(
     r"|(?P<mark>=>|\.\.\.|\?\.|[{}()\[\];,.:?=<>|&!+\-*/%^~@])|(?P<other>.)"
 )
 _KEYWORDS = frozenset("if for while switch catch return typeof instanceof in of new delete void throw else do case await yield import export default function class super this".split())
+_NO_TYPE = frozenset("; const let var return if for while switch throw export class".split())
 _BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => return typeof case in of".split())
 
 
@@ -128,16 +134,23 @@ _OPEN, _CLOSE = {"{": "}", "(": ")", "[": "]"}, {"}": "{", ")": "(", "]": "["}
 
 def matching(tokens: list[Token]) -> dict[int, int]:
     """From each opening bracket to its closing one; unclosed ones go to the end."""
-    pairs, stack = {}, []
+    pairs, stack, waiting = {}, [], dict.fromkeys(_OPEN, 0)
+
+    def close(i: int) -> str:
+        j = stack.pop()
+        pairs[j] = i
+        waiting[tokens[j].text] -= 1
+        return tokens[j].text
+
     for i, t in enumerate(tokens):
         if t.kind != "mark":
             continue
         if t.text in _OPEN:
             stack.append(i)
-        elif t.text in _CLOSE and any(tokens[j].text == _CLOSE[t.text] for j in stack[-3:]):
-            while tokens[stack[-1]].text != _CLOSE[t.text]:
-                pairs[stack.pop()] = i
-            pairs[stack.pop()] = i
+            waiting[t.text] += 1
+        elif t.text in _CLOSE and waiting[_CLOSE[t.text]]:
+            while close(i) != _CLOSE[t.text]:
+                pass
     pairs.update(dict.fromkeys(stack, len(tokens) - 1))
     return pairs
 
@@ -165,16 +178,18 @@ class File:
         return self.tokens[i].kind if 0 <= i < len(self.tokens) else ""
 
     def after_types(self, i: int) -> int:
-        """Past ``<...>``."""
+        """Past ``<...>``; ``i`` itself where what is no type comes before the end."""
         if self.text(i) != "<":
             return i
-        depth = 0
-        for j in range(i, min(len(self.tokens), i + 400)):
-            depth += (self.text(j) == "<") - (self.text(j) == ">")
-            if self.text(j) in ("(", "[", "{") and depth and j not in self.pairs:
-                break
+        depth, j = 0, i
+        while j < len(self.tokens):
+            t = self.text(j)
+            if t in _CLOSE or t in _NO_TYPE or t in _OPEN and j not in self.pairs:
+                return i
+            depth += (t == "<") - (t == ">")
             if not depth:
                 return j + 1
+            j = self.pairs[j] + 1 if t in _OPEN else j + 1
         return i
 
     def end_of_statement(self, i: int) -> int:

@@ -35,6 +35,57 @@ def content() -> Column:
     return F.concat(F.lit("import { a } from './part_"), size, F.lit("';\nexport function fn_"), key, F.lit("() {\n  return call_"), size, F.lit("();\n}\nexport const c_"), key, F.lit(" = 1;\n"))
 
 
+#: A source with every form of symbol and reference; # stands for the part's number.
+RICH = """/** Loads a record. */
+export class Loader#<T extends Base> extends Base implements Port {
+  private cache: Map<string, T> = make();
+  static async load(id: string, ...rest: string[]): Promise<T> {
+    return await fetch#(id, rest);
+  }
+  get size() { return this.cache.size; }
+}
+export { one, two as three } from './parts/p#';
+export * from "./all";
+/* limits */
+export const limit = 10, make = async (a, b) => a < b;
+export enum Kind { A, B }
+export interface Port { run(): void }
+export type Id = string | number;
+const lazy = () => import('./lazy/m#');
+export default function main() { return lazy().then(m => m.run()); }
+import * as all from './all';
+import def, { named as other, type Only } from '@lib/x#';
+import './effects';
+"""
+#: What is in it, by hand: (name, kind, first line, last line, signature, comment, async, access), and (name, type, line, source).
+RICH_SYMBOLS = [
+    ("Loader#", "class", 2, 8, None, "Loads a record.", False, None), ("cache", "property", 3, 3, None, "Loads a record.", False, "private"), ("load", "method", 4, 6, "(id, ...rest) => Promise<T>", "Loads a record.", True, None),
+    ("size", "method", 7, 7, "()", None, False, None), ("limit", "constant", 12, 12, None, "limits", False, None), ("make", "function", 12, 12, "(a, b)", "limits", True, None), ("Kind", "enum", 13, 13, None, "limits", False, None),
+    ("Port", "interface", 14, 14, None, "limits", False, None), ("Id", "type", 15, 15, None, "limits", False, None), ("main", "function", 17, 17, "()", None, False, None),
+]
+RICH_REFERENCES = [
+    ("T", "type_reference", 2, None), ("Base", "type_reference", 2, None), ("Base", "type_reference", 2, None), ("Port", "type_reference", 2, None), ("Map", "type_reference", 3, None), ("make", "call", 3, None), ("Promise", "type_reference", 4, None),
+    ("T", "type_reference", 4, None), ("fetch#", "call", 5, None), ("cache", "property_access", 7, None), ("size", "property_access", 7, None), ("one", "re_export", 9, "./parts/p#"), ("two", "re_export", 9, "./parts/p#"), ("*", "export_all", 10, "./all"),
+    ("./lazy/m#", "dynamic_import", 16, "./lazy/m#"), ("lazy", "call", 17, None), ("then", "call", 17, None), ("then", "property_access", 17, None), ("run", "call", 17, None), ("run", "property_access", 17, None), ("all", "import", 18, "./all"),
+    ("def", "import", 19, "@lib/x#"), ("other", "import", 19, "@lib/x#"), ("Only", "import", 19, "@lib/x#"), ("./effects", "import", 20, "./effects"),
+]
+#: A tail that no strict parser takes, and what is wrong with it: (line, column, message).
+BROKEN = "const s = 'open\nfunction broken(a {\n  return [1, 2;\n}}\n"
+BROKEN_PROBLEMS = [(21, 10, "unterminated string"), (22, 15, "'(' is not closed"), (23, 9, "'[' is not closed"), (24, 1, "'}' closes nothing")]
+
+
+def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of a source with every form for each part; those of odd parts are broken."""
+    key = F.col("p_partkey")
+    whole = F.replace(F.lit(RICH), F.lit("#"), key.cast("string"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/rich_"), key.cast("string"), F.lit(".tsx")).alias("path"), F.when(key % 2 == 1, F.concat(whole, F.lit(BROKEN))).otherwise(whole).alias("content"))
+
+
+def sql_values(rows: list[tuple]) -> str:
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"), F.lit("main").alias("repository_id"), part_path().alias("path"), content().alias("content"), (F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.col("p_size"))).alias("indexed_at"))

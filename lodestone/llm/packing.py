@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, staged
+from .common import ranked, staged, stretches
 from .mixing import mixed
 
 CAPACITY = 4096
@@ -162,16 +162,6 @@ class Ids:
 _LOADED: dict[str, Ids] = {}
 
 
-def stretches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of STRETCH bytes of text or a little more."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + STRETCH)) + 1
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def loaded(path: str) -> Ids:
     """One for each worker process, as workers are used again."""
     if path not in _LOADED:
@@ -189,7 +179,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = loaded(path)
         for batch in batches:
-            for part in stretches(batch, 1):
+            for part in stretches(batch, 1, STRETCH):
                 all_ids, begins = ids.batch(part.column(1))
                 many = -(-np.diff(begins) // capacity)
                 of = np.repeat(np.arange(len(many)), many)

@@ -155,6 +155,26 @@ def matching(tokens: list[Token]) -> dict[int, int]:
     return pairs
 
 
+def angles(tokens: list[Token], pairs: dict[int, int]) -> dict[int, int]:
+    """From each ``<`` to its ``>``, where there is nothing between them that can't be in types, in one pass."""
+    found, levels = {}, [[]]
+    for i, t in enumerate(tokens):
+        if t.text in _OPEN and i in pairs:
+            levels.append([])
+        elif t.text in _CLOSE:
+            if len(levels) > 1:
+                levels.pop()
+            else:
+                levels[-1].clear()
+        elif t.text in _NO_TYPE or t.text in _OPEN:
+            levels[-1].clear()
+        elif t.text == "<":
+            levels[-1].append(i)
+        elif t.text == ">" and levels[-1]:
+            found[levels[-1].pop()] = i
+    return found
+
+
 def _comment(comments: list[tuple[int, int, str]], line: int) -> str | None:
     """The nearest block comment that ends at most five lines above."""
     near = [c for c in comments if 0 < line - c[1] <= 5]
@@ -170,6 +190,8 @@ class File:
     def __init__(self, source: str) -> None:
         self.tokens, self.comments = tokenize(source)
         self.pairs = matching(self.tokens)
+        self.types = angles(self.tokens, self.pairs)
+        self.opened = {j: i for i, j in self.pairs.items() if self.tokens[j].text == _OPEN[self.tokens[i].text]}
 
     def text(self, i: int) -> str:
         return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
@@ -179,18 +201,21 @@ class File:
 
     def after_types(self, i: int) -> int:
         """Past ``<...>``; ``i`` itself where what is no type comes before the end."""
-        if self.text(i) != "<":
-            return i
-        depth, j = 0, i
-        while j < len(self.tokens):
-            t = self.text(j)
-            if t in _CLOSE or t in _NO_TYPE or t in _OPEN and j not in self.pairs:
-                return i
-            depth += (t == "<") - (t == ">")
-            if not depth:
-                return j + 1
-            j = self.pairs[j] + 1 if t in _OPEN else j + 1
-        return i
+        return self.types.get(i, i - 1) + 1
+
+    def start_of(self, i: int) -> int:
+        """Where the expression begins of which the name at ``i`` is the last member: ``a`` of ``a.b(c)[0].name``."""
+        called = False
+        while self.text(i - 1) in (".", "?."):
+            i -= 2
+            i -= self.text(i) == "!"
+            while i in self.opened and self.text(i) in (")", "]"):
+                i, called = self.opened[i], True
+                if self.kind(i - 1) == "name" and self.text(i - 1) not in _KEYWORDS - {"super", "this", "import"} or self.text(i - 1) in (")", "]"):
+                    i -= 1
+                else:
+                    break
+        return i - 1 if called and self.text(i - 1) == "new" else i
 
     def end_of_statement(self, i: int) -> int:
         first = self.tokens[i].line if i < len(self.tokens) else 0
@@ -371,11 +396,13 @@ class File:
             if t.kind == "name" and t.text not in _KEYWORDS and self.text(i - 1) not in ("function", "class", "interface", "enum", "type"):
                 member = self.text(i - 1) in (".", "?.")
                 nxt = self.after_types(i + 1) if self.text(i + 1) == "<" else i + 1
+                first = self.start_of(i)
+                begin = self.tokens[first]
                 called = self.text(nxt) == "(" and self.text(self.pairs.get(nxt, nxt) + 1) not in ("{", ":", "=>") or self.text(nxt) == "(" and member
-                if called:
-                    yield self.reference(t.text, "call", t, **({"isMethodCall": "true"} if member else {}))
+                if called and self.text(first - 1) != "new":
+                    yield self.reference(t.text, "call", begin, **({"isMethodCall": "true"} if member else {}))
                 if member:
-                    yield self.reference(t.text, "property_access", t)
+                    yield self.reference(t.text, "property_access", begin)
                 elif self.text(i - 1) in ("extends", "implements") or self.text(i - 1) in (":", "as", "<", "|", "&") and t.text[:1].isupper() and not called:
                     k = i
                     while self.text(k + 1) == "." and self.kind(k + 2) == "name":
@@ -426,7 +453,7 @@ class File:
         """What a strict parser would stop at: brackets without a partner and strings without an end."""
         closed = {j for i, j in self.pairs.items() if _OPEN[self.text(i)] == self.text(j)}
         for i, t in enumerate(self.tokens):
-            if t.kind == "mark" and t.text in _OPEN and self.pairs.get(i) not in closed:
+            if t.kind == "mark" and t.text in _OPEN and (self.text(self.pairs.get(i, i)) != _OPEN[t.text]):
                 yield {"line": t.line, "column": t.column, "message": f"'{t.text}' is not closed"}
             elif t.kind == "mark" and t.text in _CLOSE and i not in closed:
                 yield {"line": t.line, "column": t.column, "message": f"'{t.text}' closes nothing"}

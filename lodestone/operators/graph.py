@@ -45,27 +45,38 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
 
 
-def walks(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """All walks against the edges from the roots (root), without a repeat, and those that close on themselves.
+def walked(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, path, closed) of all walks against the edges from the roots, without a repeat, that don't go on within ``depth``.
 
-    The first: (root, node, depth, path); path begins at the node of depth one, so a root in a
-    cycle comes back at a later depth. The second: (root, path) of each cycle whose last node
-    repeats one on the walk, from walks shorter than ``depth``; depth 1 has none.
+    ``path`` begins at the node of depth one; ``closed`` is the path with the node that it has
+    already, where the next step would have been such a node, and null else. Each hop is one join:
+    a walk that has ended keeps a key that no node has, spread evenly, so nothing of it is worked
+    out again for the shorter walks, which are the beginnings of these.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
     step = edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
-    now = roots.select("root").join(step, F.col("root") == F.col("_from")).select("root", F.col("_to").alias("node"), F.array("_to").alias("path"))
-    found, closed = [now.withColumn("depth", F.lit(1))], []
-    for k in range(2, depth + 1):
-        grown = now.join(step, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node"), F.col("path").alias("_path"))
-        seen = F.array_contains("_path", F.col("node"))
-        closed.append(grown.where(seen).select("root", F.concat("_path", F.array("node")).alias("path")))
-        now = grown.where(~seen).select("root", "node", F.concat("_path", F.array("node")).alias("path"))
-        found.append(now.withColumn("depth", F.lit(k)))
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    cycles = union(closed).distinct() if closed else roots.select("root", F.array("root").alias("path")).limit(0)
-    return union(found), cycles
+    none = F.lit(None).cast("array<string>")
+    now = roots.select("root").distinct().join(step, F.col("root") == F.col("_from")).select("root", F.array("_to").alias("path"), none.alias("closed"), F.lit(True).alias("open"))
+    for _ in range(2, depth + 1):
+        ended = F.concat(F.lit("\x00"), F.xxhash64("root", "path", "closed").cast("string"))
+        grown = now.withColumn("_at", F.when(F.col("open"), F.element_at("path", -1)).otherwise(ended)).join(step, F.col("_at") == F.col("_from"), "left")
+        on, back = F.col("_to").isNotNull(), F.coalesce(F.array_contains("path", F.col("_to")), F.lit(False))
+        longer = F.concat("path", F.array("_to"))
+        now = grown.select("root", F.when(on & ~back, longer).otherwise(F.col("path")).alias("path"), F.when(back, longer).otherwise(F.col("closed")).alias("closed"), (on & ~back).alias("open"))
+    return now.select("root", "path", "closed")
+
+
+def walks(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What walks against the edges reach from the roots, and those that close on themselves, each once.
+
+    The first: (root, depth, node); a root in a cycle comes back at a later depth, and a node may have
+    several depths. The second: (root, path) of each cycle whose last node repeats one on the
+    walk, from walks shorter than ``depth``; depth 1 has none.
+    """
+    rows = walked(edges, roots, depth)
+    found = rows.select("root", F.posexplode("path").alias("at", "node")).select("root", (F.col("at") + 1).alias("depth"), "node").distinct()
+    return found, rows.where("closed is not null").select("root", F.col("closed").alias("path")).distinct()
 
 
 def reached(edges: DataFrame, roots: DataFrame, depth: int, include_tests: bool = True) -> DataFrame:
@@ -74,24 +85,27 @@ def reached(edges: DataFrame, roots: DataFrame, depth: int, include_tests: bool
     A node may have several depths.
     """
     found, _ = walks(edges, roots, depth)
-    found = found.select("root", "depth", "node").distinct()
     return found if include_tests else found.where(~is_test_lax(F.col("node")))
 
 
 def dependency_result(edges: DataFrame, roots: DataFrame, depth: int, include_tests: bool = True) -> DataFrame:
     """One row for each root: direct, indirect (map from depth_N), cycles."""
-    found, cycles = walks(edges, roots, depth)
-    found = found.select("root", "depth", "node").distinct()
+    rows = walked(edges, roots, depth)
+    # depth 0 stands for cycles, so that one pass over the walks makes both
+    steps = F.transform("path", lambda n, i: F.struct((i + 1).alias("depth"), F.array(n).alias("path")))
+    closed = F.when(F.col("closed").isNotNull(), F.array(F.struct(F.lit(0).alias("depth"), F.col("closed").alias("path")))).otherwise(F.array().cast("array<struct<depth:int,path:array<string>>>"))
+    items = rows.select("root", F.explode(F.concat(steps, closed)).alias("x")).select("root", "x.*").distinct()
     if not include_tests:
-        found = found.where(~is_test_lax(F.col("node")))
-    levels = found.groupBy("root", "depth").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+        items = items.where((F.col("depth") == 0) | ~is_test_lax(F.col("path")[0]))
+    levels = items.groupBy("root", "depth").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    nodes = F.when(F.col("depth") > 0, F.flatten("paths"))
     by_root = levels.groupBy("root").agg(
-        F.first(F.when(F.col("depth") == 1, F.col("nodes")), ignorenulls=True).alias("direct"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("depth") > 1, F.struct(F.concat(F.lit("depth_"), F.col("depth").cast("string")).alias("key"), "nodes"))))).alias("indirect"),
+        F.first(F.when(F.col("depth") == 1, nodes), ignorenulls=True).alias("direct"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("depth") > 1, F.struct(F.concat(F.lit("depth_"), F.col("depth").cast("string")).alias("key"), nodes.alias("nodes")))))).alias("indirect"),
+        F.first(F.when(F.col("depth") == 0, F.col("paths")), ignorenulls=True).alias("cycles"),
     )
-    closed = cycles.groupBy("root").agg(F.array_sort(F.collect_set("path")).alias("cycles"))
     empty = F.array().cast("array<string>")
-    return roots.select("root").distinct().join(by_root, "root", "left").join(closed, "root", "left").select(
+    return roots.select("root").distinct().join(by_root, "root", "left").select(
         "root",
         F.coalesce("direct", empty).alias("direct"),
         F.coalesce("indirect", F.create_map().cast("map<string,array<string>>")).alias("indirect"),

@@ -23,6 +23,16 @@ CONDITIONS = {
     "suite": "Run full test suite before creating PR",
     "docs": "Update documentation if APIs or schemas change",
 }
+FIXES = {
+    "conflict": "Remove from files_to_create or rename the file",
+    "migration": "Use format: YYYYMMDDHHMMSS_description.sql (e.g., 20251108120000_add_oauth_providers.sql)",
+    "ending": "Rename to use .test.ts or .spec.ts extension",
+    "alias": "Consider using existing aliases: " + ", ".join(ALIASES),
+    "tests": "Add test files for new implementation files to maintain test coverage",
+    "more tests": "Consider adding more test files to achieve at least 1:1 ratio",
+    "version": "Specify an exact version or version range",
+    "mocks": "Consider using real service instances instead of mocks (see /anti-mock)",
+}
 SPEC = "feature_name string, files_to_create array<struct<path:string>>, files_to_modify array<struct<path:string>>, migrations array<struct<filename:string>>, dependencies_to_add array<struct<name:string,version:string>>, breaking_changes boolean"
 
 
@@ -31,10 +41,13 @@ def _testy(path: Column) -> Column:
 
 
 def issues(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """(spec, severity, type, message, affected_resource): what breaks a convention, of many specs at once."""
+    """(spec, severity, type, message, affected_resource, suggested_fix): what breaks a convention, of many specs at once."""
     made = specs.select("spec", F.explode("files_to_create.path").alias("path"))
     planned = made.unionByName(specs.select("spec", F.explode("files_to_modify.path").alias("path")))
-    row = lambda df, severity, kind, message, at: df.select("spec", F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message"), (F.col(at) if at else F.lit(None).cast("string")).alias("affected_resource"))
+    def row(df: DataFrame, severity: str, kind: str, message: Column, at: str | None, fix: str) -> DataFrame:
+        resource = F.col(at) if at else F.lit(None).cast("string")
+        return df.select("spec", F.lit(severity).alias("severity"), F.lit(kind).alias("type"), message.alias("message"), resource.alias("affected_resource"), F.lit(FIXES[fix]).alias("suggested_fix"))
+
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     there = made.join(files.select("path").distinct(), "path", "left_semi")
     migrations = specs.select("spec", F.explode("migrations.filename").alias("filename"))
@@ -47,14 +60,14 @@ def issues(specs: DataFrame, files: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            row(there, "error", "file_conflict", text("File already exists: ", F.col("path")), "path"),
-            row(migrations.where(~F.col("filename").rlike(MIGRATION)), "error", "naming_convention", text("Invalid migration filename: ", F.col("filename")), "filename"),
-            row(named, "warning", "naming_convention", text("Test file should use .test.ts or .spec.ts extension: ", F.col("path")), "path"),
-            row(aliased, "warning", "path_alias", text("File in app/src/", F.col("top"), "/ but no standard path alias exists"), "path"),
-            row(sizes.where("sources > 0 AND tests = 0"), "warning", "test_coverage", text("No test files specified for ", F.col("sources").cast("string"), " implementation file(s)"), None),
-            row(sizes.where("sources > 2 AND tests / sources < 0.5"), "warning", "test_coverage", text("Low test coverage ratio: ", F.col("tests").cast("string"), " tests for ", F.col("sources").cast("string"), " implementation files"), None),
-            row(added.where(F.coalesce("version", F.lit("")) == ""), "warning", "dependency", text("No version specified for dependency: ", F.col("name")), "name"),
-            row(added.where(F.col("name").contains("mock") | F.col("name").contains("stub")), "warning", "dependency", text("Mocking library detected: ", F.col("name"), ". The project follows antimocking philosophy."), "name"),
+            row(there, "error", "file_conflict", text("File already exists: ", F.col("path")), "path", "conflict"),
+            row(migrations.where(~F.col("filename").rlike(MIGRATION)), "error", "naming_convention", text("Invalid migration filename: ", F.col("filename")), "filename", "migration"),
+            row(named, "warning", "naming_convention", text("Test file should use .test.ts or .spec.ts extension: ", F.col("path")), "path", "ending"),
+            row(aliased, "warning", "path_alias", text("File in app/src/", F.col("top"), "/ but no standard path alias exists"), "path", "alias"),
+            row(sizes.where("sources > 0 AND tests = 0"), "warning", "test_coverage", text("No test files specified for ", F.col("sources").cast("string"), " implementation file(s)"), None, "tests"),
+            row(sizes.where("sources > 2 AND tests / sources < 0.5"), "warning", "test_coverage", text("Low test coverage ratio: ", F.col("tests").cast("string"), " tests for ", F.col("sources").cast("string"), " implementation files"), None, "more tests"),
+            row(added.where(F.coalesce("version", F.lit("")) == ""), "warning", "dependency", text("No version specified for dependency: ", F.col("name")), "name", "version"),
+            row(added.where(F.col("name").contains("mock") | F.col("name").contains("stub")), "warning", "dependency", text("Mocking library detected: ", F.col("name"), ". The project follows antimocking philosophy."), "name", "mocks"),
         ],
     )
 
@@ -62,8 +75,8 @@ def issues(specs: DataFrame, files: DataFrame) -> DataFrame:
 def validate(specs: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each spec: valid, errors, warnings, approval_conditions, risk_assessment, summary."""
     found = issues(specs, files).groupBy("spec").agg(
-        F.array_sort(F.collect_list(F.when(F.col("severity") == "error", F.struct("type", "message", "affected_resource")))).alias("errors"),
-        F.array_sort(F.collect_list(F.when(F.col("severity") == "warning", F.struct("type", "message", "affected_resource")))).alias("warnings"),
+        F.array_sort(F.collect_list(F.when(F.col("severity") == "error", F.struct("type", "message", "affected_resource", "suggested_fix")))).alias("errors"),
+        F.array_sort(F.collect_list(F.when(F.col("severity") == "warning", F.struct("type", "message", "affected_resource", "suggested_fix")))).alias("warnings"),
     )
     rows = specs.join(found, "spec", "left")
     count = lambda c: F.coalesce(F.when(F.size(c) >= 0, F.size(c)), F.lit(0))

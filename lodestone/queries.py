@@ -20,7 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PHRASE = "the of"
-ROOT = "p_partkey = 7"
 
 
 def query(sql: str | None = None, index: bool = False) -> Callable[[Query], Query]:
@@ -44,7 +43,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "part").where(ROOT).select(b.part_path().alias("root"))
+    """Every file."""
+    return b.files(spark, sf_dir).select(F.col("path").alias("root"))
 
 
 # full text
@@ -147,7 +147,7 @@ def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # graph
 
 _WALK = """,
-root AS (SELECT path AS root FROM files WHERE id = 'f7'),
+root AS (SELECT path AS root FROM files),
 walk(root, node, depth, path) AS (
   SELECT root, {to}, 1, [{to}] FROM root JOIN edges ON {frm} = root
   UNION ALL
@@ -159,36 +159,36 @@ def _walk(depth: int, forward: bool = False) -> str:
     return _WALK.format(to="dst" if forward else "src", frm="src" if forward else "dst", depth=depth)
 
 
-@query(_walk(1) + " SELECT DISTINCT depth, node FROM walk WHERE NOT contains(node, 'test') AND NOT contains(node, 'spec')", index=True)
+@query(_walk(1) + " SELECT DISTINCT root, depth, node FROM walk WHERE NOT contains(node, 'test') AND NOT contains(node, 'spec')", index=True)
 def dependents_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without tests."""
-    return graph.reached(edges(spark, sf_dir), roots(spark, sf_dir), 1, include_tests=False).select("depth", "node")
+    return graph.reached(edges(spark, sf_dir), roots(spark, sf_dir), 1, include_tests=False)
 
 
-@query(_walk(3) + " SELECT DISTINCT depth, node FROM walk", index=True)
+@query(_walk(3) + " SELECT DISTINCT root, depth, node FROM walk", index=True)
 def dependents_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, G4, J5, U2, A3."""
-    return graph.reached(edges(spark, sf_dir), roots(spark, sf_dir), 3).select("depth", "node")
+    return graph.reached(edges(spark, sf_dir), roots(spark, sf_dir), 3)
 
 
-@query(_walk(3, True) + " SELECT DISTINCT depth, node FROM walk", index=True)
+@query(_walk(3, True) + " SELECT DISTINCT root, depth, node FROM walk", index=True)
 def dependencies_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2."""
-    return graph.reached(graph.reverse(edges(spark, sf_dir)), roots(spark, sf_dir), 3).select("depth", "node")
+    return graph.reached(graph.reverse(edges(spark, sf_dir)), roots(spark, sf_dir), 3)
 
 
-@query(_walk(3, True) + " SELECT DISTINCT array_to_string(list_append(path, dst), '|') AS cycle FROM walk JOIN edges ON src = node WHERE depth < 3 AND list_contains(path, dst)", index=True)
+@query(_walk(3, True) + " SELECT DISTINCT root, array_to_string(list_append(path, dst), '|') AS cycle FROM walk JOIN edges ON src = node WHERE depth < 3 AND list_contains(path, dst)", index=True)
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed walks, those of a root that are shorter than the depth."""
     _, cycles = graph.walks(graph.reverse(edges(spark, sf_dir)), roots(spark, sf_dir), 3)
-    return cycles.select(F.array_join("path", "|").alias("cycle"))
+    return cycles.select("root", F.array_join("path", "|").alias("cycle"))
 
 
-@query(_walk(2) + " SELECT root, CAST(count(DISTINCT node) FILTER (depth = 1) AS BIGINT) AS direct, CAST(count(DISTINCT node) FILTER (depth = 2) AS BIGINT) AS indirect FROM walk GROUP BY root", index=True)
+@query(_walk(2) + " SELECT root, CAST(count(DISTINCT node) FILTER (depth = 1) AS BIGINT) AS direct, CAST(count(DISTINCT node) FILTER (depth = 2) AS BIGINT) AS indirect FROM root LEFT JOIN walk USING (root) GROUP BY root", index=True)
 def dependency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists by depth."""
     found = graph.dependency_result(edges(spark, sf_dir), roots(spark, sf_dir), 2)
-    return found.select("root", F.size("direct").cast("long").alias("direct"), F.size(F.try_element_at("indirect", F.lit("depth_2"))).cast("long").alias("indirect"))
+    return found.select("root", F.size("direct").cast("long").alias("direct"), F.coalesce(F.size(F.try_element_at("indirect", F.lit("depth_2"))).cast("long"), F.lit(0)).alias("indirect"))
 
 
 @query(" SELECT DISTINCT repository_id, source FROM refs WHERE target_file_path IS NULL", index=True)
@@ -425,18 +425,19 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # writes
 
 
-def _orders(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    return b.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status)
+def _orders(spark: SparkSession, sf_dir: str, finished: bool) -> DataFrame:
+    """The orders that are finished, or all others."""
+    return b.table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") == finished)
 
 
 @query(
     """
-SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT o_orderkey + 1, 'new', o_totalprice FROM orders n WHERE o_orderstatus = 'F' AND o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')"""
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey + 1, 'new', o_totalprice FROM orders n WHERE o_orderstatus = 'F' AND o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')"""
 )
 def upsert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old rows win."""
-    old, new = (_orders(spark, sf_dir, s).select("o_orderkey", "o_orderstatus", "o_totalprice") for s in ("O", "F"))
+    old, new = (_orders(spark, sf_dir, s).select("o_orderkey", "o_orderstatus", "o_totalprice") for s in (False, True))
     new = new.withColumns({"o_orderkey": F.col("o_orderkey") + 1, "o_orderstatus": F.lit("new")})
     return tables.upsert(old, new, ["o_orderkey"], replace=False)
 
@@ -444,11 +445,11 @@ def upsert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH n AS (SELECT o_orderkey + 1 AS o_orderkey, 'new' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F')
-SELECT * FROM n UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT o_orderkey FROM n)"""
+SELECT * FROM n UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT o_orderkey FROM n)"""
 )
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows win."""
-    old, new = (_orders(spark, sf_dir, s).select("o_orderkey", "o_orderstatus", "o_totalprice") for s in ("O", "F"))
+    old, new = (_orders(spark, sf_dir, s).select("o_orderkey", "o_orderstatus", "o_totalprice") for s in (False, True))
     new = new.withColumns({"o_orderkey": F.col("o_orderkey") + 1, "o_orderstatus": F.lit("new")})
     return tables.upsert(old, new, ["o_orderkey"])
 
@@ -615,10 +616,10 @@ def symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usages.definitions(symbols, b.files(spark, sf_dir), symbols.select("repository_id", "name").distinct()).select("name", "def_path")
 
 
-@query("SELECT DISTINCT l_suppkey AS request, l_orderkey AS number FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'")
+@query("SELECT DISTINCT l_suppkey AS request, l_orderkey AS number FROM lineitem")
 def pull_request_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that touch a supplier's rows."""
-    items = b.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_orderkey").alias("number"))
+    items = b.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_orderkey").alias("number"))
     requests = items.select(F.col("path").cast("long").alias("request"), "path").distinct()
     return impact.pull_request_conflicts(requests, items).select("request", "number")
 
@@ -646,10 +647,43 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", schemas.is_valid(schemas.plain_text_output(20), F.col("text")).alias("valid"))
 
 
-@query(" SELECT path, NULL AS message FROM files WHERE false", index=True)
+@query(f"SELECT 'src/rich_' || p_partkey || '.tsx' AS path, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, message FROM part, (VALUES {b.sql_values(b.BROKEN_PROBLEMS)}) AS v(line, col, message) WHERE p_partkey % 2 = 1")
 def parse_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What can't be parsed strictly."""
-    return extract.problems(b.files(spark, sf_dir)).select("path", "message")
+    """What can't be parsed strictly, of sources half of which are broken."""
+    return extract.problems(b.rich_files(spark, sf_dir)).select("path", "line", F.col("column").alias("col"), "message")
+
+
+_RICH = "SELECT 'src/rich_' || p_partkey || '.tsx' AS path, {0} FROM part, (VALUES {1}) AS v({2})"
+_KEYED = "replace({0}, '#', CAST(p_partkey AS VARCHAR)) AS {0}"
+
+
+@query(_RICH.format(f"{_KEYED.format('name')}, kind, line_start, line_end, signature, documentation, is_async, access_modifier", b.sql_values(b.RICH_SYMBOLS), "name, kind, line_start, line_end, signature, documentation, is_async, access_modifier"))
+def extract_symbols_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, members, comments, several declarations a line, in whole and in broken sources."""
+    found = extract.symbols(b.rich_files(spark, sf_dir)).where("name <> 'broken'")  # the tail's function is tested apart
+    return found.select("path", "name", "kind", "line_start", "line_end", "signature", "documentation", "is_async", "access_modifier")
+
+
+@query(_RICH.format(f"{_KEYED.format('target_name')}, reference_type, line_number, {_KEYED.format('source')}", b.sql_values(b.RICH_REFERENCES), "target_name, reference_type, line_number, source"))
+def extract_references_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of every form, re-exports, dynamic imports, calls, accesses and types."""
+    return extract.references(b.rich_files(spark, sf_dir)).select("path", "target_name", "reference_type", "line_number", F.try_element_at("metadata", F.lit("importSource")).alias("source"))
+
+
+@query(
+    """,
+n AS (SELECT DISTINCT name FROM symbols),
+d AS (SELECT s.id AS sid, s.name, f.path AS def_path, line_start, line_end FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (SELECT path FROM files WHERE id = file_id), line_start, id) AS k FROM symbols) s JOIN files f ON s.file_id = f.id WHERE k = 1),
+u AS (SELECT DISTINCT d.name, f.path AS file, r.id FROM refs r JOIN d ON r.symbol_name = d.name OR r.target_symbol_id = d.sid JOIN files f ON r.file_id = f.id WHERE NOT (f.path = def_path AND line_number BETWEEN line_start AND line_end))
+SELECT n.name, count(u.id) AS total_usages, count(DISTINCT u.file) AS files_with_usages FROM n LEFT JOIN u USING (name) GROUP BY n.name""",
+    index=True,
+)
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and in how many files, every symbol is used."""
+    symbols = b.symbols(spark, sf_dir)
+    wanted = symbols.select("repository_id", "name").distinct()
+    found = usages.find_usages(symbols, b.references(spark, sf_dir), b.files(spark, sf_dir), wanted, include_tests=True)
+    return usages.usage_summary(found, wanted).select("name", "total_usages", "files_with_usages")
 
 
 @query("SELECT p_partkey, 1 + p_size % 3 AS line FROM part")

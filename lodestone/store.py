@@ -1,8 +1,9 @@
-"""A store of tables: immutable snapshots, and one pointer file that names the current one.
+"""A store of tables: immutable snapshots, and numbered pointer files of which the last names the current one.
 
-A commit writes the changed tables beside the old ones and then swaps the pointer, so readers see
-all of it or nothing, and a job that fails leaves the old snapshot. Paths may be on any file
-system that Spark reads.
+A commit writes the changed tables beside the old ones and then adds the next pointer, so readers see
+all of it or nothing, and a job that fails leaves the old snapshot. Of two writers that began from
+the same pointer the second finds its number taken and fails. Paths may be on any file
+system that Spark reads and that renames onto no file that is there.
 """
 
 from __future__ import annotations
@@ -10,11 +11,16 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import TABLES
 
-POINTER = "_current.json"
+POINTERS = "_commits"
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed since this one began."""
 
 
 class Store:
@@ -26,11 +32,20 @@ class Store:
         self._utils, self._options = jvm.org.apache.commons.io.IOUtils, jvm.org.apache.hadoop.fs.Options.Rename
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
 
-    def _places(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/{POINTER}")
-        if not self._fs.exists(at):
+    def version(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        folder = self._path(f"{self.root}/{POINTERS}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((int(n.partition(".")[0]) for n in names if n.endswith(".json") and n[0].isdigit()), default=0)
+
+    def _pointer(self, version: int):
+        return self._path(f"{self.root}/{POINTERS}/{version:012d}.json")
+
+    def _places(self, version: int | None = None) -> dict[str, str]:
+        version = self.version() if version is None else version
+        if not version:
             return {}
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._pointer(version))
         try:
             return json.loads(self._utils.toString(stream, "UTF-8"))
         finally:
@@ -53,24 +68,40 @@ class Store:
     def exists(self, name: str) -> bool:
         return name in self._places()
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Make all changed tables current at once."""
-        places = self._places()
+    def commit(self, changed: dict[str, DataFrame], began: int | None = None) -> int:
+        """Make all changed tables current at once; the number of the commit.
+
+        ``began`` is the version that the changes were made from, the current one by default. If
+        another commit has come after it, this raises Conflict and leaves the store as it is.
+        """
+        began = self.version() if began is None else began
+        places = self._places(began)
         for name, rows in changed.items():
             place = f"{name}/{uuid.uuid4().hex}"
             rows.select(*TABLES[name].columns).write.parquet(f"{self.root}/{place}")
             places[name] = place
-        temporary = self._path(f"{self.root}/.{uuid.uuid4().hex}")
+        temporary = self._path(f"{self.root}/{POINTERS}/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(json.dumps(places).encode()))
         stream.close()
         modes = self.spark.sparkContext._gateway.new_array(self._options, 1)
-        modes[0] = self._options.OVERWRITE
-        self._context.rename(temporary, self._path(f"{self.root}/{POINTER}"), modes)
+        modes[0] = self._options.NONE
+        try:
+            self._context.rename(temporary, self._pointer(began + 1), modes)
+        except Py4JJavaError as error:
+            self._fs.delete(temporary, False)
+            if not self._fs.exists(self._pointer(began + 1)):
+                raise
+            raise Conflict(f"commit {began + 1} is there already") from error
+        return began + 1
 
     def vacuum(self) -> int:
-        """Remove snapshots that are not current; how many there were."""
-        current, gone = set(self._places().values()), 0
+        """Remove snapshots and pointers that are not current; how many snapshots there were."""
+        version = self.version()
+        current, gone = set(self._places(version).values()), 0
+        for old in range(version - 1, 0, -1):
+            if not self._fs.delete(self._pointer(old), False):
+                break
         for name in TABLES:
             folder = self._path(f"{self.root}/{name}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
@@ -80,7 +111,8 @@ class Store:
 
     def compact(self, files: int = 1) -> None:
         """Write each table again into so many files; then snapshots that are not current can go."""
-        self.commit({name: self.table(name).coalesce(files) for name in self._places()})
+        began = self.version()
+        self.commit({name: self.table(name).coalesce(files) for name in self._places(began)}, began)
 
     def size(self) -> int:
         """Bytes of all snapshots."""

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import html, licenses, pii, toxicity, urls
@@ -67,7 +68,7 @@ def test_pooling_is_the_two_largest():
     model.embedding[0] = 0
     for text in ("one two three four two", "", "alone", "same same same", "a b"):
         words = toxicity.Words()
-        ids = words.text(text)
+        ids = words.texts(pa.array([text]))[0]
         x = np.concatenate([model.embedding[words.matrix()].sum(axis=1)[ids], np.zeros((2, toxicity.DIM))])
         h = []
         for w in model.filters:
@@ -77,6 +78,59 @@ def test_pooling_is_the_two_largest():
         assert toxicity.logits_of(model, ["x y z", text, "q"])[1] == pytest.approx(np.concatenate(h) @ model.dense + 0.25, rel=1e-3)
 
 
+def test_long_texts_are_pooled_in_parts():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.standard_normal((toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.standard_normal((k, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for k in toxicity.WIDTHS], [np.zeros(toxicity.FILTERS, np.float32)] * 3, rng.standard_normal(48).astype(np.float32), 0.25)
+    model.embedding[0] = 0
+    words = toxicity.Words()
+    texts = words.texts(pa.array([" ".join(f"w{rng.integers(500)}" for _ in range(n)) for n in (300, 0, 1, 7, 99)] + [None, "  x \t", "a" * 100_000, "same " * 50]))
+    shares = model.shares(words.matrix())
+    assert [len(t) for t in texts] == [300, 0, 1, 7, 99, 0, 1, 1, 50]
+    whole = model.logits(texts, shares)
+    for chunk in (1, 5, 64):
+        assert model.logits(texts, shares, chunk) == pytest.approx(whole, rel=1e-4)
+
+
+def test_the_sample_is_bounded_before_it_is_collected(spark):
+    """Rows that share a doc_id are one, whole long texts are sampled, and bytes are bounded."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    some = [(i, f"text {i} " + "long " * (2000 if i % 7 == 0 else 3), "en", "s", 1) for i in range(1, 200)] + [(1, f"other {k}", "en", "s", 1) for k in range(50)]
+    out = toxicity.sample_of(spark.createDataFrame(some, SCHEMA).repartition(5), labels)
+    known = {i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5}
+    assert set(out.doc_id) == known and len(out) == len(known) and out.text.str.len().max() > 10_000
+    small = toxicity.sample_of(spark.createDataFrame(some, SCHEMA).repartition(3), labels, size=3000)
+    assert 0 < len(small) < len(out) and small.groupby("toxic").text.apply(lambda t: t.str.len().sum()).max() <= 3000
+    assert toxicity.fitted(out.sample(frac=1, random_state=1)) is toxicity.fitted(out)
+
+
+def test_toxicity_of_very_long_texts(spark, labelled):
+    docs, labels = labelled
+    d, la = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = docs[1][1]
+    extra = [(5000, " ".join([plain] * 30_000), "en", "s", 1), (5001, "q" * 3_000_000, "en", "s", 1), (5002, " ".join([plain] * 20_000 + [docs[0][1]]), "en", "s", 1)]
+    out = {r.doc_id: r.predicted for r in toxicity.scored(d.union(spark.createDataFrame(extra, SCHEMA)), la).where("doc_id >= 5000").collect()}
+    assert out == {5000: 0, 5001: 0, 5002: 1}
+
+
+def test_language_cuts():
+    """Cuts are calibrated by language, and hold where scores of one are lower."""
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in "lo mi ra su ten vor".split() for b in "na pe qui ro st".split()]
+    rows = []
+    for i in range(1200):
+        lang, toxic = rng.choice(["en", "de"]), i % 3 == 0
+        words = [rng.choice(plain) for _ in range(30)] + (["grubby"] * (3 if lang == "en" else 1) if toxic else [])
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    import pandas as pd
+
+    model = toxicity.fit(pd.DataFrame(rows, columns=["doc_id", "text", "lang", "toxic"]))
+    assert set(model.thresholds) == {"en", "de"} and all(0 < x < 1 for x in model.thresholds.values())
+    score = model.score(toxicity.logits_of(model, [r[1] for r in rows]))
+    for lang, cut in model.thresholds.items():
+        of = [(s >= cut) == r[3] for s, r in zip(score, rows, strict=True) if r[2] == lang]
+        assert sum(of) / len(of) > 0.97
+
+
 def test_toxicity_without_rows(spark):
     none, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scored(none, labels).count() == 0

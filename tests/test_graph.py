@@ -45,6 +45,18 @@ def test_walks_on_random_graphs(spark, seed):
         assert {tuple(x.path) for x in closed if x.root == r} == loops
 
 
+def test_results_on_random_graphs(spark):
+    rng = random.Random(5)
+    edges = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(20)})
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(9)] + [("alone",)], "root string")
+    rows = {r.root: r for r in graph.dependency_result(spark.createDataFrame(edges, "src string, dst string"), roots, 4).collect()}
+    assert len(rows) == 10 and rows["alone"].direct == []
+    for root, r in rows.items():
+        nodes, loops = brute(edges, root, 4)
+        assert r.direct == sorted(n for k, n in nodes if k == 1) and {tuple(c) for c in r.cycles} == loops
+        assert r.indirect == {f"depth_{k}": sorted(n for d, n in nodes if d == k) for k in range(2, 5) if any(d == k for d, _ in nodes)}
+
+
 def result(spark, edges, root, depth, tests=True):
     return graph.dependency_result(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(root,)], "root string"), depth, tests).first()
 
@@ -113,6 +125,7 @@ def test_specs(spark):
     rows = {r.spec: r for r in validation.validate(spark.createDataFrame([bad, good], f"spec string, {validation.SPEC}"), files).collect()}
     assert not rows["bad"].valid and Counter(e.type for e in rows["bad"].errors) == {"file_conflict": 1, "naming_convention": 1}
     assert Counter(w.type for w in rows["bad"].warnings) == {"naming_convention": 1, "path_alias": 1, "test_coverage": 1, "dependency": 2}
+    assert all(x.suggested_fix for x in rows["bad"].errors + rows["bad"].warnings) and rows["bad"].errors[0].suggested_fix == validation.FIXES["conflict"]
     assert rows["bad"].risk_assessment.startswith("HIGH RISK - 2 blocking errors, 5 warnings, breaking changes, 2 database migrations.")
     assert rows["good"].valid and rows["good"].risk_assessment.startswith("LOW") and rows["good"].summary == "Validation for feature: y. PASSED - No blocking errors. 3 files planned." and len(rows["good"].approval_conditions) == 2
 

@@ -279,3 +279,99 @@ def test_problems_and_roots(spark, tmp_path):
     (tmp_path / "p" / "src").mkdir(parents=True)
     (tmp_path / "p" / "package.json").write_text("{}")
     assert code.project_root(str(tmp_path / "p" / "src" / "x.ts")) == str(tmp_path / "p") and code.project_root("/nowhere/a/b.ts") == "/nowhere"
+
+
+def references(source):
+    return [(r["target_name"], r["reference_type"], r["line_number"], r["column_number"]) for r in extract.File(source).references()]
+
+
+def test_calls_begin_where_their_expression_does():
+    assert references("load()\n  .then(x)\n  .done;") == [("load", "call", 1, 0), ("then", "call", 1, 0), ("then", "property_access", 1, 0), ("done", "property_access", 1, 0)]
+    assert references("  new Map();\nnew a.Box(1);\nnew Box(2).open();") == [("Box", "property_access", 2, 4), ("open", "call", 3, 0), ("open", "property_access", 3, 0)]
+    assert references("f(a.b, (c || d)[0].e)") == [("f", "call", 1, 0), ("b", "property_access", 1, 2), ("e", "property_access", 1, 7)]
+
+
+def test_nothing_is_capped():
+    """Type arguments of any length, and brackets that close any number of open ones."""
+    long = ", ".join(f"T{i}" for i in range(2000))
+    assert [s["signature"] for s in extract.File(f"export function f<{long}>(a: X<{long}>): void {{}}").symbols()] == ["(a) => void"]
+    deep = "class A { m() { " + "( " * 200 + "} n() {} }\nfunction after() {}\n"
+    assert [s["name"] for s in extract.File(deep).symbols()] == ["A", "m", "n", "after"]
+    begun = datetime.now()
+    list(extract.File("x = a < b\n" * 20_000).references())
+    assert (datetime.now() - begun).seconds < 20
+
+
+def test_a_second_writer_is_found_out(spark, tmp_path):
+    from lodestone.store import Conflict
+
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("r", "a", "main", None, None)], "id string, full_name string, default_branch string, last_indexed_at timestamp, created_at timestamp")
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in catalog.TABLES["repositories"].columns])
+    began = two.version()
+    assert one.commit({"repositories": rows}) == 1
+    with pytest.raises(Conflict):
+        two.commit({"repositories": rows.limit(0)}, began)
+    assert two.table("repositories").count() == 1 and two.commit({"repositories": rows.limit(0)}) == 2
+    assert one.table("repositories").count() == 0 and one.vacuum() == 2 and one.version() == 2
+
+
+def test_aliases_and_issues_are_bounded(spark, monkeypatch):
+    from lodestone.operators import resolve
+
+    monkeypatch.setattr(resolve, "MAX_ALIASES", 1)
+    none = spark.createDataFrame([], "repository_id string, source string, from_path string")
+    with pytest.raises(ValueError):
+        resolve.resolve_imports(none, none.selectExpr("repository_id", "source AS path"), resolve.Aliases(".", {"@a/*": ["a/*"], "@b/*": ["b/*"]}).table(spark))
+
+
+def test_usage_summary(spark):
+    from lodestone.operators import usages
+
+    found = spark.createDataFrame([("r", "f", "function", "a.ts", "x.ts", 1), ("r", "f", "function", "a.ts", "x.ts", 2), ("r", "f", "function", "a.ts", "y.ts", 1)], "repository_id string, name string, kind string, defined_in string, file string, line int")
+    wanted = spark.createDataFrame([("r", "f"), ("r", "g"), ("s", "f")], "repository_id string, name string")
+    rows = {(r.repository_id, r.name): r for r in usages.usage_summary(found, wanted).collect()}
+    assert (rows["r", "f"].total_usages, rows["r", "f"].files_with_usages, rows["r", "f"].defined_in) == (3, 2, "a.ts")
+    assert all(rows[k].total_usages == 0 and rows[k].kind == "unknown" for k in (("r", "g"), ("s", "f")))
+
+
+def test_events_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "n int, kind string")
+    for _ in range(2):
+        state.append_events(rows, str(tmp_path / "events"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "events")).select("n", "kind").collect()] == [(1, "a")] * 2
+
+
+def test_older_code_search(spark):
+    from lodestone.plans.search import Filters, search_code
+
+    columns = catalog.TABLES["indexed_files"].columns
+    files = spark.createDataFrame([("1", "src/a.ts", "say hello world to all"), ("2", "src/b.ts", "nothing here")], "id string, path string, content string")
+    files = files.select(*[F.col(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    rows = search_code(files, "hello world").collect()
+    assert [(r.path, r.snippet) for r in rows] == [("src/a.ts", "say hello world to all")] and rows[0].score < 0
+    assert search_code(files, "hello", Filters(glob="*.js", compatible=False)).count() == 0
+
+
+def test_flat_dependencies(spark):
+    from lodestone.operators import graph
+
+    edges = spark.createDataFrame([("b", "a"), ("a.test", "a"), ("c", "b"), ("a", "z")], "src string, dst string")
+    assert dict(graph.flat_dependencies(edges, "a", 2, True)) == {"dependents": ["a.test", "b", "c"], "dependencies": ["z"], "testFiles": ["a.test"]}
+    assert dict(graph.flat_dependencies(edges, "a", 1, False)) == {"dependents": ["b"], "dependencies": ["z"], "testFiles": []}
+
+
+def test_sync_stream(spark, tmp_path):
+    """Changed files of the sync folder are imported once a batch, and its deletions applied again."""
+    folder, store = tmp_path / "sync", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    name = "repositories"
+    first = spark.createDataFrame([("r1", "one", "o/one"), ("r2", "two", "o/two")], "id string, name string, full_name string")
+    full = first.select(*[F.col(c) if c in first.columns else F.lit(None).cast("string").alias(c) for c in catalog.TABLES[name].columns])
+    lines = [json.dumps({k: v for k, v in r.asDict().items() if v is not None}) for r in full.collect()]
+    (folder / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    stream = watch.files_stream(spark, str(folder))
+    run = stream.writeStream.foreachBatch(index.handle_sync(spark, store, str(folder))).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert run.exception() is None and store.version() == 1 and store.exists(name)
+    assert {r.full_name for r in store.table(name).collect()} == {"o/one", "o/two"}

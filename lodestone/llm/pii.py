@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import carried, staged, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as its context.
@@ -141,8 +141,11 @@ _NEAR = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "group", "contex
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, spans, holds, near, text) of every row; holds are its entities and groups, text is null without any."""
+def found(docs: DataFrame, number: Column | None = None) -> DataFrame:
+    """(row, doc_id, spans, holds, near, text) of every row; holds are its entities and groups, text is null without any.
+
+    ``number`` is a column with a different long for each row, by default one that is worked out here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +160,8 @@ def found(docs: DataFrame) -> DataFrame:
             columns = [pa.array(spans, _SPANS), pa.array(holds, pa.list_(pa.int64())), pa.array(near, _NEAR), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "spans", "holds", "near", "text"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number = F.monotonically_increasing_id() if number is None else number
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, spans array<struct<kind:string,start:long,end:long>>, holds array<long>, near array<struct<entity:long,group:long,context:long,term:long>>, text string")
 
 
@@ -209,7 +213,7 @@ def disclosing(near: DataFrame, docs: DataFrame, total: int, prior: float = PRIO
     return joined.withColumn("disclosure", 1 - F.log(given) / F.log(p)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
+def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, number: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, spans (kind, start, end, disclosure), by kind as listed, "term" last, then start.
 
     Offsets are code points, end exclusive. Terms are words of three characters or more that
@@ -218,7 +222,7 @@ def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERAL
     repeated rows are rows of their own (repeats share their contexts, so they count once as proof);
     an empty table gives no rows; further columns are not read.
     """
-    rows = staged(found(docs))
+    rows = staged(found(docs, number))
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*").withColumn("entity", F.explode(F.array("entity", "group"))).drop("group")
     pairs = disclosing(near, docs, rows.count(), prior, generalise)
     holds = rows.select("row", F.explode("holds").alias("entity"))
@@ -240,6 +244,27 @@ def clean(text: str, spans: list[tuple[str, int, int, float]], remove: float = R
     return "".join([*out, text[at:]])
 
 
+def cleaned(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """The rows of ``docs`` with all columns, and in their texts entities and disclosing terms generalised or removed.
+
+    Texts without spans stay as they are, null ones too. The rows are numbered in a table in the
+    shared folder, so that a row that is read again has the same number.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_number"), carried(docs).alias("_carried"), F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text")))
+    spans = sanitised(rows.select(F.col("_number"), F.col("_doc").alias("doc_id"), F.col("_text").alias("text")), prior, generalise, F.col("_number"))
+    some = spans.where(F.size("spans") > 0).select(F.col("row").alias("_number"), F.col("spans").alias("_spans"))
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, of in zip(texts, spans.to_pylist(), strict=True):
+            out.append(clean(text.as_py(), [(s["kind"], s["start"], s["end"], s["disclosure"]) for s in of], remove) if of else text.as_py())
+        return pa.array(out, pa.string())
+
+    joined = rows.join(some, "_number", "left").withColumn("_clean", run("_text", "_spans"))
+    return joined.select(*[F.col("_clean").alias(c) if c.lower() == "text" else F.col("_carried").getField(c).alias(c) for c in docs.columns])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (joined as kind:start:end)."""
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -463,6 +463,77 @@ def test_terms_everywhere_in_rows_that_hold_the_entity(spark):
     assert {text[x["start"]] for x in pii.neighbours(text, pii.base_spans(text))} == set("abcdefghijklmnop")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_disclosure_by_brute_force(spark, seed):
+    """Terms of random corpora by counting contexts, rows and terms in plain Python."""
+    rng = random.Random(seed)
+    common, rare = [f"word{i}" for i in range(12)], [f"Name{i}" for i in range(30)]
+    people = [f"p{i}@{'ab'[i % 2]}.example" for i in range(9)] + [f"10.{i}.0.{i}" for i in range(4)]
+    texts = []
+    for _ in range(400):
+        words = [rng.choice(common) for _ in range(rng.randrange(1, 40))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            who = rng.randrange(len(people))
+            words[(at := rng.randrange(len(words))) : at] = [people[who], *([f"Title{who}"] if rng.random() < 0.6 else [])]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words.insert(rng.randrange(len(words)), rng.choice(rare))
+        texts.append(" ".join(words))
+    texts += texts[:20] + [None]
+    df, by, holds, spots = Counter(), {}, [], []
+    for k, text in enumerate(texts):
+        text = text or ""
+        base = brute_spans(text)
+        inside = lambda s, e, base=base: any(a < e and s < z for _, a, z in base)
+        words = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+        free = [w for w in words if not inside(*w)]
+        for w in {text[s:e].lower() for s, e in words if e - s > 2}:
+            df[w] += 1
+        spots.append([w for w in free if w[1] - w[0] > 2])
+        mine = set()
+        for kind, a, z in base:
+            value = text[a:z].lower()
+            who = (kind, value), (kind, value.split("@")[1] if kind == "email" else ".".join(value.split(".")[:2]), "group")
+            mine |= set(who)
+            before = [w for w in words if w[1] <= a][-8:]
+            after = [w for w in words if w[0] >= z][:8]
+            near = [text[s:e].lower() for s, e in before + after if (s, e) in free]
+            for e in who:
+                for t in near:
+                    if len(t) > 2:
+                        seen = by.setdefault(e, {}).setdefault(t, (set(), set()))
+                        seen[0].add(" ".join(near))
+                        seen[1].add(k)
+        holds.append(mine)
+    n, pairs = len(texts), {}
+    for e, terms in by.items():
+        p = min(len({k for _, rows in terms.values() for k in rows}) / n, 0.9999)
+        for t, (contexts, rows) in terms.items():
+            given = (min(len(contexts), len(rows)) + pii.PRIOR * p) / (min(len(contexts), len(rows)) + df[t] - len(rows) + pii.PRIOR)
+            pairs[e, t] = 1 - np.log(given) / np.log(p)
+    for cut in (0.3, 0.5, 0.8):
+        want = Counter()
+        for k, text in enumerate(texts):
+            want[k] = sorted((s, e) for s, e in spots[k] if max((pairs.get((w, text[s:e].lower()), -1) for w in holds[k]), default=-1) >= cut)
+        docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+        got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "term") for r in pii.sanitised(docs, generalise=cut).collect()}
+        assert got == want and (cut > 0.5 or sum(map(len, got.values())) > 20)
+
+
+def test_cleaned_rows(spark, rows, clashing):
+    """Entities and terms go from the texts; rows, other columns and texts without spans stay."""
+    rng = random.Random(1)
+    plain = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    some = [(5000 + k, f"{plain(30)} zebulon ann.1@mail.example.com {plain(5)} zebulon", "en", "s", 1) for k in range(6)] + [(6000, f"{plain(3)} call +1 (017) 555-7713 or 4111 1111 1111 1111", "en", "s", 1), (None, "mail x@y.example", "en", "s", 1)]
+    docs = clashing(spark.createDataFrame([*rows, *some], SCHEMA).repartition(3))
+    out = pii.cleaned(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == len(rows) + len(some) and all(r["_doc"] == "x" and r["a.b"] == "x" for r in got)
+    texts = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    assert all("zebulon" not in texts[5000 + k] and "@" not in texts[5000 + k] and "[EMAIL]" in texts[5000 + k] for k in range(6))
+    assert texts[6000].endswith("call [PHONE] or [CARD]") and Counter(r.text for r in got if r.doc_id is None) == Counter([None, "no id at all", "mail [EMAIL]"])
+    assert Counter((r[0], r[1]) for r in rows) == Counter((r.doc_id, r.text) for r in got if r.doc_id is not None and r.doc_id < 5000 or r.doc_id is None and r.text != "mail [EMAIL]")
+
+
 @pytest.mark.parametrize("inline", ["<font>", "<span class=x>", "<a href='/'>"])
 def test_unclosed_elements_of_any_number(inline):
     """An end tag finds its element below any number of unclosed ones, in linear time."""

@@ -32,9 +32,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Parts in which the pieces of one length are ranked at least, and rows of a part, about.
 BUCKETS, BUCKET_ROWS = 256, 1_000_000
 #: Parts of words whose ids a worker remembers at most, before a batch, and how many of them it then keeps.
-REMEMBERED, KEPT = 600_000, 300_000
+REMEMBERED, KEPT = 400_000, 200_000
 #: Bytes of text that are encoded at once; a longer text goes alone.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 #: Pieces of a window of the mix at least, and windows at most; positions of the mix are counted in so many steps.
 WINDOW_PIECES, WINDOWS, STEPS = 1024, 64, 4096
 

@@ -111,6 +111,7 @@ def stretches(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.Reco
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size)) + 1
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -81,7 +81,7 @@ class Engine:
         if output is not None and output not in searching.FORMS:
             raise ValueError(f"output must be one of: {', '.join(searching.FORMS)}")
         names = ("indexed_files", "indexed_symbols", "decisions", "patterns", "failures")
-        return searching.response(self.store.tables(*names), query, scope, normalize_filters(filters, self.repository), limit, output, context_lines, seen_tips)
+        return searching.response(self.store.tables(*names) | self.store.postings(), query, scope, normalize_filters(filters, self.repository), limit, output, context_lines, seen_tips)
 
     def index_repository(self, local_path: str, repository: str | None = None) -> dict:
         return index.index_repository(self.spark, self.store, local_path, self.now(), repository)

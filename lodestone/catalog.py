@@ -21,6 +21,7 @@ class Table:
     set_null: dict[str, str] = field(default_factory=dict)
     allowed: dict[str, tuple[str, ...]] = field(default_factory=dict)
     required: tuple[str, ...] = ()
+    sort: tuple[str, ...] = ()  # files hold ranges of these, so that a reader skips the others
 
     @property
     def columns(self) -> list[str]:
@@ -42,6 +43,8 @@ TABLES = {
         "id string, file_id string, repository_id string, symbol_name string, target_symbol_id string, target_file_path string, line_number int, column_number int, reference_type string, metadata string, created_at timestamp",
         (("id",),), {"file_id": "indexed_files", "repository_id": "repositories"}, {"target_symbol_id": "indexed_symbols"}, {"reference_type": REFERENCE_TYPES}, ("id", "file_id", "symbol_name"),
     ),
+    "file_postings": Table("token string, file_id string, column string, positions array<int>", (("token", "file_id", "column"),), {"file_id": "indexed_files"}, sort=("token", "file_id")),
+    "file_lengths": Table("file_id string, dl bigint", (("file_id",),), {"file_id": "indexed_files"}),
     "projects": Table("id string, user_id string, org_id string, name string, description string, created_at timestamp, updated_at timestamp, metadata string", (("id",), ("user_id", "name"), ("org_id", "name")), required=("id", "name")),
     "project_repositories": Table("id string, project_id string, repository_id string, added_at timestamp", (("project_id", "repository_id"),), {"project_id": "projects", "repository_id": "repositories"}),
     "decisions": Table("id string, repository_id string, title string, context string, decision string, scope string, rationale string, alternatives array<string>, related_files array<string>, created_at timestamp, updated_at timestamp, metadata string", allowed={"scope": DECISION_SCOPES}),

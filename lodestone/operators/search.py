@@ -85,23 +85,29 @@ def lengths(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(F.col(key).alias("key"), reduce(lambda a, b: a + b, [token_count(token_text(F.col(c))) for c in columns]).alias("dl"))
 
 
-def search_postings(index: DataFrame, sizes: DataFrame, query: str, limit: int | None = None, buckets: int = 64) -> DataFrame:
-    """(key, tf, dl, score) of the best rows, from ``postings`` and ``lengths``.
+def postings_hits(index: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
+    """(key, tf, dl, score) of all rows with the phrase, from ``postings`` and ``lengths``.
 
-    Reads the buckets of the phrase's tokens; adjacency is an intersection of shifted positions,
+    Only the rows of the phrase's tokens are read; adjacency is an intersection of shifted positions,
     so phrases that repeat a token or overlap themselves count right.
     """
     phrase = query_tokens(query)
     if not phrase:
         return index.limit(0).select("key", F.lit(0).alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(0.0).alias("score"))
-    own = index.where(F.col("token").isin(sorted(set(phrase))) & F.col("bucket").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in sorted(set(phrase))]))
+    own = index.where(F.col("token").isin(sorted(set(phrase))))
     at = own.groupBy("key", "column").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
     hit = reduce(F.array_intersect, [_shifted(t, k) for k, t in enumerate(phrase)])
     tf = at.groupBy("key").agg(F.sum(F.size(hit)).alias("tf")).where("tf > 0")
     found = tf.join(sizes, "key")
     total = sizes.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl"))
     with_stats = found.withColumns({"n_rows": total.select("n_rows").scalar(), "avg_dl": total.select("avg_dl").scalar(), "n_hits": tf.agg(F.count("*").alias("n")).scalar()})
-    return bm25(with_stats).select("key", "tf", "dl", "score").orderBy("score", "key").limit(clamp_limit(limit))
+    return bm25(with_stats).select("key", "tf", "dl", "score")
+
+
+def search_postings(index: DataFrame, sizes: DataFrame, query: str, limit: int | None = None, buckets: int = 64) -> DataFrame:
+    """The best of ``postings_hits``; of postings that are written by bucket, those of the phrase's tokens are read."""
+    own = F.col("bucket").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in sorted(set(query_tokens(query)))])
+    return postings_hits(index.where(own) if query_tokens(query) else index, sizes, query).orderBy("score", "key").limit(clamp_limit(limit))
 
 
 def _shifted(token: str, by: int):

@@ -44,7 +44,9 @@ def delete(tables: dict[str, DataFrame], name: str, gone: DataFrame, key: str =
         if child not in out or child == name:
             continue
         for column, parent in spec.cascade.items():
-            if parent == name:
+            if parent == name and "id" not in out[child].columns:  # nothing refers to such rows
+                out[child] = out[child].join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*out[child].columns)
+            elif parent == name:
                 rows = out[child].join(ids.select(F.col("id").alias(column)), column, "left_semi").select("id")
                 out = delete(out, child, rows)
         for column, parent in spec.set_null.items():

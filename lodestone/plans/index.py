@@ -8,12 +8,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import TEXT_COLUMNS
 from ..functions.paths import normalize_path
-from ..operators import extract, resolve, tables
+from ..operators import extract, resolve, search, tables
 from ..operators.graph import EDGE_TYPES
 from ..sources import code, jsonl
 from ..store import Store
 
+POSTINGS = ("file_postings", "file_lengths")
 INDEX = ("repositories", "indexed_files", "indexed_symbols", "indexed_references")
 
 
@@ -31,7 +33,8 @@ def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases
     Symbols and references of the files are replaced, imports are resolved against all files. With
     ``sweep`` files of the repository that weren't read are removed.
     """
-    old = store.tables(*INDEX)
+    ready = store.postings()
+    old = store.tables(*INDEX) | (ready or {n: store.table(n).limit(0) for n in POSTINGS})
     rows = tables.file_rows(files, repository_id, now)
     if sweep:
         gone = old["indexed_files"].where(F.col("repository_id") == repository_id).join(rows.select("path"), "path", "left_anti").select("path")
@@ -42,7 +45,15 @@ def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases
     symbols = tables.replace_for(old["indexed_symbols"], tables.symbol_rows(extract.symbols(read), known, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
     found = _located(extract.references(read), known, aliases, repository_id, compatible)
     references = tables.replace_for(old["indexed_references"], tables.reference_rows(found, known, symbols, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
-    return {"indexed_files": known, "indexed_symbols": symbols, "indexed_references": references}
+    # the postings of what was read again, or of all files where there are none that hold
+    texts = known.join(rows.select("id"), "id", "left_semi") if ready else known
+    ids = texts.select(F.col("id").alias("file_id"))
+    made = search.postings(texts, "id", TEXT_COLUMNS["indexed_files"]).withColumnRenamed("key", "file_id")
+    sizes = search.lengths(texts, "id", TEXT_COLUMNS["indexed_files"]).withColumnRenamed("key", "file_id")
+    return {
+        "indexed_files": known, "indexed_symbols": symbols, "indexed_references": references,
+        "file_postings": tables.replace_for(old["file_postings"], made, "file_id", ids), "file_lengths": tables.replace_for(old["file_lengths"], sizes, "file_id", ids),
+    }
 
 
 def index_repository(spark: SparkSession, store: Store, root: str, now, full_name: str | None = None, sweep: bool = True) -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import TEXT_COLUMNS
 from ..functions.text import char_snippet, line_snippets
-from ..operators.search import clamp_limit, search, search_symbols
+from ..operators.search import clamp_limit, postings_hits, search, search_symbols
 
 SCOPES = ("code", "symbols", "decisions", "patterns", "failures")
 FORMS = ("full", "paths", "compact", "snippet")
@@ -44,7 +44,8 @@ def _repository(filters: Filters) -> Column:
     return F.lit(True) if filters.repository_id is None else F.col("repository_id") == filters.repository_id
 
 
-def code(files: DataFrame, query: str, filters: Filters, limit: int | None = None) -> DataFrame:
+def code(files: DataFrame, query: str, filters: Filters, limit: int | None = None, postings: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """The best files for a phrase, by their postings where there are any, and else by a scan of all texts."""
     shown = _repository(filters)
     if not filters.compatible:
         if filters.glob:
@@ -53,7 +54,12 @@ def code(files: DataFrame, query: str, filters: Filters, limit: int | None = Non
             shown = shown & ~F.col("path").rlike(glob_pattern(g))
         if filters.language:
             shown = shown & (F.col("language") == filters.language)
-    return search(files, TEXT_COLUMNS["indexed_files"], query, limit, shown, ["path", "id"])
+    if postings is None or lengths is None:
+        return search(files, TEXT_COLUMNS["indexed_files"], query, limit, shown, ["path", "id"])
+    hits = postings_hits(postings.withColumnRenamed("file_id", "key"), lengths.withColumnRenamed("file_id", "key"), query).withColumnRenamed("key", "id")
+    # the best are chosen without their texts; at most clamp_limit rows are broadcast
+    best = files.join(hits, "id").where(shown).select("id", "tf", "dl", "score", "path").orderBy("score", "path", "id").limit(clamp_limit(limit)).drop("path")
+    return files.join(F.broadcast(best), "id").select(*files.columns, "tf", "dl", "score").orderBy("score", "path", "id")
 
 
 def search_code(files: DataFrame, query: str, filters: Filters | None = None, limit: int | None = None) -> DataFrame:
@@ -85,7 +91,7 @@ def results(tables: dict[str, DataFrame], query: str, scopes: list[str] | None =
     """A lazy table for each scope; the limit is for each."""
     filters = filters or Filters()
     make = {
-        "code": lambda: code(tables["indexed_files"], query, filters, limit),
+        "code": lambda: code(tables["indexed_files"], query, filters, limit, tables.get("file_postings"), tables.get("file_lengths")),
         "symbols": lambda: search_symbols(tables["indexed_symbols"], tables["indexed_files"], query, filters.symbol_kind, filters.exported_only or None, filters.repository_id, limit),
         "decisions": lambda: memory(tables["decisions"], TEXT_COLUMNS["decisions"], query, filters, limit),
         "patterns": lambda: patterns(tables["patterns"], query, filters, limit),

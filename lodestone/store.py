@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import TABLES
 
 POINTERS = "_commits"
+#: In a pointer: the files that the postings were made of.
+SOURCE = "_postings_of"
 
 
 class Conflict(RuntimeError):
@@ -61,10 +63,15 @@ class Store:
 
     def query(self, sql: str, *arguments: object, names: tuple[str, ...] | None = None) -> DataFrame:
         """SQL over the tables by their names, with ``?`` bound in order."""
-        for name in names or tuple(self._places()):
+        for name in names or tuple(n for n in self._places() if n != SOURCE):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(sql, args=list(arguments) or None)
 
+    def postings(self) -> dict[str, DataFrame]:
+        """The postings of the files and their lengths, or nothing where the files have changed since."""
+        places = self._places()
+        return self.tables("file_postings", "file_lengths") if SOURCE in places and places[SOURCE] == places.get("indexed_files") else {}
+
     def exists(self, name: str) -> bool:
         return name in self._places()
 
@@ -78,8 +85,11 @@ class Store:
         places = self._places(began)
         for name, rows in changed.items():
             place = f"{name}/{uuid.uuid4().hex}"
-            rows.select(*TABLES[name].columns).write.parquet(f"{self.root}/{place}")
+            rows, sort = rows.select(*TABLES[name].columns), TABLES[name].sort
+            (rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{self.root}/{place}")
             places[name] = place
+        if "file_postings" in changed and "indexed_files" in places:
+            places[SOURCE] = places["indexed_files"]
         temporary = self._path(f"{self.root}/{POINTERS}/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(json.dumps(places).encode()))
@@ -112,7 +122,10 @@ class Store:
     def compact(self, files: int = 1) -> None:
         """Write each table again into so many files; then snapshots that are not current can go."""
         began = self.version()
-        self.commit({name: self.table(name).coalesce(files) for name in self._places(began)}, began)
+        places = self._places(began)
+        names = [n for n in places if n != SOURCE]
+        fresh = places.get(SOURCE) == places.get("indexed_files")
+        self.commit({n: self.table(n).coalesce(files) for n in names if fresh or n not in ("file_postings", "file_lengths")}, began)
 
     def size(self) -> int:
         """Bytes of all snapshots."""

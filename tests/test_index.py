@@ -129,6 +129,39 @@ def test_incremental(spark, tree, tmp_path):
     assert stream.exception() is None
     assert {r.name for r in engine.store.table("indexed_symbols").collect()} == {"sum", "Service", "n", "run"}
     assert "src/lib/types.ts" not in {r.path for r in engine.store.table("indexed_files").collect()}
+    same_as_a_scan(engine.store, ["sum", "add", "add from utils", "number", "src utils", "nothing at all", ""])
+
+
+def same_as_a_scan(store, queries):
+    """What the postings find is what a scan of all texts finds, with the same scores, and only token rows are read."""
+    from lodestone.plans.search import Filters, code
+
+    found, files = store.postings(), store.table("indexed_files")
+    assert set(found) == {"file_postings", "file_lengths"}
+    for q in queries:
+        want, got = (code(files, q, Filters(), 20, *x).select("id", "path", "content", "tf", "dl", F.round("score", 9)).collect() for x in ((), (found["file_postings"], found["file_lengths"])))
+        assert list(map(tuple, got)) == list(map(tuple, want)), q
+    assert "IN(token" in (plan := code(files, "add from", Filters(), 20, found["file_postings"], found["file_lengths"])._jdf.queryExecution().toString()) or "In(token" in plan
+
+
+def test_search_by_postings(spark, tree, tmp_path):
+    """Postings come with the index, follow what is read again, and are not used once files changed without them."""
+    engine = Engine(spark, str(tmp_path / "store"), lambda: NOW)
+    assert engine.store.postings() == {}
+    engine.index_repository(str(tree))
+    same_as_a_scan(engine.store, ["add", "import add", "a number", "utils ts", "zzz"])
+    (tree / "src/utils.ts").write_text("export function sum() { return add; }\n")
+    engine.index_repository(str(tree))
+    same_as_a_scan(engine.store, ["add", "return add", "a number", "utils ts"])
+    engine.store.compact()
+    same_as_a_scan(engine.store, ["return add"])
+    store = engine.store
+    store.commit({"indexed_files": store.table("indexed_files").where("path <> 'src/utils.ts'")})
+    assert store.postings() == {} and "src/utils.ts" not in [r["path"] for r in engine.search("add")["results"]["code"]]
+    store.compact()
+    assert store.postings() == {}
+    engine.index_repository(str(tree))
+    same_as_a_scan(store, ["add", "return add"])
 
 
 def test_tiers_and_filters():

@@ -276,6 +276,19 @@ def test_url_model_on_unseen_hosts():
     assert all(model.score(h, "/de/5") < 0.5 for h in ("www.river.org", "blog.ththon.net", "m.therst.org", "tionsh.net"))
 
 
+def test_url_model_on_held_out_hosts():
+    """Ten-fold over the labelled table, whose hosts all differ."""
+    rows = [(u, 1) for u in urls.BLOCKED] + [(u, 0) for u in urls.ALLOWED]
+    assert len({u.partition("/")[0] for u, _ in rows}) == len(rows)
+    hits = Counter()
+    for k in range(10):
+        train = [r for i, r in enumerate(rows) if i % 10 != k]
+        model = urls.Model(*urls.train([u for u, y in train if y], [u for u, y in train if not y]))
+        for u, y in rows[k::10]:
+            hits[y, model.score(u.partition("/")[0], "/" + u.partition("/")[2]) >= 0.5] += 1
+    assert hits[1, True] / (hits[1, True] + hits[0, True]) > 0.7 and hits[1, True] / (hits[1, True] + hits[1, False]) > 0.7
+
+
 # license scans
 
 

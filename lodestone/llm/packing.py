@@ -11,7 +11,6 @@ prefix of the sequences holds a prefix of the mix, but for the order inside one
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -47,9 +46,10 @@ def default_tokenizer() -> str:
 
 #: Letters of words that are encoded many at a time, and marks that may follow them.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
-_WORD = re.compile(f"[{_LETTERS}]+")
 _MARKS = ".,;:!?|#*$%&"
-_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_SPECIAL, _SPECIAL_END = ("<|startoftext|>", "<|endoftext|>"), "oftext|>"
+#: The number of the first part; the empty part and the end of a text come before.
+FIRST = 2
 
 
 class Ids:
@@ -58,75 +58,83 @@ class Ids:
     The tokenizer's normaliser and splitter lower-case and never look across ASCII white space, nor
     from a letter to a mark behind it. So a text's ids are those of its words one after another,
     and those of a word in letters and then marks are those of both. Parts have numbers, and the
-    ids of those that were met lately are remembered in one array. New parts in letters are
-    encoded many at a time: the last token of each is one that ends words, which tells them apart.
+    ids of those that were met lately are remembered in one array; the parts themselves stay in
+    Arrow, where they are looked up. New parts in letters are encoded many at a time, split at
+    blanks, as the normaliser and the splitter leave them as they are; the last token of each is
+    one that ends words, which tells them apart.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.number: dict[str, int] = {"": 0}
+        #: Remembered parts by number, from FIRST on; numbers 0 and 1 are the empty part and the end of a text.
+        self.parts = pa.array([], pa.string())
         #: By number: how many ids, where they begin in the pool, and how many batches had the part.
-        self.sizes, self.starts, self.seen = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        self.sizes, self.starts, self.seen = np.array([0, 1]), np.array([0, 0]), np.zeros(FIRST, np.int64)
+        self.pool = np.array([END], "<u4")
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts end to end, and how many each has."""
-        found = [e.ids for at in range(0, len(parts), 1000) for e in self.tokenizer.encode_batch(parts[at : at + 1000], add_special_tokens=False)]
+        found = [e.ids for at in range(0, len(parts), 1000) for e in self.tokenizer.encode_batch_fast(parts[at : at + 1000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
 
-    def letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def letters(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for parts that are letters only."""
-        all_ids, sizes = [], []
+        all_ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            some = parts.slice(at, 1000)
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 many = np.diff(cuts, prepend=0)
             else:
-                ids, many = self.encode(some)
+                ids, many = self.encode(some.to_pylist())
             all_ids.append(ids)
             sizes.append(many)
-        return np.concatenate([np.zeros(0, "<u4"), *all_ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
-
-    def learn(self, parts: list[str]) -> None:
-        """Number parts and remember their ids."""
-        plain, other = [], []
-        for x in parts:
-            (plain if _WORD.fullmatch(x) else other).append(x)
-        (a, many_a), (b, many_b) = self.letters(plain), self.encode(other)
-        sizes = np.concatenate([many_a, many_b])
-        self.number.update(zip(chain(plain, other), range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        return np.concatenate(all_ids), np.concatenate(sizes)
+
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """Remember the ids of new parts, and give the parts numbers."""
+        plain = pc.equal(pc.binary_length(pc.utf8_ltrim(parts, characters=_LETTERS)), 0)
+        some, other = parts.filter(plain), parts.filter(pc.invert(plain))
+        (a, many_a), (b, many_b) = self.letters(some), self.encode(other.to_pylist())
+        sizes, first = np.concatenate([many_a, many_b]), len(self.sizes)
+        self.parts = pa.concat_arrays([self.parts, some, other])
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes, self.seen = np.concatenate([self.sizes, sizes]), np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
         self.pool = np.concatenate([self.pool, a, b])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        return first + np.where(is_plain, np.cumsum(is_plain) - 1, len(some) + np.cumsum(~is_plain) - 1)
 
     def forget(self) -> None:
         """Keep the KEPT parts that most batches had."""
-        order = np.argsort(-self.seen[1:], kind="stable")[:KEPT] + 1
         stay = np.zeros(len(self.seen), bool)
-        stay[order] = stay[0] = True
-        number = np.cumsum(stay) - 1
-        self.number = {x: int(number[k]) for x, k in self.number.items() if stay[k]}
+        stay[np.argsort(-self.seen[FIRST:], kind="stable")[:KEPT] + FIRST] = True
+        stay[:FIRST] = True
+        self.parts = self.parts.filter(pa.array(stay[FIRST:]))
         self.pool = self.pool[np.repeat(stay, self.sizes)]
         self.sizes, self.seen = self.sizes[stay], self.seen[stay]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def of(self, parts: list[str]) -> np.ndarray:
+    def of(self, parts: pa.Array) -> np.ndarray:
         """Numbers of different parts."""
-        if len(self.number) > REMEMBERED:
+        if len(self.parts) > REMEMBERED:
             self.forget()
-        known = self.number
-        if new := [x for x in parts if x not in known]:
-            self.learn(new)
-        found = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        at = pc.index_in(parts, value_set=self.parts)
+        found = pc.fill_null(at, -FIRST).to_numpy().astype(np.int64) + FIRST
+        found[pc.equal(parts, "").to_numpy(zero_copy_only=False)] = 0
+        unknown = pc.and_(pc.is_null(at), pc.not_equal(parts, ""))
+        if len(new := parts.filter(unknown)):
+            found[unknown.to_numpy(zero_copy_only=False)] = self.learn(new)
         self.seen[found] += 1
         return found
 
@@ -138,25 +146,22 @@ class Ids:
         """
         texts = pc.fill_null(texts, "")
         lower = pc.ascii_lower(texts)
-        special = pc.or_(*[pc.match_substring(lower, x) for x in _SPECIAL])  # these are special before they are lower-cased
-        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+        if pc.any(pc.match_substring(lower, _SPECIAL_END)).as_py():  # these are special before they are lower-cased
+            lower = pc.if_else(pc.or_(*[pc.match_substring(lower, x) for x in _SPECIAL]), texts, lower)
+        lists = pc.ascii_split_whitespace(lower)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         cores, marks = pc.ascii_rtrim(words, characters=_MARKS), pc.utf8_ltrim(words, characters=_LETTERS)
         both = pc.and_(pc.equal(pc.add(pc.binary_length(cores), pc.binary_length(marks)), pc.binary_length(words)), pc.greater(pc.binary_length(cores), 0))
         parts = pa.concat_arrays([pc.if_else(both, cores, words), pc.if_else(both, marks, "")]).dictionary_encode()
-        of_word = self.of(parts.dictionary.to_pylist())[np.asarray(parts.indices)].reshape(2, -1).T
+        of_word = self.of(parts.dictionary.cast(pa.string()))[np.asarray(parts.indices)].reshape(2, -1).T
 
         ends = np.asarray(lists.offsets, np.int64)[1:] - lists.offsets[0].as_py()
-        numbers = of_word[np.asarray(coded.indices)].reshape(-1)
+        numbers = np.insert(of_word[np.asarray(coded.indices)].reshape(-1), 2 * ends, FIRST - 1)  # an END behind each text
         many = self.sizes[numbers]
         after = np.concatenate([[0], np.cumsum(many)])
-        last = np.concatenate([[0], after[2 * ends]]) + np.arange(len(ends) + 1)
-        ids = np.full(last[-1], END, "<u4")
-        shift = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], 2 * ends])))  # an END for each text before
-        into = np.repeat(shift, many) + np.arange(after[-1])
-        ids[into] = self.pool[np.repeat(self.starts[numbers] - after[:-1], many) + np.arange(after[-1])]
-        return ids, last
+        ids = self.pool[np.repeat(self.starts[numbers] - after[:-1], many) + np.arange(after[-1])]
+        return ids, np.concatenate([[0], after[2 * ends + np.arange(1, len(ends) + 1)]])
 
 
 _LOADED: dict[str, Ids] = {}

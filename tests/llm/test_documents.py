@@ -263,7 +263,7 @@ def test_ids_of_forgotten_words(monkeypatch):
         texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(40)]
         got, begins = ids.batch(pa.array(texts))
         assert [got[i:j].tolist() for i, j in zip(begins[:-1], begins[1:], strict=True)] == [[*e.ids, packing.END] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert len(ids.number) <= 20 + 600 and len(ids.sizes) == len(ids.number)
+        assert len(ids.parts) <= 20 + 600 and len(ids.sizes) == len(ids.parts) + packing.FIRST
 
 
 def test_patterns_use_every_piece_once():

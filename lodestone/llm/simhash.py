@@ -27,6 +27,8 @@ SEED = 42
 #: At anchors with more homes than this, links are found block by block and leave as spanning forests.
 SMALL = 64
 BLOCK = 1024
+#: Homes of a block that meet all its replicas at once.
+AT_ONCE = 64
 #: Anchors that are marked by a broadcast; more are marked by a join.
 BROADCAST = 200_000
 
@@ -89,11 +91,13 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y = (pdf.loc[pdf.home == k, "fp"].to_numpy().view(np.uint64) for k in (True, False))
     if not len(x) or not len(y):
         return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-    near = np.stack([np.bitwise_count(y ^ one) <= THRESHOLD for one in x])
-    label_x, label_y, most = x.copy(), y.copy(), np.uint64(2**64 - 1)
+    near = [np.flatnonzero(np.bitwise_count(x[i : i + AT_ONCE, None] ^ y) <= THRESHOLD) + i * len(y) for i in range(0, len(x), AT_ONCE)]
+    at_x, at_y = np.divmod(np.concatenate(near), len(y))
+    label_x, label_y = x.copy(), y.copy()
     while True:
-        new_y = np.minimum(label_y, np.where(near, label_x[:, None], most).min(axis=0))
-        new_x = np.minimum(label_x, np.where(near, new_y[None, :], most).min(axis=1))
+        new_x, new_y = label_x.copy(), label_y.copy()
+        np.minimum.at(new_y, at_y, label_x[at_x])
+        np.minimum.at(new_x, at_x, new_y[at_y])
         if (new_x == label_x).all() and (new_y == label_y).all():
             break
         label_x, label_y = new_x, new_y

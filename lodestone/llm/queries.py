@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, spelling
+from . import licenses, mixing, neighbours, quality, spelling
 from .common import table
 from .exact_dedup import exact_groups
 from .html import extracted
@@ -64,8 +64,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_html, op5_urls, op6_exact_dedup, op7_simhash, op8_licenses, op9_pii, op10_packing, op12_spelling)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_html, op5_urls, op6_exact_dedup, op7_simhash, op8_licenses, op9_pii, op10_packing, op12_spelling, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -75,6 +79,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.oracle(),
         "op8_licenses": licenses.oracle(),
         "op12_spelling": spelling.oracle(),
+        "op13_neighbours": neighbours.oracle(),
         "op6_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256({norm}) AS text_sha256 FROM documents) WINDOW w AS (PARTITION BY text_sha256)""",

@@ -22,6 +22,8 @@ LEAST, OCCURRENCES, RATIO, DIVISOR = 7, 2, 10, 31
 POWER, PRIME = 5, (1 << 61) - 1
 #: Keys with more rows than this are met by the order of the remaining letters too.
 SMALL = 64
+#: Such keys that are marked by a broadcast; more are marked by a join.
+BROADCAST = 200_000
 #: Words of more letters are compared letter by letter.
 LONG = 100
 
@@ -77,26 +79,25 @@ def near_pairs(words: DataFrame, small: int = SMALL) -> DataFrame:
     order, where at most one word for each letter of the alphabet can meet it.
     """
     keyed = written(words.select("word", "n", anagram_key(F.col("word")).alias("whole")))
-    whole = keyed.select(F.col("whole").alias("key"), "word", "n", "whole", F.lit(None).cast("string").alias("missing"))
-    letter = F.explode(F.array_distinct(F.split("word", "")))
-    less = keyed.select("word", "n", "whole", letter.alias("missing")).where("missing <> ''").select(F.pmod(F.col("whole") - value(F.col("missing")), F.lit(PRIME)).alias("key"), "word", "n", "whole", "missing")
-    rows = whole.union(less)
+    letters = F.concat(F.array(F.lit("")), F.filter(F.array_distinct(F.split("word", "")), lambda c: c != ""))
+    rows = keyed.select("word", "n", "whole", F.explode(letters).alias("missing")).select(F.pmod(F.col("whole") - value(F.col("missing")), F.lit(PRIME)).alias("key"), "word", "n", "missing")
     hot = staged(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("key"))
+    mark = F.broadcast(hot) if hot.count() <= BROADCAST else hot
 
-    def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        a = rows.where("missing is not null").select(*on, F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("_a"))
-        b = rows.select(*on, F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("_b"), F.col("missing").isNull().alias("_added"))
-        # anagrams of each other differ in two places at least
-        could = F.col("_added") | ((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")))
-        lengths = F.char_length("a") - F.char_length("b") == F.col("_added").cast("int")
-        return a.join(b, on).where(could & lengths & one_apart(F.col("a"), F.col("b"))).select("a", "n_a", "b", "n_b")
+    def met(rows: DataFrame, *on: str) -> DataFrame:
+        # both sides are one and the same, so that they are shuffled once
+        a, b = rows.alias("a"), rows.alias("b")
+        x, y = F.col("a.word"), F.col("b.word")
+        longer = F.char_length(x) - F.char_length(y)
+        pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]).where((longer == 1) | ((longer == 0) & (x < y)))
+        return pairs.where(one_apart(x, y)).select(x.alias("a"), F.col("a.n").alias("n_a"), y.alias("b"), F.col("b.n").alias("n_b"))
 
-    few = met(rows.join(hot, "key", "left_anti"), ["key"])
-    many = rows.join(hot, "key")
+    few = met(rows.join(mark, "key", "left_anti").select("key", "word", "n"), "key")
     places = F.filter(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring("word", i, F.lit(1)) == F.col("missing"))
     rest = F.transform(places, lambda i: F.xxhash64(F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.char_length("word")))))
-    orders = F.when(F.col("missing").isNull(), F.array(F.xxhash64("word"))).otherwise(F.array_distinct(rest))
-    return few.union(met(many.select("*", F.explode(orders).alias("order")), ["key", "order"]))
+    orders = F.when(F.col("missing") == "", F.array(F.xxhash64("word"))).otherwise(F.array_distinct(rest))
+    many = rows.join(mark, "key").select("key", "word", "n", F.explode(orders).alias("order"))
+    return few.union(met(many, "key", "order"))
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, neighbours, quality, spelling
+from . import alignment, licenses, mixing, neighbours, quality, spelling
 from .common import table
 from .exact_dedup import exact_groups
 from .html import extracted
@@ -60,6 +60,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_html, op5_urls, op6_exact_dedup, op7_simhash, op8_licenses, op9_pii, op10_packing, op12_spelling, op13_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_html, op5_urls, op6_exact_dedup, op7_simhash, op8_licenses, op9_pii, op10_packing, op11_alignment, op12_spelling, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_lax, like_any
+from . import components, reach
 
 MAX_DEPTH = 5
 EDGE_TYPES = ("import", "re_export", "export_all")
@@ -82,22 +83,28 @@ def walks(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, Da
 def reached(edges: DataFrame, roots: DataFrame, depth: int, include_tests: bool = True) -> DataFrame:
     """(root, depth, node), each once: what depends on the roots; ``reverse(edges)`` gives what they depend on.
 
-    A node may have several depths.
+    A node may have several depths. Walks are not listed: what is carried has a bound for each root and node.
     """
-    found, _ = walks(edges, roots, depth)
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
+    found = reach.reached(edges, roots, depth)
     return found if include_tests else found.where(~is_test_lax(F.col("node")))
 
 
+def closed_walks(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, path): the second of ``walks``, over the edges that can lead to a cycle only."""
+    back = reverse(edges)  # walks go against the edges
+    pruned = components.toward_cycles(back, components.strong_components(back), depth)
+    return walks(reverse(pruned), roots, depth)[1]
+
+
 def dependency_result(edges: DataFrame, roots: DataFrame, depth: int, include_tests: bool = True) -> DataFrame:
     """One row for each root: direct, indirect (map from depth_N), cycles."""
-    rows = walked(edges, roots, depth)
-    # depth 0 stands for cycles, so that one pass over the walks makes both
-    steps = F.transform("path", lambda n, i: F.struct((i + 1).alias("depth"), F.array(n).alias("path")))
-    closed = F.when(F.col("closed").isNotNull(), F.array(F.struct(F.lit(0).alias("depth"), F.col("closed").alias("path")))).otherwise(F.array().cast("array<struct<depth:int,path:array<string>>>"))
-    items = rows.select("root", F.explode(F.concat(steps, closed)).alias("x")).select("root", "x.*").distinct()
-    if not include_tests:
-        items = items.where((F.col("depth") == 0) | ~is_test_lax(F.col("path")[0]))
-    levels = items.groupBy("root", "depth").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    found = reached(edges, roots, depth, include_tests).select("root", "depth", F.array("node").alias("path"))
+    if depth > 1:
+        # depth 0 stands for cycles
+        found = found.union(closed_walks(edges, roots, depth).select("root", F.lit(0).alias("depth"), "path"))
+    levels = found.groupBy("root", "depth").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     nodes = F.when(F.col("depth") > 0, F.flatten("paths"))
     by_root = levels.groupBy("root").agg(
         F.first(F.when(F.col("depth") == 1, nodes), ignorenulls=True).alias("direct"),

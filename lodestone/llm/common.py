@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,8 +52,14 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT {casts} FROM VALUES {listed} AS t({', '.join(n for n, _ in fields)})")
 
 
-#: Lists to which checkpoints are added while they are collected, the innermost last.
-_COLLECTED: list[list[str]] = []
+class _Collected(threading.local):
+    """Lists to which a thread's checkpoints are added while they are collected, the innermost last."""
+
+    def __init__(self) -> None:
+        self.lists: list[list[str]] = []
+
+
+_COLLECTED = _Collected()
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -62,8 +69,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     out = df.checkpoint()
-    if _COLLECTED:
-        _COLLECTED[-1].append(place(out))
+    if _COLLECTED.lists:
+        _COLLECTED.lists[-1].append(place(out))
     return out
 
 
@@ -72,8 +79,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    if _COLLECTED:
-        _COLLECTED[-1].append(folder)
+    if _COLLECTED.lists:
+        _COLLECTED.lists[-1].append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -85,11 +92,11 @@ def place(checkpointed: DataFrame) -> str:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
     """Remove at the end what is staged inside, but for places that are taken out of the list."""
-    _COLLECTED.append([])
+    _COLLECTED.lists.append([])
     try:
-        yield _COLLECTED[-1]
+        yield _COLLECTED.lists[-1]
     finally:
-        for folder in _COLLECTED.pop():
+        for folder in _COLLECTED.lists.pop():
             remove(spark, folder)
 
 
@@ -160,5 +167,5 @@ def components(edges: DataFrame) -> DataFrame:
             now = staged(small)
             places.remove(place(now))
             places.append(place(last))
-        if _COLLECTED:
-            _COLLECTED[-1][:] = [x for x in _COLLECTED[-1] if x != place(last)] + [place(now)]
+        if _COLLECTED.lists:
+            _COLLECTED.lists[-1][:] = [x for x in _COLLECTED.lists[-1] if x != place(last)] + [place(now)]

@@ -27,8 +27,6 @@ from .common import carried, staged, written
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as its context.
 CONTEXT = 8
-#: Characters that a word has at most; longer runs of letters and digits are encoded data.
-LONGEST = 255
 #: Sightings without the term's help that p(e | t) is smoothed by.
 PRIOR = 1.0
 GENERALISE, REMOVE = 0.90, 0.98
@@ -116,9 +114,9 @@ def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
 
 
 def _words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[bool]]:
-    """The words of a text, and of each whether spans leave it free. A run of over LONGEST characters is data, and no word."""
+    """The words of a text, and of each whether spans leave it free."""
     starts, ends = _merged(spans)
-    found = [m.span() for m in _WORD.finditer(text) if m.end() - m.start() <= LONGEST]
+    found = [m.span() for m in _WORD.finditer(text)]
     return found, [(k := bisect_left(starts, e) - 1) < 0 or ends[k] <= s for s, e in found]
 
 
@@ -202,9 +200,10 @@ def disclosing(near: DataFrame, docs: DataFrame, total: int, prior: float = PRIO
     Contexts are what is counted together, and rows beyond a pair's contexts are copies, which
     leave the term's frequency too.
     """
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("rows"))
-    entities = near.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
-    joined = pairs.join(entities, "entity").join(document_frequency(docs), "term")
+    # all pairs of a domain, and all of a common word, meet at one key of a join, which is split only if no aggregation stands right below it
+    pairs = staged(near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("rows")))
+    entities = staged(near.groupBy("entity").agg(F.count_distinct("row").alias("of_entity")))
+    joined = pairs.join(entities, "entity").join(staged(document_frequency(docs)), "term")
     n = F.lit(float(max(total, 2)))
     together = F.least("contexts", "rows")
     alone = F.col("df") - F.col("rows")

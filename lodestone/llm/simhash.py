@@ -141,7 +141,8 @@ def near_groups(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp"), small, block))
     labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    # staged, so that the join with it can split a root that most fingerprints have
+    least = staged(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
     of = labelled.join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

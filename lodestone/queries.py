@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bindings as b
 from .catalog import TABLES, checked
 from .functions import paths, records, schemas, text
-from .operators import extract, graph, resolve, search, tables, usages
+from .operators import components, extract, graph, resolve, search, tables, usages
 from .operators.search import latest
 from .plans import context, impact, validation
 from .plans.search import Filters, patterns
@@ -159,6 +159,22 @@ def _walk(depth: int, forward: bool = False) -> str:
     return _WALK.format(to="dst" if forward else "src", frm="src" if forward else "dst", depth=depth)
 
 
+def _sets(depth: int) -> str:
+    """The same as (root, depth, node) by the sets of nodes met, of walks that can go on."""
+    steps = ["e AS (SELECT s.k AS src, d.k AS dst, s.k IN (SELECT t.k FROM edges JOIN nodes t ON t.path = edges.dst) AS goes_on FROM edges JOIN nodes s ON s.path = src JOIN nodes d ON d.path = dst)"]
+    steps += ["s1 AS (SELECT dst AS root, src AS node, [src] AS seen, goes_on FROM e)"]
+    steps += [f"s{h} AS (SELECT DISTINCT root, src AS node, list_sort(list_append(seen, src)) AS seen, e.goes_on FROM s{h - 1} JOIN e ON dst = node WHERE s{h - 1}.goes_on AND NOT list_contains(seen, src))" for h in range(2, depth)]
+    steps += [f"s{depth} AS (SELECT DISTINCT root, src AS node FROM s{depth - 1} JOIN e ON dst = node WHERE s{depth - 1}.goes_on AND NOT list_contains(seen, src))"]
+    found = " UNION ALL ".join(f"SELECT DISTINCT root, {h} AS depth, node FROM s{h}" for h in range(1, depth + 1))
+    return f", nodes AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM files), {', '.join(steps)} SELECT r.path AS root, depth, n.path AS node FROM ({found}) f JOIN nodes r ON r.k = root JOIN nodes n ON n.k = f.node"
+
+
+#: Nodes in cycles and the smallest node of their component, by what reaches what.
+_COMPONENTS = """,
+reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b),
+comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
 @query(_walk(1) + " SELECT DISTINCT root, depth, node FROM walk WHERE NOT contains(node, 'test') AND NOT contains(node, 'spec')", index=True)
 def dependents_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without tests."""
@@ -180,8 +196,34 @@ def dependencies_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_walk(3, True) + " SELECT DISTINCT root, array_to_string(list_append(path, dst), '|') AS cycle FROM walk JOIN edges ON src = node WHERE depth < 3 AND list_contains(path, dst)", index=True)
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed walks, those of a root that are shorter than the depth."""
-    _, cycles = graph.walks(graph.reverse(edges(spark, sf_dir)), roots(spark, sf_dir), 3)
-    return cycles.select("root", F.array_join("path", "|").alias("cycle"))
+    return graph.closed_walks(graph.reverse(edges(spark, sf_dir)), roots(spark, sf_dir), 3).select("root", F.array_join("path", "|").alias("cycle"))
+
+
+@query(_sets(5), index=True)
+def dependents_depth5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every file, as deep as the search goes."""
+    return graph.reached(edges(spark, sf_dir), roots(spark, sf_dir), 5)
+
+
+@query(_COMPONENTS + " SELECT node, component, count(*) OVER (PARTITION BY component) AS members FROM comp", index=True)
+def cycle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files in cycles, by component."""
+    found = components.strong_components(edges(spark, sf_dir))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("members")), "component").select("node", "component", "members")
+
+
+@query(
+    _COMPONENTS
+    + """,
+inner_edges AS (SELECT src, dst FROM edges JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component = b.component),
+c(start, path, tip) AS (SELECT src, [src], dst FROM inner_edges WHERE dst >= src UNION ALL SELECT start, list_append(path, tip), dst FROM c JOIN inner_edges ON src = tip WHERE tip <> start AND len(path) < 3 AND (dst = start OR (dst > start AND dst <> tip AND NOT list_contains(path, dst))))
+SELECT array_to_string(path, '|') AS cycle FROM c WHERE tip = start""",
+    index=True,
+)
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cycle of up to three files once, walked inside components only."""
+    known = edges(spark, sf_dir)
+    return components.simple_cycles(known, components.strong_components(known), 3).select(F.array_join("cycle", "|").alias("cycle"))
 
 
 @query(_walk(2) + " SELECT root, CAST(count(DISTINCT node) FILTER (depth = 1) AS BIGINT) AS direct, CAST(count(DISTINCT node) FILTER (depth = 2) AS BIGINT) AS indirect FROM root LEFT JOIN walk USING (root) GROUP BY root", index=True)

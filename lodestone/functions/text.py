@@ -104,6 +104,64 @@ def char_snippet(content: Column, needle: str, radius: int = 60) -> Column:
     return F.when(at < 0, head).otherwise(cut)
 
 
+#: Tokens of a marked snippet, and what a sentence that begins a text, or one within it, adds to a window's score.
+SNIPPET_TOKENS, FIRST_SENTENCE, SENTENCE = 32, 120, 100
+
+
+def token_snippet(content: Column, phrase: list[str], opening: str = "<mark>", closing: str = "</mark>", ellipsis: str = "...", size: int = SNIPPET_TOKENS) -> Column:
+    """The window of ``size`` tokens that shows a phrase best, with each place of the phrase marked.
+
+    A window counts 1000 for the phrase and one more for each further place. One with its places in the
+    middle is tried for each place, and one from the beginning of the place's sentence on, which counts
+    more; of equal ones the first wins. Places that overlap are marked as one. A text without the
+    phrase shows its beginning.
+    """
+    word, many = r"[\p{L}\p{N}]+", len(phrase)
+    found = F.struct(F.regexp_extract_all(content, F.lit(word), F.lit(0)).alias("tokens"), F.split(content, word, -1).alias("gaps"))
+
+    def places(x: Column) -> Column:
+        folded, n = F.transform(x["tokens"], fold), F.size(x["tokens"])
+        here = let(folded, lambda f: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(f, i + 1, F.lit(many)), " ") == " ".join(phrase))) if many else F.array().cast("array<int>")
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | F.get(x["gaps"], i).rlike(r"[.:][ \t\n\r]+$"))
+        return F.struct(x["tokens"].alias("tokens"), x["gaps"].alias("gaps"), here.alias("at"), begins.alias("begins"), n.alias("n"))
+
+    def window(x: Column) -> Column:
+        inside = lambda low: F.filter(x["at"], lambda o: (o >= low) & (o < low + size))
+
+        def middle(io: Column) -> Column:
+            # C divides towards zero
+            left = let(F.lit(size) - (F.array_max(inside(io)) + many - io), lambda d: F.when(d < 0, -F.floor(-d / 2)).otherwise(F.floor(d / 2)))
+            return F.struct((F.size(inside(io)) + 999).alias("score"), (-2 * io).alias("order"), F.greatest(F.lit(0), F.least(io - left, x["n"] - size)).cast("int").alias("start"))
+
+        def sentence(io: Column) -> Column:
+            begin = F.array_max(F.filter(x["begins"], lambda b: b <= io))
+            score = let(begin, lambda b: F.struct(let(F.size(inside(b)), lambda k: F.when(k > 0, k + 999).otherwise(0) + F.when(b == 0, FIRST_SENTENCE).otherwise(SENTENCE)).alias("score"), (-2 * io - 1).alias("order"), b.alias("start")))
+            return F.when((x["n"] > size) & (begin < io), score)
+
+        tried = F.array_compact(F.flatten(F.transform(x["at"], lambda io: F.array(middle(io), sentence(io)))))
+        return F.coalesce(F.array_max(tried)["start"], F.lit(0))
+
+    def shown(x: Column, start: Column) -> Column:
+        first = F.filter(x["at"], lambda o: ~F.exists(x["at"], lambda p: (p < o) & (o < p + many)))
+        last = F.transform(F.filter(x["at"], lambda o: ~F.exists(x["at"], lambda p: (o < p) & (p < o + many))), lambda o: o + many - 1)
+        marks = F.filter(F.arrays_zip(first.alias("low"), last.alias("high")), lambda m: m["low"] >= start)
+        end = F.least(start + size, x["n"]) - 1
+
+        def token(i: Column, m: Column) -> Column:
+            gap = F.when(i > start, F.get(x["gaps"], i)).otherwise(F.when(start > 0, F.lit(ellipsis)).otherwise(F.get(x["gaps"], F.lit(0))))
+            opens = F.exists(m, lambda y: y["low"] == i)
+            closes = F.exists(m, lambda y: (y["low"] <= i) & (y["high"] >= i) & ((y["high"] == i) | (i == end)))
+            return F.concat(gap, F.when(opens, opening).otherwise(""), F.get(x["tokens"], i), F.when(closes, closing).otherwise(""))
+
+        body = let(marks, lambda m: F.array_join(F.transform(F.sequence(start, end), lambda i: token(i, m)), ""))
+        return F.concat(body, F.when(end >= x["n"] - 1, F.get(x["gaps"], x["n"])).otherwise(ellipsis))
+
+    def all_of(x: Column) -> Column:
+        return let(places(x), lambda y: let(window(y), lambda start: shown(y, start)))
+
+    return let(found, lambda x: F.when(F.size(x["tokens"]) > 0, all_of(x)).otherwise(content))
+
+
 # Patterns of import and export statements, of dynamic imports and of require calls.
 IMPORT = r"""(?:import|export)\s+[^\n;'"`]*?from\s+["'`](.+?)["'`]"""
 DYNAMIC_IMPORT = r"""import\((?:[^'"`]*?)["'`](.+?)["'`]\)"""

@@ -74,6 +74,28 @@ def fts_phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search.phrase_hits(docs(spark, sf_dir).select("doc_id", "text"), ["text"], PHRASE), "doc_id")
 
 
+@query(
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS tokens, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS gaps FROM documents),
+p AS (SELECT *, len(tokens) AS n, list_transform(tokens, lambda t: strip_accents(lower(t))) AS f FROM w),
+a AS (SELECT * EXCLUDE f, list_filter(range(0, n - 1), lambda i: f[i + 1] = 'the' AND f[i + 2] = 'of') AS places, list_filter(range(0, n), lambda i: i = 0 OR regexp_matches(gaps[i + 1], '[.:][ \t\n\r]+$')) AS begins FROM p),
+u AS (SELECT doc_id, n, places, begins, unnest(places) AS io FROM a),
+b AS (SELECT doc_id, n, io, list_filter(places, lambda o: o >= io AND o < io + 32) AS near, list_max(list_filter(begins, lambda x: x <= io)) AS begin, places FROM u),
+c AS (SELECT doc_id, 999 + len(near) AS score, 2 * io AS turn, greatest(0, least(io - trunc((32 - (list_max(near) + 2 - io)) / 2), n - 32)) AS start FROM b
+  UNION ALL SELECT doc_id, CASE WHEN begin = 0 THEN 120 ELSE 100 END + coalesce(999 + nullif(len(list_filter(places, lambda o: o >= begin AND o < begin + 32)), 0), 0), 2 * io + 1, begin FROM b WHERE n > 32 AND begin < io),
+d AS (SELECT DISTINCT ON (doc_id) doc_id, CAST(start AS BIGINT) AS start FROM c ORDER BY doc_id, score DESC, turn),
+e AS (SELECT doc_id, start, least(start + 32, n) - 1 AS stop, n, tokens, gaps, list_filter(places, lambda o: o >= start) AS places FROM a JOIN d USING (doc_id))
+SELECT doc_id, CASE WHEN start > 0 THEN '...' ELSE gaps[1] END || array_to_string(list_transform(range(start, stop + 1), lambda i: CASE WHEN i > start THEN gaps[i + 1] ELSE '' END || CASE WHEN list_contains(places, i) THEN '<mark>' ELSE '' END || tokens[i + 1]
+  || CASE WHEN list_contains(places, i - 1) OR (i = stop AND list_contains(places, i)) THEN '</mark>' ELSE '' END), '') || CASE WHEN stop >= n - 1 THEN gaps[n + 1] ELSE '...' END AS snippet FROM e"""
+)
+def marked_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: each document with a phrase, by its best window of tokens."""
+    rows = docs(spark, sf_dir).select("doc_id", "text")
+    words = text.query_tokens(PHRASE)
+    has = rows.where(text.phrase_count(text.token_text(F.col("text")), words) > 0)
+    return has.select("doc_id", text.token_snippet(F.col("text"), words).alias("snippet"))
+
+
 @query(_bm25("conversations", ["role", "text"], "conv_id, turn"))
 def fts_multicol_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase over several columns, ranked by all of them."""

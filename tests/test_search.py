@@ -116,3 +116,24 @@ def test_globs():
     import re
 
     assert re.match(glob_pattern("**/*.ts"), "a/b/c.ts") and re.match(glob_pattern("**/*.ts"), "c.ts") and not re.match(glob_pattern("src/*.ts"), "src/a/b.ts")
+
+
+@pytest.mark.parametrize("query", ["alpha", "beta gamma", "x x", "naive", "a b", "a"])
+def test_marked_snippets_as_fts5(spark, query):
+    rng = random.Random(4)
+    between = [" ", " ", " ", ". ", ": ", ",", ".\n", "\t", " - "]
+    corpus = [(i, rng.choice(["", "(", ". "]) + "".join(rng.choice(WORDS) + rng.choice(between) for _ in range(rng.randrange(0, 90 if i % 2 else 30)))) for i in range(150)]
+    corpus += [(200 + k, " ".join(["w"] * k + ["x"] * 40 + ["v"] * 50)) for k in (0, 5, 40)] + [(300, " ".join(f"w{i}" for i in range(60)) + ". " + " ".join(f"v{i}" for i in range(28)) + " alpha beta gamma x x x naïve a b a " + "z. " * 30)]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(content)")
+    db.executemany("insert into t(rowid, content) values (?, ?)", corpus)
+    want = dict(db.execute("select rowid, snippet(t, 0, '<mark>', '</mark>', '...', 32) from t where t match ?", (f'"{query}"',)))
+    assert want
+    rows = spark.createDataFrame(corpus, "id long, content string").where(F.col("id").isin(list(want)))
+    assert {r.id: r.s for r in rows.select("id", text.token_snippet(F.col("content"), text.query_tokens(query)).alias("s")).collect()} == want
+
+
+def test_marked_snippets_without_a_hit(spark):
+    texts = ["nothing here", "", None, "--", "w " * 40]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.token_snippet(F.col("t"), ["alpha"])).collect()]
+    assert got == ["nothing here", "", None, "--", " ".join(["w"] * 32) + "..."]

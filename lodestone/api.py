@@ -81,7 +81,7 @@ class Engine:
         if output is not None and output not in searching.FORMS:
             raise ValueError(f"output must be one of: {', '.join(searching.FORMS)}")
         names = ("indexed_files", "indexed_symbols", "decisions", "patterns", "failures")
-        return searching.response(self.store.tables(*names) | self.store.postings(), query, scope, normalize_filters(filters, self.repository), limit, output, context_lines, seen_tips)
+        return searching.response(self.store.tables(*names) | self.store.postings() | self.store.grams(), query, scope, normalize_filters(filters, self.repository), limit, output, context_lines, seen_tips)
 
     def index_repository(self, local_path: str, repository: str | None = None) -> dict:
         return index.index_repository(self.spark, self.store, local_path, self.now(), repository)
@@ -155,7 +155,7 @@ class Engine:
     def _record(self, table: str, repository: str | None, values: dict) -> str:
         row = memory.record(self.spark, table, values, self.now(), self.repository(repository) if repository else None)
         ident = row.first().id
-        self.store.commit({table: tables.upsert(self.store.table(table), row, ["id"])})
+        self.store.update(lambda: {table: tables.upsert(self.store.table(table), row, ["id"])})
         return ident
 
     def record_decision(self, repository: str | None = None, **values: Any) -> str:
@@ -187,12 +187,12 @@ class Engine:
         entries, error = code.read_expertise(self.spark, expertise_path or f".claude/agents/experts/{domain}/expertise.yaml")
         if entries is None:
             return {"domain": domain, "synced": 0, "error": error}
-        old = self.store.table("patterns")
-        new = validation.new_patterns(latest(entries.where("kind = 'pattern'"), ["name"], ["file_path"]), old, domain)
-        rows = new.select(F.sha2("pattern_type", 256).alias("id"), F.lit(None).cast("string").alias("repository_id"), "pattern_type", "file_path", F.coalesce("description", "name").alias("description"), F.lit(None).cast("string").alias("example"), F.lit(self.now()).cast("timestamp").alias("created_at"), F.lit("{}").alias("metadata"))
-        count = rows.count()
+        latest_of = latest(entries.where("kind = 'pattern'"), ["name"], ["file_path"])
+        shaped = lambda new: new.select(F.sha2("pattern_type", 256).alias("id"), F.lit(None).cast("string").alias("repository_id"), "pattern_type", "file_path", F.coalesce("description", "name").alias("description"), F.lit(None).cast("string").alias("example"), F.lit(self.now()).cast("timestamp").alias("created_at"), F.lit("{}").alias("metadata"))
+        of = lambda old: shaped(validation.new_patterns(latest_of, old, domain))
+        count = of(self.store.table("patterns")).count()
         if not dry_run and count:
-            self.store.commit({"patterns": old.unionByName(rows)})
+            self.store.update(lambda: {"patterns": (old := self.store.table("patterns")).unionByName(of(old))})
         return {"domain": domain, "synced": count, "dry_run": dry_run}
 
     def get_recent_patterns(self, days: int = 30, limit: int = 20, domain: str | None = None, repository: str | None = None) -> list[dict]:

@@ -45,6 +45,7 @@ TABLES = {
     ),
     "file_postings": Table("token string, file_id string, column string, positions array<int>", (("token", "file_id", "column"),), {"file_id": "indexed_files"}, sort=("token", "file_id")),
     "file_lengths": Table("file_id string, dl bigint", (("file_id",),), {"file_id": "indexed_files"}),
+    "symbol_grams": Table("gram string, symbol_id string", (("gram", "symbol_id"),), {"symbol_id": "indexed_symbols"}, sort=("gram", "symbol_id")),
     "projects": Table("id string, user_id string, org_id string, name string, description string, created_at timestamp, updated_at timestamp, metadata string", (("id",), ("user_id", "name"), ("org_id", "name")), required=("id", "name")),
     "project_repositories": Table("id string, project_id string, repository_id string, added_at timestamp", (("project_id", "repository_id"),), {"project_id": "projects", "repository_id": "repositories"}),
     "decisions": Table("id string, repository_id string, title string, context string, decision string, scope string, rationale string, alternatives array<string>, related_files array<string>, created_at timestamp, updated_at timestamp, metadata string", allowed={"scope": DECISION_SCOPES}),
@@ -103,8 +104,7 @@ def apply_migrations(store, files: dict[str, str], run: Callable[[Migration], No
     done = []
     for migration in todo:
         run(migration)
-        old = store.table("schema_migrations")
-        row = old.sparkSession.range(1).select(F.lit(len(rows) + len(done) + 1).cast("long").alias("id"), F.lit(migration.name).alias("name"), F.lit(now).cast("timestamp").alias("applied_at"), F.lit(migration.checksum).alias("checksum"))
-        store.commit({"schema_migrations": old.unionByName(row)})
+        row = store.spark.range(1).select(F.lit(len(rows) + len(done) + 1).cast("long").alias("id"), F.lit(migration.name).alias("name"), F.lit(now).cast("timestamp").alias("applied_at"), F.lit(migration.checksum).alias("checksum"))
+        store.update(lambda row=row: {"schema_migrations": store.table("schema_migrations").unionByName(row)})
         done.append(migration.name)
     return done, drifted

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import folder_of, join_relative
+from .fingerprints import joined_by_prefix
 
 # Extensions and index files in the order in which they are tried, and what an import's extension may stand for.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json"]
@@ -40,10 +41,6 @@ class Aliases:
         return spark.createDataFrame(self.rows(), "prefix string, suffix string, wildcard boolean, template string, ord int")
 
 
-#: Rows of the alias table at most, which is broadcast.
-MAX_ALIASES = 10_000
-
-
 def _with_extensions(path: Column) -> Column:
     return F.array(*[F.concat(path, F.lit(e)) for e in EXTENSIONS], *[F.concat(path, F.lit(f"/{i}")) for i in INDEX_FILES])
 
@@ -62,18 +59,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     """Rows of ``imports`` (repository_id, source, from_path, ...) with ``target_file_path``, or null.
 
     All candidates of all imports meet the files in one join by repository and path; the best that
-    is there wins. Aliases are configuration, at most MAX_ALIASES rows, which is checked, and are broadcast.
+    is there wins. An import meets the aliases by its beginnings of the lengths that their prefixes have.
     """
     key = ["repository_id", "source", "from_path"]
     asked = imports.select(*key).distinct()
     candidates = asked.where(F.col("source").startswith(".")).select(*key, F.posexplode(relative_candidates(F.col("source"), F.col("from_path"))).alias("at", "path"))
     if aliases is not None:
-        if aliases.limit(MAX_ALIASES + 1).count() > MAX_ALIASES:
-            raise ValueError(f"more than {MAX_ALIASES} aliases")
-        fits = F.when(F.col("wildcard"), F.col("source").startswith(F.col("prefix")) & F.col("source").endswith(F.col("suffix"))).otherwise(F.col("source") == F.col("prefix"))
+        fits = F.when(F.col("wildcard"), F.col("source").endswith(F.col("suffix"))).otherwise(F.col("source") == F.col("prefix"))
         star = F.expr("substring(source, length(prefix) + 1, length(source) - length(prefix) - length(suffix))")
         path = F.when(F.col("wildcard"), F.replace(F.col("template"), F.lit("*"), star)).otherwise(F.col("template"))
-        mapped = asked.where(~F.col("source").startswith(".")).join(F.broadcast(aliases), fits).withColumn("_path", join_relative(F.lit(""), path))
+        mapped = joined_by_prefix(asked.where(~F.col("source").startswith(".")), "source", aliases, "prefix").where(fits).withColumn("_path", join_relative(F.lit(""), path))
         mapped = mapped.select(*key, "ord", F.posexplode(_with_extensions(F.col("_path"))).alias("k", "path")).select(*key, (F.col("ord") * 100 + F.col("k")).cast("int").alias("at"), "path")
         candidates = candidates.unionByName(mapped)
     there = files.select("repository_id", "path").distinct()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let, phrase_count, query_tokens, token_count, token_text, tokens
 
 K1, B = 1.2, 0.75
+#: Characters of a gram of a name at most.
+GRAM = 3
 #: What a rarer-than-not term weighs at least.
 LEAST_IDF = 1e-6
 
@@ -115,8 +117,45 @@ def _shifted(token: str, by: int):
     return F.transform(F.coalesce(F.try_element_at("at", F.lit(token)), none), lambda p: p - by)
 
 
-def search_symbols(symbols: DataFrame, files: DataFrame, query: str, kinds: list[str] | None = None, exported: bool | None = None, repository_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Symbols whose name contains the query, in any case of A-Z; ``%`` and ``_`` in it are wildcards."""
+def name_grams(symbols: DataFrame) -> DataFrame:
+    """(gram, symbol_id): each run of up to GRAM characters of each name in lower case, once; written sorted by gram, a search reads few files."""
+
+    def of_size(low: Column, n: int) -> Column:
+        return F.when(F.char_length(low) >= n, F.transform(F.sequence(F.lit(1), F.char_length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = let(F.lower("name"), lambda low: F.array_distinct(F.concat(*[of_size(low, n) for n in range(1, GRAM + 1)])))
+    return symbols.select(F.explode(grams).alias("gram"), F.col("id").alias("symbol_id"))
+
+
+def query_grams(query: str) -> list[str]:
+    """The grams that a name has if it contains the query, whose ``%`` and ``_`` are wildcards unless a backslash stands before them."""
+    runs, escaped = [""], False
+    for c in query.lower():
+        if not escaped and c == "\\":
+            escaped = True
+        elif not escaped and c in "%_":
+            runs.append("")
+        else:
+            runs[-1], escaped = runs[-1] + c, False
+    return sorted({r[i : i + GRAM] for r in runs if r for i in range(max(1, len(r) - GRAM + 1))})
+
+
+def with_grams(grams: DataFrame, query: str) -> DataFrame | None:
+    """(symbol_id) of the names that have all grams of the query; None where it has none, as every name may fit."""
+    wanted = query_grams(query)
+    if not wanted:
+        return None
+    return grams.where(F.col("gram").isin(wanted)).groupBy("symbol_id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted)).select("symbol_id")
+
+
+def search_symbols(symbols: DataFrame, files: DataFrame, query: str, kinds: list[str] | None = None, exported: bool | None = None, repository_id: str | None = None, limit: int | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """Symbols whose name contains the query, in any case of A-Z; ``%`` and ``_`` in it are wildcards.
+
+    With ``grams`` only symbols that have all of the query's are looked at; the pattern then verifies them.
+    """
+    candidates = None if grams is None else with_grams(grams, query)
+    if candidates is not None:
+        symbols = symbols.join(candidates.withColumnRenamed("symbol_id", "id"), "id", "left_semi")
     found = symbols.where(F.col("name").ilike(f"%{query}%"))
     if kinds:
         found = found.where(F.col("kind").isin(kinds))

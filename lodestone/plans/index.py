@@ -45,6 +45,13 @@ def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases
     symbols = tables.replace_for(old["indexed_symbols"], tables.symbol_rows(extract.symbols(read), known, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
     found = _located(extract.references(read), known, aliases, repository_id, compatible)
     references = tables.replace_for(old["indexed_references"], tables.reference_rows(found, known, symbols, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
+    # grams of the names that are new, or of all where there are none that hold
+    grams = store.grams()
+    new = symbols.join(rows.select(F.col("id").alias("file_id")), "file_id", "left_semi") if grams else symbols
+    of_names = search.name_grams(new)
+    if grams:
+        stay = symbols.join(rows.select(F.col("id").alias("file_id")), "file_id", "left_anti").select(F.col("id").alias("symbol_id"))
+        of_names = grams["symbol_grams"].join(stay, "symbol_id", "left_semi").unionByName(of_names)
     # the postings of what was read again, or of all files where there are none that hold
     texts = known.join(rows.select("id"), "id", "left_semi") if ready else known
     ids = texts.select(F.col("id").alias("file_id"))
@@ -53,16 +60,22 @@ def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases
     return {
         "indexed_files": known, "indexed_symbols": symbols, "indexed_references": references,
         "file_postings": tables.replace_for(old["file_postings"], made, "file_id", ids), "file_lengths": tables.replace_for(old["file_lengths"], sizes, "file_id", ids),
+        "symbol_grams": of_names,
     }
 
 
 def index_repository(spark: SparkSession, store: Store, root: str, now, full_name: str | None = None, sweep: bool = True) -> dict:
     """Index a source tree; counts of what the repository now has."""
     place = code.prepare_repository(root)
-    repositories, ident = tables.ensure_repository(store.table("repositories"), full_name or place["full_name"], now, branch=place["branch"])
     aliases = code.find_aliases(root)
-    changed = index_files(store, ident, code.crawl(spark, root), now, aliases.table(spark) if aliases else None, sweep=sweep)
-    store.commit(changed | {"repositories": tables.touch(repositories, "id", ident, "last_indexed_at", now)})
+    ident = tables.ensure_repository(store.table("repositories"), full_name or place["full_name"], now, branch=place["branch"])[1]
+
+    def change() -> dict[str, DataFrame]:
+        repositories, _ = tables.ensure_repository(store.table("repositories"), full_name or place["full_name"], now, branch=place["branch"])
+        changed = index_files(store, ident, code.crawl(spark, root), now, aliases.table(spark) if aliases else None, sweep=sweep)
+        return changed | {"repositories": tables.touch(repositories, "id", ident, "last_indexed_at", now)}
+
+    store.update(change)
     counts = {n: store.table(n).where(F.col("repository_id") == ident).count() for n in INDEX[1:]}
     return {"repository_id": ident, **counts}
 
@@ -83,7 +96,7 @@ def handle_changes(spark: SparkSession, store: Store, root: str, repository_id:
 
         files = spark.createDataFrame(texts, "path string, content string").select("*", dependencies(F.col("content")).alias("dependencies"))
         aliases = code.find_aliases(root)
-        store.commit(index_files(store, repository_id, files, now(), aliases.table(spark) if aliases else None, gone))
+        store.update(lambda: index_files(store, repository_id, files, now(), aliases.table(spark) if aliases else None, gone))
 
     return handle
 
@@ -99,12 +112,13 @@ def handle_sync(spark: SparkSession, store: Store, folder: str) -> Callable[[Dat
 
 
 def import_folder(spark: SparkSession, store: Store, folder: str) -> dict[str, int]:
-    changed = jsonl.import_all(spark, folder, store.tables(*jsonl.SYNCED))
-    entries = jsonl.load_manifest(spark, f"{folder}/{jsonl.MANIFEST}")
-    if entries is not None:
-        changed, _ = tables.apply_deletions(changed, entries)
-    store.commit(changed)
-    return {n: store.table(n).count() for n in changed}
+    def change() -> dict[str, DataFrame]:
+        changed = jsonl.import_all(spark, folder, store.tables(*jsonl.SYNCED))
+        entries = jsonl.load_manifest(spark, f"{folder}/{jsonl.MANIFEST}")
+        return changed if entries is None else tables.apply_deletions(changed, entries)[0]
+
+    store.update(change)
+    return {n: store.table(n).count() for n in jsonl.SYNCED if store.exists(n)}
 
 
 def is_indexed(store: Store, repository_id: str) -> bool:

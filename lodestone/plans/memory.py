@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import DECISION_SCOPES, INSIGHT_TYPES, PHASES, TABLES
 from ..functions.records import row_id
+from ..operators.fingerprints import contained
 from ..operators.tables import upsert
 
 REQUIRED = {"decisions": ("title", "context", "decision"), "failures": ("title", "problem", "approach", "failure_reason"), "insights": ("content", "insight_type")}
@@ -52,17 +53,11 @@ def sync_decisions(spark: SparkSession, decisions: DataFrame, domain: str, exper
     return upsert(decisions, full, ["title", "scope"])
 
 
-#: Issues of one expertise file at most, which are broadcast.
-MAX_ISSUES = 10_000
-
-
 def sync_insights(spark: SparkSession, insights: DataFrame, domain: str, expertise: dict, now) -> DataFrame:
     """Insights with the known issues of an expertise file whose first fifty characters no insight contains."""
     rows = [(i["issue"][:50], f"[{domain}] {i['issue']}\nImpact: {i.get('impact') or 'Unknown'}\nStatus: {i.get('status') or 'Unknown'}\nResolution: {i.get('resolution') or 'None'}", "workaround" if i.get("status") == "resolved" else "discovery") for i in expertise.get("known_issues") or []]
-    if len(rows) > MAX_ISSUES:
-        raise ValueError(f"more than {MAX_ISSUES} issues in one file")
     new = spark.createDataFrame(rows, "_key string, content string, insight_type string")
-    known = insights.select(F.col("content").alias("_old")).join(F.broadcast(new.select("_key")), F.contains("_old", "_key")).select("_key").distinct()
+    known = contained(insights, "content", new, "_key")
     fresh = new.join(known, "_key", "left_anti").withColumns({"id": row_id("content"), "created_at": F.lit(now).cast("timestamp")})
     return insights.unionByName(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(dict(insights.dtypes)[c]).alias(c) for c in insights.columns]))
 

@@ -92,7 +92,7 @@ def results(tables: dict[str, DataFrame], query: str, scopes: list[str] | None =
     filters = filters or Filters()
     make = {
         "code": lambda: code(tables["indexed_files"], query, filters, limit, tables.get("file_postings"), tables.get("file_lengths")),
-        "symbols": lambda: search_symbols(tables["indexed_symbols"], tables["indexed_files"], query, filters.symbol_kind, filters.exported_only or None, filters.repository_id, limit),
+        "symbols": lambda: search_symbols(tables["indexed_symbols"], tables["indexed_files"], query, filters.symbol_kind, filters.exported_only or None, filters.repository_id, limit, tables.get("symbol_grams")),
         "decisions": lambda: memory(tables["decisions"], TEXT_COLUMNS["decisions"], query, filters, limit),
         "patterns": lambda: patterns(tables["patterns"], query, filters, limit),
         "failures": lambda: memory(tables["failures"], TEXT_COLUMNS["failures"], query, filters, limit),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fingerprints import joined_by_suffix
+
 # Conventions of a spec, and the sentences of its report.
 MIGRATION = r"^\d{14}_[a-z0-9_-]+\.sql$"
 TEST_ENDINGS = (".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx")
@@ -120,19 +122,14 @@ def validate(specs: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("spec", (c("n_errors") == 0).alias("valid"), "errors", "warnings", conditions.alias("approval_conditions"), risk.alias("risk_assessment"), summary.alias("summary"))
 
 
-MAX_ENTRIES = 10_000
-
-
 def expertise_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """(name, kind, file_path, status) of expertise entries (name, kind, file_path): valid, stale or missing.
 
     A path fits any indexed path that ends in it, without regard to case; an entry without one is
-    valid. Entries are configuration: they are broadcast, and more than MAX_ENTRIES are an error.
+    valid.
     """
-    if entries.count() > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} expertise entries")
-    wanted = entries.where("file_path is not null").select("file_path").distinct()
-    there = files.select(F.lower("path").alias("_path")).join(F.broadcast(wanted), F.endswith("_path", F.lower("file_path"))).select("file_path").distinct().withColumn("_there", F.lit(True))
+    wanted = entries.where("file_path is not null").select("file_path", F.lower("file_path").alias("_low")).distinct()
+    there = joined_by_suffix(files.select(F.lower("path").alias("_path")), "_path", wanted, "_low").select("file_path").distinct().withColumn("_there", F.lit(True))
     found = entries.join(there, "file_path", "left")
     status = F.when(F.col("file_path").isNull() | F.col("_there"), "valid").when(F.col("kind") == "key_file", "missing").otherwise("stale")
     return found.select("name", "kind", "file_path", status.alias("status"))

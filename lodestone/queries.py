@@ -146,7 +146,8 @@ def char_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s.id, name, kind, path FROM symbols s JOIN files f ON s.file_id = f.id WHERE name ILIKE '%RING%' AND kind IN ('function', 'class') AND exported ORDER BY name, path LIMIT 50", index=True)
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T10, P3, P5, P8, J2, L3."""
-    return search.search_symbols(b.symbols(spark, sf_dir), b.files(spark, sf_dir), "RING", ["function", "class"], True, "main", 50).select("id", "name", "kind", "path")
+    symbols = b.symbols(spark, sf_dir)
+    return search.search_symbols(symbols, b.files(spark, sf_dir), "RING", ["function", "class"], True, "main", 50, search.name_grams(symbols)).select("id", "name", "kind", "path")
 
 
 @query(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import TABLES
 
 POINTERS = "_commits"
-#: In a pointer: the files that the postings were made of.
-SOURCE = "_postings_of"
+#: What is made of a table: in a pointer, the place of the table that it was made of.
+DERIVED = {"_postings_of": ("indexed_files", ("file_postings", "file_lengths")), "_grams_of": ("indexed_symbols", ("symbol_grams",))}
 
 
 class Conflict(RuntimeError):
@@ -63,14 +64,22 @@ class Store:
 
     def query(self, sql: str, *arguments: object, names: tuple[str, ...] | None = None) -> DataFrame:
         """SQL over the tables by their names, with ``?`` bound in order."""
-        for name in names or tuple(n for n in self._places() if n != SOURCE):
+        for name in names or tuple(n for n in self._places() if n not in DERIVED):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(sql, args=list(arguments) or None)
 
+    def derived(self, mark: str) -> dict[str, DataFrame]:
+        """The tables made of another, or nothing where that has changed since."""
+        places, (source, names) = self._places(), DERIVED[mark]
+        return self.tables(*names) if mark in places and places[mark] == places.get(source) else {}
+
     def postings(self) -> dict[str, DataFrame]:
-        """The postings of the files and their lengths, or nothing where the files have changed since."""
-        places = self._places()
-        return self.tables("file_postings", "file_lengths") if SOURCE in places and places[SOURCE] == places.get("indexed_files") else {}
+        """The postings of the files and their lengths, if they hold."""
+        return self.derived("_postings_of")
+
+    def grams(self) -> dict[str, DataFrame]:
+        """The grams of the symbols' names, if they hold."""
+        return self.derived("_grams_of")
 
     def exists(self, name: str) -> bool:
         return name in self._places()
@@ -88,8 +97,9 @@ class Store:
             rows, sort = rows.select(*TABLES[name].columns), TABLES[name].sort
             (rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{self.root}/{place}")
             places[name] = place
-        if "file_postings" in changed and "indexed_files" in places:
-            places[SOURCE] = places["indexed_files"]
+        for mark, (source, names) in DERIVED.items():
+            if names[0] in changed and source in places:
+                places[mark] = places[source]
         temporary = self._path(f"{self.root}/{POINTERS}/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(json.dumps(places).encode()))
@@ -105,6 +115,17 @@ class Store:
             raise Conflict(f"commit {began + 1} is there already") from error
         return began + 1
 
+    def update(self, make: Callable[[], dict[str, DataFrame]], attempts: int = 5) -> int:
+        """Commit what ``make`` reads from the store and changes; once more from the start where another commit came between."""
+        for attempt in range(attempts):
+            began = self.version()
+            try:
+                return self.commit(make(), began)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("at least one attempt")
+
     def vacuum(self) -> int:
         """Remove snapshots and pointers that are not current; how many snapshots there were."""
         version = self.version()
@@ -123,9 +144,8 @@ class Store:
         """Write each table again into so many files; then snapshots that are not current can go."""
         began = self.version()
         places = self._places(began)
-        names = [n for n in places if n != SOURCE]
-        fresh = places.get(SOURCE) == places.get("indexed_files")
-        self.commit({n: self.table(n).coalesce(files) for n in names if fresh or n not in ("file_postings", "file_lengths")}, began)
+        stale = {n for mark, (source, names) in DERIVED.items() if places.get(mark) != places.get(source) for n in names}
+        self.commit({n: self.table(n).coalesce(files) for n in places if n not in DERIVED and n not in stale}, began)
 
     def size(self) -> int:
         """Bytes of all snapshots."""

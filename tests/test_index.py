@@ -349,15 +349,6 @@ def test_a_second_writer_is_found_out(spark, tmp_path):
     assert one.table("repositories").count() == 0 and one.vacuum() == 2 and one.version() == 2
 
 
-def test_aliases_and_issues_are_bounded(spark, monkeypatch):
-    from lodestone.operators import resolve
-
-    monkeypatch.setattr(resolve, "MAX_ALIASES", 1)
-    none = spark.createDataFrame([], "repository_id string, source string, from_path string")
-    with pytest.raises(ValueError):
-        resolve.resolve_imports(none, none.selectExpr("repository_id", "source AS path"), resolve.Aliases(".", {"@a/*": ["a/*"], "@b/*": ["b/*"]}).table(spark))
-
-
 def test_usage_summary(spark):
     from lodestone.operators import usages
 

@@ -79,24 +79,51 @@ def pad_column(value: Column, width: int) -> Column:
     return F.when(F.length(value) > width, F.concat(F.substring(value, 1, width - 1), F.lit("…"))).otherwise(F.rpad(value, width, " "))
 
 
+# The bold names of a report's fields, what stands where one is missing, the folder of specifications, and endings of files (".js" reads ".json" too).
+FIELDS = {"domain": ("Domain", "github"), "requirements": ("Requirements", None), "issue_type": ("Type", "unknown")}
+SPECS = "/docs/specs/"
+ENDINGS = (".ts", ".js", ".md", ".yaml")
+
+
+def _field(output: Column, name: str) -> Column:
+    """What follows a bold field name and its colon, or null."""
+    label = f"**{name}**:"
+    at = F.locate(label, output)
+    return F.when(at > 0, F.substring(output, at + len(label), F.length(output)))
+
+
 def parse_analysis(output: Column) -> Column:
-    """domain, requirements and issue_type of an agent's report."""
-    found = lambda pattern: F.nullif(F.regexp_extract(output, pattern, 1), F.lit(""))
-    needs = F.nullif(F.trim(F.regexp_extract(output, r"(?s)\*\*Requirements\*\*:\s*(.*?)(?=\*\*|$)", 1)), F.lit(""))
-    return F.struct(
-        F.coalesce(found(r"\*\*Domain\*\*:\s*(\S+)"), F.lit("github")).alias("domain"),
-        F.coalesce(needs, output).alias("requirements"),
-        F.coalesce(found(r"\*\*Type\*\*:\s*(\S+)"), F.lit("unknown")).alias("issue_type"),
-    )
+    """domain, requirements and issue_type of an agent's report: two fields are a word, one goes on to the next bold text."""
+    out = []
+    for field, (name, default) in FIELDS.items():
+        rest = _field(output, name)
+        value = F.regexp_replace(F.substring_index(rest, "**", 1), r"^\s+|\s+$", "") if default is None else F.get(F.filter(F.split(rest, r"\s+"), lambda w: w != ""), F.lit(0))
+        out.append(F.coalesce(F.nullif(value, F.lit("")), output if default is None else F.lit(default)).alias(field))
+    return F.struct(*out)
+
+
+def _end(text: Column, part: str) -> Column:
+    """The offset behind the last place of a part, 0 without one."""
+    at = F.locate(part[::-1], F.reverse(text))
+    return F.when(at > 0, F.length(text) - at + 1).otherwise(0)
+
+
+def _absolute(output: Column) -> Column:
+    """The words of a text that hold a slash, from it on."""
+    return F.transform(F.filter(F.split(output, r"\s+"), lambda w: F.contains(w, F.lit("/"))), lambda w: F.substring(w, F.locate("/", w), F.length(w)))
 
 
 def spec_path(output: Column) -> Column:
     """The first absolute path of a specification, or null."""
-    return F.nullif(F.regexp_extract(output, r"(/[^\s]+/docs/specs/[^\s]+\.md)", 1), F.lit(""))
+    cut = F.transform(_absolute(output), lambda w: F.substring(w, F.lit(1), _end(w, ".md")))
+    return F.get(F.filter(cut, lambda w: F.substring(w, F.lit(3), F.length(w) - 6).contains(SPECS)), F.lit(0))
 
 
 def file_paths(output: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(output, F.lit(r"(/[^\s]+\.(?:ts|js|md|yaml|json))"), 1))
+    """The different absolute paths with one of ENDINGS, in order; a word goes up to its last ending."""
+    cut = F.transform(_absolute(output), lambda w: F.substring(w, F.lit(1), F.greatest(*[_end(w, e) for e in ENDINGS])))
+    long = lambda w: F.length(w) > F.when(w.endswith(".yaml"), 6).otherwise(4)
+    return F.array_distinct(F.filter(cut, long))
 
 
 def migration_version(filename: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bindings as b
 from .catalog import TABLES, checked
 from .functions import paths, records, schemas, text
-from .operators import components, extract, graph, resolve, search, tables, usages
+from .operators import components, extract, graph, resolve, search, tables, topk, usages
 from .operators.search import latest
 from .plans import context, impact, validation
 from .plans.search import Filters, patterns
@@ -74,6 +74,19 @@ def fts_phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search.phrase_hits(docs(spark, sf_dir).select("doc_id", "text"), ["text"], PHRASE), "doc_id")
 
 
+@query(
+    f"""
+WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents),
+c AS (SELECT doc_id, len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' AND t[i + 1] = 'of')) AS tf, len(t) AS dl FROM t)
+SELECT doc_id, tf::INTEGER AS tf, dl FROM c WHERE tf > 0 ORDER BY tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM c))) DESC, doc_id LIMIT 20"""
+)
+def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents by bounds of blocks, without scoring all."""
+    rows = docs(spark, sf_dir).select("doc_id", "text")
+    index = topk.build(rows, "doc_id", ["text"], max(1, rows.count() // topk.PER_BLOCK))
+    return topk.best(index, PHRASE).rows.select(F.col("key").alias("doc_id"), "tf", "dl")
+
+
 @query(
     r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS tokens, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS gaps FROM documents),

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -468,27 +468,59 @@ REFERENCES = "path string, target_name string, reference_type string, line_numbe
 PARSED = r"\.(ts|tsx|js|jsx|cjs|mjs)$"
 
 
-def _extract(files: DataFrame, method: str, schema: str) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
+#: What one parse of a file yields, by the name of its rows.
+YIELDS = {"symbols": SYMBOLS, "references": REFERENCES, "problems": PROBLEMS}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [{"path": p, **x} for p, c in zip(pdf.path, pdf.content, strict=True) for x in getattr(File(c or ""), method)()]
-            yield pd.DataFrame(rows, columns=columns)
 
-    return files.where(F.col("path").rlike(PARSED)).select("path", "content").mapInPandas(run, schema)
+def _own(schema: str) -> str:
+    return schema.removeprefix("path string, ")
+
+
+def _arrow(schema: str) -> pa.StructType:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    return pa.struct([(name, kinds[kind]) for name, kind in (c.split(" ") for c in _own(schema).split(", "))])
+
+
+def parsed(files: DataFrame, what: tuple[str, ...] = tuple(YIELDS)) -> DataFrame:
+    """(path, kind, and a struct for each of ``what``) of (path, content): one parse for all rows of a file.
+
+    ``kind`` names the struct that a row has; the others are null. ``rows_of`` takes them apart; stage the
+    result if it is read for more than one kind.
+    """
+    types = {w: _arrow(YIELDS[w]) for w in what}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, kinds, values = [], [], {w: [] for w in what}
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = File(content or "")
+                for w in what:
+                    for row in getattr(file, w)():
+                        paths.append(path)
+                        kinds.append(w)
+                        for other in what:
+                            values[other].append({**row, "metadata": list(row["metadata"].items())} if other == w == "references" else row if other == w else None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.string()), *(pa.array(values[w], types[w]) for w in what)], ["path", "kind", *what])
+
+    structs = ", ".join(f"{w} struct<{_own(YIELDS[w]).replace(' ', ':').replace(',:', ',')}>" for w in what)
+    return files.where(F.col("path").rlike(PARSED)).select("path", "content").mapInArrow(run, f"path string, kind string, {structs}")
+
+
+def rows_of(parsed: DataFrame, what: str) -> DataFrame:
+    """The rows of one kind, with the columns of its schema."""
+    return parsed.where(F.col("kind") == what).select("path", f"{what}.*")
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """Top-level symbols and class members of (path, content)."""
-    return _extract(files, "symbols", SYMBOLS)
+    return rows_of(parsed(files, ("symbols",)), "symbols")
 
 
 def references(files: DataFrame) -> DataFrame:
     """Imports, exports from elsewhere, calls, property accesses and type references of (path, content)."""
-    return _extract(files, "references", REFERENCES)
+    return rows_of(parsed(files, ("references",)), "references")
 
 
 def problems(files: DataFrame) -> DataFrame:
     """(path, line, column, message) of files that are read in part only."""
-    return _extract(files, "problems", PROBLEMS)
+    return rows_of(parsed(files, ("problems",)), "problems")

@@ -13,6 +13,7 @@ from ..functions.paths import normalize_path
 from ..operators import extract, resolve, search, tables
 from ..operators.graph import EDGE_TYPES
 from ..sources import code, jsonl
+from ..staging import discard, staged
 from ..store import Store
 
 POSTINGS = ("file_postings", "file_lengths")
@@ -27,11 +28,12 @@ def _located(found: DataFrame, files: DataFrame, aliases: DataFrame | None, repo
     return resolve.resolve_imports(asked, files, aliases).drop("repository_id", "source", "from_path")
 
 
-def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases: DataFrame | None = None, gone: DataFrame | None = None, sweep: bool = False, compatible: bool = False) -> dict[str, DataFrame]:
+def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases: DataFrame | None = None, gone: DataFrame | None = None, sweep: bool = False, compatible: bool = False, kept: list[DataFrame] | None = None) -> dict[str, DataFrame]:
     """The index tables after (path, content, dependencies) were read again and the paths ``gone`` deleted.
 
     Symbols and references of the files are replaced, imports are resolved against all files. With
-    ``sweep`` files of the repository that weren't read are removed.
+    ``sweep`` files of the repository that weren't read are removed. Files are parsed once, into a checkpoint, which
+    is added to ``kept`` for the caller to discard when the tables are written.
     """
     ready = store.postings()
     old = store.tables(*INDEX) | (ready or {n: store.table(n).limit(0) for n in POSTINGS})
@@ -42,8 +44,11 @@ def index_files(store: Store, repository_id: str, files: DataFrame, now, aliases
         old, _ = tables.delete_files(old, repository_id, gone)
     known = tables.upsert(old["indexed_files"], rows, ["repository_id", "path"])
     read = files.select(normalize_path(F.col("path")).alias("path"), "content")
-    symbols = tables.replace_for(old["indexed_symbols"], tables.symbol_rows(extract.symbols(read), known, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
-    found = _located(extract.references(read), known, aliases, repository_id, compatible)
+    parsed = staged(extract.parsed(read, ("symbols", "references")))
+    if kept is not None:
+        kept.append(parsed)
+    symbols = tables.replace_for(old["indexed_symbols"], tables.symbol_rows(extract.rows_of(parsed, "symbols"), known, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
+    found = _located(extract.rows_of(parsed, "references"), known, aliases, repository_id, compatible)
     references = tables.replace_for(old["indexed_references"], tables.reference_rows(found, known, symbols, repository_id, now), "file_id", rows.select(F.col("id").alias("file_id")))
     # grams of the names that are new, or of all where there are none that hold
     grams = store.grams()
@@ -70,12 +75,16 @@ def index_repository(spark: SparkSession, store: Store, root: str, now, full_nam
     aliases = code.find_aliases(root)
     ident = tables.ensure_repository(store.table("repositories"), full_name or place["full_name"], now, branch=place["branch"])[1]
 
+    kept: list[DataFrame] = []
+
     def change() -> dict[str, DataFrame]:
         repositories, _ = tables.ensure_repository(store.table("repositories"), full_name or place["full_name"], now, branch=place["branch"])
-        changed = index_files(store, ident, code.crawl(spark, root), now, aliases.table(spark) if aliases else None, sweep=sweep)
+        changed = index_files(store, ident, code.crawl(spark, root), now, aliases.table(spark) if aliases else None, sweep=sweep, kept=kept)
         return changed | {"repositories": tables.touch(repositories, "id", ident, "last_indexed_at", now)}
 
     store.update(change)
+    for rows in kept:
+        discard(rows)
     counts = {n: store.table(n).where(F.col("repository_id") == ident).count() for n in INDEX[1:]}
     return {"repository_id": ident, **counts}
 
@@ -96,7 +105,10 @@ def handle_changes(spark: SparkSession, store: Store, root: str, repository_id:
 
         files = spark.createDataFrame(texts, "path string, content string").select("*", dependencies(F.col("content")).alias("dependencies"))
         aliases = code.find_aliases(root)
-        store.update(lambda: index_files(store, repository_id, files, now(), aliases.table(spark) if aliases else None, gone))
+        kept: list[DataFrame] = []
+        store.update(lambda: index_files(store, repository_id, files, now(), aliases.table(spark) if aliases else None, gone, kept=kept))
+        for rows in kept:
+            discard(rows)
 
     return handle
 

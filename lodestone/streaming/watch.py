@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import tree
+
 # Folders whose events are ignored, and extensions that are watched.
 IGNORED = ["node_modules", ".git", ".lodestone", "dist", "build", ".next", ".cache", "coverage", "__pycache__", ".pytest_cache"]
 WATCHED = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "java", "kt", "swift", "c", "cpp", "h", "hpp", "cs", "rb", "php", "vue", "svelte"]
@@ -31,6 +33,11 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(folder)
 
 
+def tree_events(spark: SparkSession, root: str, existing: bool = False) -> DataFrame:
+    """File events of a source tree, found by listing it for each batch; nothing else has to write them."""
+    return tree.changes(spark, root, IGNORED, WATCHED, existing)
+
+
 def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "500 milliseconds", once: bool = False) -> StreamingQuery:
     """Hand the last event of each path to ``handle`` once for each batch; the trigger is the debounce."""
 

@@ -16,10 +16,17 @@ def corpus(spark):
     return spark.createDataFrame(rows, "id long, text string, title string").cache()
 
 
-@pytest.mark.parametrize("query", ["w0", "w0 w1", "w1 w1", "rare", "x x", "w5 w0 w2", "nowhere", "", "rare nowhere", "w2 w0"])
-@pytest.mark.parametrize("blocks", [1, 37])
-def test_same_as_the_scan(spark, corpus, query, blocks):
-    index = topk.build(corpus, "id", ["title", "text"], blocks)
+@pytest.fixture(scope="module")
+def indexes(corpus):
+    out = {blocks: topk.build(corpus, "id", ["title", "text"], blocks) for blocks in (1, 37)}
+    for index in out.values():
+        index.postings, index.bounds, index.totals = (df.cache() for df in (index.postings, index.bounds, index.totals))
+    return out
+
+
+@pytest.mark.parametrize(("query", "blocks"), [("w0", 37), ("w0 w1", 1), ("w0 w1", 37), ("w1 w1", 37), ("rare", 37), ("x x", 37), ("w5 w0 w2", 37), ("nowhere", 1), ("", 1), ("rare nowhere", 37), ("w2 w0", 37)])
+def test_same_as_the_scan(spark, corpus, indexes, query, blocks):
+    index = indexes[blocks]
     found = topk.best(index, query, 20, first=2)
     want = search.phrase_hits(corpus, ["title", "text"], query).orderBy("score", "id").limit(20).collect()
     got = found.rows.collect()

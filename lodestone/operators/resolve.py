@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import folder_of, join_relative
+from ..functions.text import let
 from .fingerprints import joined_by_prefix
 
 # Extensions and index files in the order in which they are tried, and what an import's extension may stand for.
@@ -47,12 +48,15 @@ def _with_extensions(path: Column) -> Column:
 
 def relative_candidates(source: Column, from_path: Column) -> Column:
     """The paths that a relative import may mean, best first."""
-    path = join_relative(folder_of(from_path), source)
-    choices = _with_extensions(path)
-    for e in reversed(EXTENSIONS):
-        exact = [path] + ([F.concat(F.regexp_replace(path, rf"\{e}$", ""), F.lit(SUBSTITUTED[e]))] if e in SUBSTITUTED else [])
-        choices = F.when(F.endswith(path, F.lit(e)), F.array(*exact)).otherwise(choices)
-    return choices
+
+    def choices(path: Column) -> Column:
+        out = _with_extensions(path)
+        for e in reversed(EXTENSIONS):
+            exact = [path] + ([F.concat(F.regexp_replace(path, rf"\{e}$", ""), F.lit(SUBSTITUTED[e]))] if e in SUBSTITUTED else [])
+            out = F.when(F.endswith(path, F.lit(e)), F.array(*exact)).otherwise(out)
+        return out
+
+    return let(join_relative(folder_of(from_path), source), choices)
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -60,9 +64,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
 
     All candidates of all imports meet the files in one join by repository and path; the best that
     is there wins. An import meets the aliases by its beginnings of the lengths that their prefixes have.
+    Files and imports are never broadcast, however few bytes they have on disk: coded columns
+    make a table of millions of paths look small, and the driver would hold all of them.
     """
     key = ["repository_id", "source", "from_path"]
-    asked = imports.select(*key).distinct()
+    # so many tasks, as paths are few bytes but much work
+    asked = imports.select(*key).repartition(int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).distinct()
     candidates = asked.where(F.col("source").startswith(".")).select(*key, F.posexplode(relative_candidates(F.col("source"), F.col("from_path"))).alias("at", "path"))
     if aliases is not None:
         fits = F.when(F.col("wildcard"), F.col("source").endswith(F.col("suffix"))).otherwise(F.col("source") == F.col("prefix"))
@@ -72,8 +79,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
         mapped = mapped.select(*key, "ord", F.posexplode(_with_extensions(F.col("_path"))).alias("k", "path")).select(*key, (F.col("ord") * 100 + F.col("k")).cast("int").alias("at"), "path")
         candidates = candidates.unionByName(mapped)
     there = files.select("repository_id", "path").distinct()
-    best = candidates.join(there, ["repository_id", "path"]).groupBy(*key).agg(F.min_by("path", "at").alias("target_file_path"))
-    return imports.join(best, key, "left")
+    best = candidates.join(there.hint("merge"), ["repository_id", "path"]).groupBy(*key).agg(F.min_by("path", "at").alias("target_file_path"))
+    return imports.join(best.hint("merge"), key, "left")
 
 
 def read_tsconfig(text: str, folder: str = "") -> Aliases | None:

@@ -1,6 +1,7 @@
 """Plans that hold for large tables: nothing whole in the driver or in one row."""
 
 from lodestone.operators import resolve
+from lodestone.plans import impact
 
 
 def planned(df):
@@ -14,3 +15,14 @@ def test_imports_are_not_broadcast(spark):
     found = resolve.resolve_imports(imports, files)
     assert "Broadcast" not in planned(found)
     assert {r.source: r.target_file_path for r in found.collect()} == {f"./f{i}": f"src/f{i}.ts" if i < 20 else None for i in range(25)}
+
+
+def test_scope_of_any_number_of_files(spark):
+    """Counts equal the sizes of the lists, and no list is made for them."""
+    files = spark.createDataFrame([(f"src/f{i}.ts",) for i in range(30)] + [(f"src/f{i}.test.ts",) for i in range(7)] + [("tests/f9.test.ts",)], "path string")
+    affected = files.selectExpr("'all' AS request", "path").union(spark.createDataFrame([("one", "src/f3.ts"), ("test", "a/b.test.ts")], "request string, path string"))
+    counted = impact.test_counts(affected, files)
+    assert "collect_list" not in planned(counted)
+    listed = impact.test_scope(affected, files).collect()
+    assert {(r.request, r.sources, r.affected, r.tests, r.recommended) for r in counted.collect()} == {(r.request, r.sources, r.affected, len(r.test_files), len(r.recommended_test_files)) for r in listed}
+    assert len(listed) == 3

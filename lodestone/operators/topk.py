@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
+from ..staging import staged
 from .search import K1, LEAST_IDF, B, _shifted, clamp_limit
 
 #: Documents of a block, about, and blocks that are read first; each further step reads twice as many.
@@ -40,8 +41,12 @@ class Index:
         return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "bounds", "totals")])
 
 
-def build(rows: DataFrame, key: str, columns: list[str], blocks: int) -> Index:
-    """Positions count on over the columns with a gap between, so a phrase stands in one of them."""
+def build(rows: DataFrame, key: str, columns: list[str], blocks: int, query: str | None = None) -> Index:
+    """Positions count on over the columns with a gap between, so a phrase stands in one of them.
+
+    With a ``query`` only its tokens are indexed, of all rows: lengths and totals stay those of whole texts,
+    and texts are read once, into a checkpoint that every step of a search reads.
+    """
     each = rows.select(F.col(key).alias("key"), *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
     sizes = [F.size(f"t{i}") for i in range(len(columns))]
 
@@ -49,11 +54,17 @@ def build(rows: DataFrame, key: str, columns: list[str], blocks: int) -> Index:
         return lambda t, k: F.struct(t.alias("token"), (k + first).alias("position"))
 
     placed = [F.transform(f"t{i}", from_(reduce(lambda a, b: a + b, [s + 1 for s in sizes[:i]], F.lit(0)))) for i in range(len(columns))]
-    spots = each.select("key", reduce(lambda a, b: a + b, sizes).cast("long").alias("dl"), F.explode_outer(F.concat(*placed)).alias("x")).select("key", "dl", "x.*")
+    every = F.concat(*placed)
+    if query is not None:
+        own = sorted(set(query_tokens(query)))
+        every = F.filter(every, lambda x: x["token"].isin(own) if own else F.lit(False))
+    each = each.select("key", reduce(lambda a, b: a + b, sizes).cast("long").alias("dl"), every.alias("spots"))
+    each = each if query is None else staged(each)
+    spots = each.select("key", "dl", F.explode_outer("spots").alias("x")).select("key", "dl", "x.*")
     postings = spots.where("token is not null").groupBy("token", "key", "dl").agg(F.array_sort(F.collect_list("position")).alias("positions"))
     postings = postings.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "token", "key", "positions", F.size("positions").alias("tf"), "dl")
     bounds = postings.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-    totals = each.agg(F.count("*").alias("n_rows"), F.avg(reduce(lambda a, b: a + b, sizes)).alias("avg_dl")).withColumn("blocks", F.lit(blocks))
+    totals = each.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_dl")).withColumn("blocks", F.lit(blocks))
     return Index(postings, bounds, totals)
 
 

@@ -1,6 +1,8 @@
 """Plans that hold for large tables: nothing whole in the driver or in one row."""
 
-from lodestone.operators import resolve
+import pytest
+
+from lodestone.operators import resolve, topk
 from lodestone.plans import impact
 
 
@@ -26,3 +28,13 @@ def test_scope_of_any_number_of_files(spark):
     listed = impact.test_scope(affected, files).collect()
     assert {(r.request, r.sources, r.affected, r.tests, r.recommended) for r in counted.collect()} == {(r.request, r.sources, r.affected, len(r.test_files), len(r.recommended_test_files)) for r in listed}
     assert len(listed) == 3
+
+
+@pytest.mark.parametrize("query", ["the of", "of", "the nowhere", ""])
+def test_an_index_for_one_query(spark, query):
+    """Its steps read a checkpoint and no text again, and find what the index of all tokens finds."""
+    rows = spark.createDataFrame([(i, "the of " * (i % 7) + "so it is " * (i % 11) + "of the") for i in range(200)] + [(900, None), (901, "")], "id long, text string")
+    one, all_ = (topk.build(rows, "id", ["text"], 20, *q) for q in ([query], []))
+    assert "regexp" not in planned(one.postings).lower() and "split" not in planned(one.postings) and "split" in planned(all_.postings)
+    assert topk.best(one, query, 9).rows.collect() == topk.best(all_, query, 9).rows.collect()
+    assert one.totals.collect() == all_.totals.collect()

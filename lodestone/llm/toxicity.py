@@ -576,6 +576,8 @@ def learned(docs: DataFrame, labels: DataFrame, seed: int = 1, size: int = PART)
         def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for texts, toxic, rest, langs, buckets in read_blocks(batches):
                 at = np.flatnonzero(rest) if n >= APART else np.arange(len(texts))
+                if not len(at):
+                    continue
                 logits = shared.value.logits([texts[i] for i in at], shared.value.shares(buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(toxic[at].astype(np.int32)), pa.array(logits.astype(float))], ["lang", "toxic", "logit"])
 

@@ -104,3 +104,11 @@ def test_marked_rows_are_a_superset(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "BITS", bits)
         passed = [r.doc_id for r in toxicity.marked(rows, ids).collect()]
         assert set(range(-3000, 3000, 4)) <= set(passed) and len(passed) == len(set(passed)) <= most
+
+
+def test_blocks_of_which_no_text_calibrates(spark, some):
+    """A long text is a block of its own, and most of these train."""
+    docs, labels = some
+    long = [(1000 + i, "q" * 1_200_000, "en", "s", 1) for i in range(12)]
+    model = toxicity.learned(spark.createDataFrame(docs + long, SCHEMA), spark.createDataFrame(labels + [(d[0], 1, 0) for d in long], LABELS))
+    assert model.shift != 0 and model.dense.any()

@@ -50,3 +50,14 @@ def test_no_row_between_hops_is_staged(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "s0" not in plan and plan.count("MapInArrow") == 1
     assert found.count() == 60 * 59 + 4 * 60 * 60
+
+
+def test_last_hop_has_one_row_for_a_root_and_node():
+    """Where many walks lead, sets are replaced by what they have in common: one row, and nothing met that matters."""
+    n = 40
+    core = walked.Steps(np.full(n, n - 1), np.array([y for x in range(n) for y in range(n) if x != y]))
+    last = list(walked.frontiers(core, np.repeat(np.arange(3), n), np.tile(np.arange(n), 3), 5))
+    assert len(last) == 4 and all(len(root) == 3 * n for root, _, _ in last[1:])
+    assert (last[-1][2] < 0).all()
+    one = list(walked.frontiers(walked.Steps(np.ones(2, int), np.array([1, 0])), np.array([0]), np.array([0]), 3))
+    assert [x.tolist() for x in one[-1]] == [[0], [1], [[0]]]
